@@ -41,3 +41,11 @@ def between(u: Column, low, high) -> Column:
     low = low if isinstance(low, Column) else F.lit(int(low))
     high = high if isinstance(high, Column) else F.lit(int(high))
     return (low + F.floor(u * (high - low + 1))).cast("int")
+
+
+def uniform_sql(seed: int, purpose: str, *ids: str) -> str:
+    """The same draw as SQL text, for use inside lambdas."""
+    parts = ", ".join(f"string({v})" for v in ids)
+    return (
+        f"(double(conv(substr(md5(concat_ws('|', '{seed}', '{purpose}', {parts})), 1, 8), 16, 10)) / {TWO32!r}D)"
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.portable import uniform
 from ..operators.joins import lookup_join, running_sum
 from ..schema import PatchShape
+from ..session import materialize
 
 PATCH = PatchShape(5, 5, 16)
 
@@ -37,12 +38,13 @@ def traces_dims(traces: DataFrame) -> DataFrame:
 
 
 def volume_dims(spark, sf_dir) -> DataFrame:
-    return traces_dims(volume_traces(spark, sf_dir))
+    """Catalog row of the volume; computed once, since every operator asks for it."""
+    return materialize(traces_dims(volume_traces(spark, sf_dir)))
 
 
 def mirror_traces(spark, sf_dir) -> DataFrame:
     plain = volume_traces(spark, sf_dir)
-    nx = plain.agg(F.max("x") + 1).scalar()
+    nx = volume_dims(spark, sf_dir).select("nx").scalar()
     return plain.select(
         F.lit("v1").alias("volume_id"), (nx - 1 - F.col("x")).cast("int").alias("x"), "y", "amps"
     )
