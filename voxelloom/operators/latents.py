@@ -189,13 +189,14 @@ def encode_patches(
 
 
 def _prepared(cube: np.ndarray, floor: float) -> np.ndarray:
-    """Deviation-normalized strict z extrema of one window."""
+    """Deviation-normalized strict z extrema of one window, in double precision."""
+    cube = cube.astype(np.float64)
     mid, up, down = cube[:, :, 1:-1], cube[:, :, :-2], cube[:, :, 2:]
     peaks = ((mid > up) & (mid > down)) | ((mid < up) & (mid < down))
     out = np.zeros_like(cube)
     if cube.shape[2] >= 3:
         out[:, :, 1:-1] = np.where(peaks, mid, 0)
-    return (out / max(float(cube.std(dtype=np.float64)), floor)).astype(np.float32)
+    return out / max(float(cube.std()), floor)
 
 
 def windows_encoded(

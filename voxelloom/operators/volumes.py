@@ -145,8 +145,8 @@ def ortho_slices(traces: DataFrame, dims: DataFrame, inline: int, crossline: int
 def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "pred", "target")) -> DataFrame:
     """Middle inline and crossline of several cubes side by side.
 
-    Result rows (example_id, section, depth, lateral, value) put the parts
-    next to each other along ``lateral``.
+    Result rows (example_id, section, depth, across, value) put the parts
+    next to each other along ``across``.
     """
     p = PatchShape.of(size)
 
@@ -159,7 +159,7 @@ def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "p
                 return F.struct(
                     F.lit(name).alias("section"),
                     depth.cast("int").alias("depth"),
-                    (lateral + first).cast("int").alias("lateral"),
+                    (lateral + first).cast("int").alias("across"),
                     F.get(a, at(lateral) * p.z + depth).cast("double").alias("value"),
                 )
 

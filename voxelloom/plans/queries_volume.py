@@ -163,7 +163,7 @@ def _(spark, d):
 
 
 @query("composite_slices", sql(
-    f"select example_id, 'inline' section, z depth, cast(n*5+x as int) lateral, {q6('amp::double*(n+1)')} as value from p where y = 2 "
+    f"select example_id, 'inline' section, z depth, cast(n*5+x as int) across, {q6('amp::double*(n+1)')} as value from p where y = 2 "
     f"union all select example_id, 'crossline', z, cast(n*5+y as int), {q6('amp::double*(n+1)')} from p where x = 2",
     "patch_samples", p="select *, unnest([0, 1, 2]) n from patch_samples"))
 def _(spark, d):
