@@ -178,7 +178,7 @@ def encode_patches(
         for frame in frames:
             if frame.empty:
                 continue
-            cubes = np.stack(frame["cube"].to_numpy()).astype(np.float32)
+            cubes = np.stack(frame["cube"].to_numpy())
             if cubes.shape[1] != p.samples:
                 raise ValueError(f"expected cubes of {p.axes}, got {cubes.shape[1]} samples")
             out = encode_batches(cubes.reshape(-1, *p.axes), encode, batch_size)

@@ -152,7 +152,7 @@ def snapshot_scores(
         for frame in frames:
             if frame.empty:
                 continue
-            cubes = np.stack(frame["cube"].to_numpy()).astype(np.float32).reshape(-1, *p.axes)
+            cubes = np.stack(frame["cube"].to_numpy()).reshape(-1, *p.axes)
             flat = lambda b: np.asarray(model(b)).reshape(len(b), -1)
             out = encode_batches(cubes, flat, batch_size)
             yield pd.DataFrame(

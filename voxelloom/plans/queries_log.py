@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import latents, runlog, similarity, volumes
+from ..operators import runlog, volumes
+from ..operators.joins import lookup_join
 from ..schema import JOB_EVENTS
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import volumes as src
 from ..streaming import jobs, search, sinks
-from .queries_search import OWN_MAP, SCORED, own_scores
+from .queries_search import OWN_MAP, own_scores, ramp_encoder
 from .queries_volume import EXT, PREP
 from .registry import q6, query, r6, sql
-from .search import middle, window_latents
 
 M = "run_metrics"
 
@@ -38,6 +38,11 @@ def _(spark, d):
         r6("val_loss").alias("val_loss"), r6("d_gan_acc_pct").alias("d_gan_acc_pct"), "best_model")
 
 
+def q3(expr: str) -> str:
+    """Seconds of runs that last weeks: three digits."""
+    return f"(round(({expr})::double, 3) + 0.0::double)"
+
+
 def _marks(delta: float) -> dict[str, str]:
     return dict(
         o="select *, row_number() over (partition by run_id order by epoch) t from run_metrics",
@@ -96,21 +101,17 @@ VALID = "kind in ('progress','status','artifact','done','error') and (kind <> 'p
 
 
 @query("progress_eta", sql(
-    f"select job_id, ts, completed_windows, {q6('completed_windows / e')} rate, {q6('greatest(total_windows - completed_windows, 0) / greatest(completed_windows / e, 1e-6)')} eta_seconds from "
+    f"select job_id, ts, completed_windows, {q6('completed_windows / e')} rate, {q3('greatest(total_windows - completed_windows, 0) / greatest(completed_windows / e, 1e-6)')} eta_seconds from "
     f"(select *, greatest((epoch_us(ts) - min(epoch_us(ts)) over (partition by job_id)) / 1e6, 1e-6) e from job_events) where kind = 'progress' and ({VALID})", "job_events"))
 def _(spark, d):
     rows = fx.job_events(spark, d)
-    from ..operators.joins import lookup_join
-
     first = rows.groupBy("job_id").agg(F.min("ts").alias("started"))
     near = lookup_join(rows, first, ["job_id"], ["ts"])
-    span = F.greatest(F.unix_micros("ts") / F.lit(1e6) - F.unix_micros("started") / F.lit(1e6), F.lit(1e-6))
     timed = jobs.valid_events(near).filter("kind = 'progress'").withColumn(
         "elapsed_s", (F.unix_micros("ts") - F.unix_micros("started")) / F.lit(1e6))
-    del span
     out = runlog.progress_eta(timed.drop("eta_seconds"))
     return out.select(
-        "job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "completed_windows", r6("rate").alias("rate"), r6("eta_seconds").alias("eta_seconds"))
+        "job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "completed_windows", r6("rate").alias("rate"), F.round("eta_seconds", 3).alias("eta_seconds"))
 
 
 @query("cumulative_examples", sql(
@@ -147,21 +148,19 @@ LAST = (
 
 @query("job_progress", sql(
     f"select job_id, c completed_windows, t total_windows, {q6('greatest(0, least(100, 100.0 * c / greatest(t, 1)))')} percent, "
-    f"{q6('(t - c) / greatest(c / greatest(e, 1e-6), 1e-6)')} eta_seconds, last_status, artifact_path, terminal from l", "job_events", l=LAST))
+    f"{q3('(t - c) / greatest(c / greatest(e, 1e-6), 1e-6)')} eta_seconds, last_status, artifact_path, terminal from l", "job_events", l=LAST))
 def _(spark, d):
     path, ckpt = sinks.scratch(spark, "progress")
     stream = jobs.job_progress(jobs.valid_events(_event_stream(spark, d)), "1 hour")
     sinks.run_available(sinks.keep_latest(stream, path, ckpt))
     out = sinks.read_latest(spark, path, ["job_id"])
-    return out.withColumn("percent", r6("percent")).withColumn("eta_seconds", r6("eta_seconds"))
+    return out.withColumn("percent", r6("percent")).withColumn("eta_seconds", F.round("eta_seconds", 3))
 
 
 @query("stream_latent_scores", sql(
     f"select example_id, {q6('sum(v * w)')} sim from (select example_id, (({EXT}) / sd) v, cos((x*80 + y*16 + z + 1) * 1) w from e) group by 1",
     "patch_samples", e=PREP))
 def _(spark, d):
-    from .queries_search import ramp_encoder
-
     path, (out, ckpt) = scratch_path(spark, "patches"), sinks.scratch(spark, "scores")
     volumes.preprocess(fx.patches(spark, d), fx.PATCH).write.parquet(path)
     stream = spark.readStream.schema("example_id bigint, cube array<double>").parquet(path)
@@ -177,9 +176,9 @@ def _(spark, d):
     scores = own_scores(spark, d)
     scores.write.parquet(path)
     stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    sinks.run_available(sinks.keep_latest(search.stream_overlap_add(stream, (10, 10, 20), 4), state, ckpt))
+    sinks.run_available(sinks.keep_latest(search.stream_overlap_add(stream, (10, 10, 20), 5), state, ckpt))
     sums = sinks.read_latest(spark, state, ["volume_id", "bx", "by", "bz"])
-    return search.partial_map(sums, fx.volume_dims(spark, d), (10, 10, 20), 4).withColumn("sim", r6("sim"))
+    return search.partial_map(sums, fx.volume_dims(spark, d), (10, 10, 20), 5).withColumn("sim", r6("sim"))
 
 
 @query("stream_stats", sql(
@@ -192,6 +191,3 @@ def _(spark, d):
     sinks.run_available(sinks.keep_latest(search.stream_stats(rows), path, ckpt))
     out = sinks.read_latest(spark, path, ["volume_id"])
     return out.select("volume_id", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
-
-
-__all__ = ["SCORED", "latents", "middle", "similarity", "window_latents"]

@@ -54,20 +54,20 @@ def _(spark, d):
 WARP_AT = f"case when z <= 7.5 then z * m / 7.5 else m + (z - 7.5) * (15 - m) / 7.5 end"
 WARP = dict(
     mids=f"select example_id, {tri(uu('warp_mid'), LOW, MODE, HIGH)} m from (select distinct example_id from patch_samples)",
-    at=f"select example_id, z, {WARP_AT} s from mids, (select cast(unnest(range({Z})) as int) z)",
+    moved=f"select example_id, z, {WARP_AT} s from mids, (select cast(unnest(range({Z})) as int) z)",
 )
 
 
-@query("warp_indices", sql(f"select example_id, z, {q6('s')} as position from at", P, **WARP))
+@query("warp_indices", sql(f"select example_id, z, {q6('s')} as position from moved", P, **WARP))
 def _(spark, d):
     return ag.warp_indices(fx.patches(spark, d).select("example_id"), Z, SEED).withColumn("position", r6("position"))
 
 
 @query("warp_depth", sql(
-    f"select a.example_id, a.x, a.y, at.z, case when {u(SEED, 'warp', 'a.example_id')} < 0.6 then {q6('a.amp + (b.amp - a.amp) * (s - a.z) + 1')} else {q6('o.amp')} end amp, "
+    f"select a.example_id, a.x, a.y, w.z, case when {u(SEED, 'warp', 'a.example_id')} < 0.6 then {q6('a.amp + (b.amp - a.amp) * (s - a.z) + 1')} else {q6('o.amp')} end amp, "
     f"case when {u(SEED, 'warp', 'a.example_id')} < 0.6 then {q6('a.amp + (b.amp - a.amp) * (s - a.z) + 1')} else {q6('o.amp + 1')} end as label "
-    "from at join pd a on a.example_id = at.example_id and a.z = floor(s) join pd b on b.example_id = a.example_id and b.x = a.x and b.y = a.y and b.z = least(a.z + 1, 15) "
-    "join pd o on o.example_id = a.example_id and o.x = a.x and o.y = a.y and o.z = at.z", P,
+    "from moved w join pd a on a.example_id = w.example_id and a.z = floor(s) join pd b on b.example_id = a.example_id and b.x = a.x and b.y = a.y and b.z = least(a.z + 1, 15) "
+    "join pd o on o.example_id = a.example_id and o.x = a.x and o.y = a.y and o.z = w.z", P,
     **WARP, pd="select example_id, x, y, z, amp::double amp from patch_samples"))
 def _(spark, d):
     return _both(ag.warp_depth(_pairs(spark, d), fx.PATCH, 0.6, SEED))

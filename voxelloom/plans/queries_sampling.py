@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sampling, scoring, volumes
+from ..operators import sampling, volumes
 from ..sources import fixtures as fx
 from .patches import sample_patches
 from .registry import q6, query, r6, sql, u
@@ -121,6 +121,3 @@ PARTNER = f"floor({u(SEED, 'partner', 'example_id')} * (n - 1))"
     "(select vec_id example_id, count(*) over () n from embeddings)"))
 def _(spark, d):
     return sampling.mixup_partner(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("example_id")), SEED)
-
-
-__all__ = ["scoring"]

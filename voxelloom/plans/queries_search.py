@@ -164,7 +164,7 @@ def _(spark, d):
 
 OWN = dict(
     wa="select *, unnest(range(0, nx-9, 5)) wx from volume_dims", wb="select *, unnest(range(0, ny-9, 5)) wy from wa",
-    w="select volume_id, cast(wx as int) wx, cast(wy as int) wy, cast(unnest(range(0, nz-19, 4)) as int) wz from wb",
+    w="select volume_id, cast(wx as int) wx, cast(wy as int) wy, cast(unnest(range(0, nz-19, 5)) as int) wz from wb",
     own="select w.*, avg(amp::double) sim from w join volume_samples s on x = wx and y = wy and z >= wz and z < wz+20 group by all",
 )
 
@@ -182,7 +182,7 @@ def own_scores(spark, d):
     at = dims.withColumn("wx", F.explode(F.expr("sequence(0, nx - 10, 5)")))
     at = at.withColumn("wy", F.explode(F.expr("sequence(0, ny - 10, 5)")))
     own = fx.volume_traces(spark, d).join(F.broadcast(at), F.expr("x = wx and y = wy")).select(
-        at.volume_id, "wx", "wy", F.explode(F.expr("sequence(0, nz - 20, 4)")).alias("wz"), "amps")
+        at.volume_id, "wx", "wy", F.explode(F.expr("sequence(0, nz - 20, 5)")).alias("wz"), "amps")
     return own.select("volume_id", "wx", "wy", "wz", F.expr("aggregate(slice(amps, wz + 1, 20), 0D, (s, v) -> s + double(v)) / 20").alias("sim"))
 
 

@@ -7,24 +7,34 @@ from functools import reduce
 
 from pyspark.sql import types as T
 
-SAMPLES = T.StructType.fromDDL("volume_id string, x int, y int, z int, amp float")
-TRACES = T.StructType.fromDDL("volume_id string, x int, y int, amps array<float>")
-DIMS = T.StructType.fromDDL("volume_id string, nx int, ny int, nz int")
-PATCHES = T.StructType.fromDDL("example_id bigint, cube array<float>")
-WINDOWS = T.StructType.fromDDL("volume_id string, wx int, wy int, wz int")
-SCORES = T.StructType.fromDDL("volume_id string, wx int, wy int, wz int, sim double")
-SNAPSHOTS = T.StructType.fromDDL("run_id string, epoch int, example_id bigint, recon_loss double")
-JOB_EVENTS = T.StructType.fromDDL(
-    "job_id bigint, ts timestamp, kind string, message string, total_windows bigint, "
-    "completed_windows bigint, eta_seconds double, artifact_path string"
+KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(),
+    "double": T.DoubleType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def table(*fields: str) -> T.StructType:
+    """A schema from "name type" texts; needs no running session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (f.split() for f in fields)])
+
+
+SAMPLES = table("volume_id string", "x int", "y int", "z int", "amp float")
+TRACES = table("volume_id string", "x int", "y int", "amps array<float>")
+DIMS = table("volume_id string", "nx int", "ny int", "nz int")
+PATCHES = table("example_id bigint", "cube array<float>")
+WINDOWS = table("volume_id string", "wx int", "wy int", "wz int")
+SCORES = table("volume_id string", "wx int", "wy int", "wz int", "sim double")
+SNAPSHOTS = table("run_id string", "epoch int", "example_id bigint", "recon_loss double")
+JOB_EVENTS = table(
+    "job_id bigint", "ts timestamp", "kind string", "message string", "total_windows bigint",
+    "completed_windows bigint", "eta_seconds double", "artifact_path string",
 )
 
 # The column names of the run log.
-RUN_METRICS = T.StructType.fromDDL(
-    "epoch int, examples_this_epoch bigint, cumulative_examples bigint, "
-    "train_loss double, val_loss double, kl_weight double, learning_rate double, "
-    "discriminator_learning_rate double, gan_weight double, g_gan_loss double, "
-    "d_gan_loss double, d_gan_acc_pct double, best_model string"
+RUN_METRICS = table(
+    "epoch int", "examples_this_epoch bigint", "cumulative_examples bigint", "train_loss double",
+    "val_loss double", "kl_weight double", "learning_rate double", "discriminator_learning_rate double",
+    "gan_weight double", "g_gan_loss double", "d_gan_loss double", "d_gan_acc_pct double", "best_model string",
 )
 
 
