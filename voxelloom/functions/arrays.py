@@ -1,4 +1,9 @@
-"""Column expressions over dense arrays; all stay inside the JVM."""
+"""Expressions over dense arrays; all stay inside the JVM.
+
+The ``*_sql`` functions compose SQL text, since long lambda expressions are
+much cheaper to hand over as text than node by node.  Arguments are column
+names, lambda variables or any SQL expression.
+"""
 
 from __future__ import annotations
 
@@ -8,130 +13,126 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _num(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
+def let_sql(value: str, name: str, body: str) -> str:
+    """Bind a value once for use inside lambdas.
 
+    The optimizer merges projections and would otherwise copy the expression
+    behind a column into a lambda body, to be computed again per element.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _col(v) -> Column:
-    return F.col(v) if isinstance(v, str) else v
 
+def total_sql(a: str) -> str:
+    return f"aggregate({a}, 0D, (s, e) -> s + double(e))"
 
-def let(value, body) -> Column:
-    """Bind a value once for use inside lambdas.
 
-    The optimizer merges projections and would otherwise copy the expression
-    behind a column into the lambda body, to be computed again per element.
-    """
-    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+def std_sql(a: str) -> str:
+    """Population standard deviation, around the mean for stability."""
+    around = let_sql(
+        f"{total_sql('sd_a')} / size(sd_a)", "sd_m",
+        "aggregate(sd_a, 0D, (s, e) -> s + (double(e) - sd_m) * (double(e) - sd_m))",
+    )
+    return let_sql(a, "sd_a", f"sqrt({around} / size(sd_a))")
 
 
-def array_total(a) -> Column:
-    return F.aggregate(_col(a), F.lit(0.0), lambda s, v: s + v.cast("double"))
+def dot_sql(a: str, b: str) -> str:
+    return total_sql(f"zip_with({a}, {b}, (p, q) -> double(p) * double(q))")
 
 
-def array_mean(a) -> Column:
-    return array_total(a) / F.size(_col(a))
+def cosine_sql(a: str, b: str, eps: float = 1e-8) -> str:
+    """Cosine similarity, 0 when the product of norms is below ``eps``."""
+    norms = f"sqrt({dot_sql('cs.p', 'cs.p')}) * sqrt({dot_sql('cs.q', 'cs.q')})"
+    ratio = let_sql(norms, "cs_n", f"if(cs_n < {eps!r}D, 0D, {dot_sql('cs.p', 'cs.q')} / cs_n)")
+    return let_sql(f"struct({a} as p, {b} as q)", "cs", ratio)
 
 
-def array_std(a) -> Column:
-    """Population standard deviation, around the mean for stability."""
+def extrema_sql(a: str, depth: int | None = None) -> str:
+    """Keep strict local peaks and troughs, zero everything else.
 
-    def around(v):
-        sq = lambda m: F.aggregate(
-            v, F.lit(0.0), lambda s, e: s + (e.cast("double") - m) * (e.cast("double") - m)
-        )
-        return F.sqrt(let(array_mean(v), sq) / F.size(v))
+    With ``depth`` the array is a C-order cube of traces of that many samples;
+    the first and last sample of every trace is zeroed.
+    """
+    z, n = (f"i % {depth}", str(depth)) if depth else ("i", "size(ex)")
+    strict = "(v > get(ex, i - 1) and v > get(ex, i + 1)) or (v < get(ex, i - 1) and v < get(ex, i + 1))"
+    # Borders and flat spots are zero of the element's own type.
+    return let_sql(a, "ex", f"transform(ex, (v, i) -> if({z} > 0 and {z} < {n} - 1 and ({strict}), v, v - v))")
 
-    return let(a, around)
 
+def interpolate_sql(a: str, position: str) -> str:
+    """Linear interpolation at a fractional 0-based position; bind ``a`` first."""
+    lo, hi = "int(floor(ip))", f"least(int(floor(ip)) + 1, size({a}) - 1)"
+    value = f"double(get({a}, {lo})) * (1 - ip + floor(ip)) + double(get({a}, {hi})) * (ip - floor(ip))"
+    return let_sql(position, "ip", value)
 
-def dot(a, b) -> Column:
-    return array_total(F.zip_with(_col(a), _col(b), lambda p, q: p.cast("double") * q.cast("double")))
 
+def percentile_sql(a: str, percent: float) -> str:
+    """Linear percentile of one array (NumPy's default rule)."""
+    return let_sql(f"array_sort({a})", "pa", interpolate_sql("pa", f"(size(pa) - 1) * {percent / 100.0!r}D"))
 
-def norm(a) -> Column:
-    return F.sqrt(dot(a, a))
 
+def from_map_sql(at: str, size: int | str, missing: str) -> str:
+    """Dense array of ``size`` entries from a map keyed by position."""
+    return let_sql(at, "mp", f"transform(sequence(0, {size} - 1), i -> coalesce(mp[i], {missing}))")
 
-def cosine(a, b, eps: float = 1e-8) -> Column:
-    """Cosine similarity, 0 when the product of norms is below ``eps``."""
 
-    def ratio(pair):
-        p, q = pair["p"], pair["q"]
-        return let(norm(p) * norm(q), lambda s: F.when(s < eps, F.lit(0.0)).otherwise(dot(p, q) / s))
+def zeros_sql(n: int | str) -> str:
+    return f"array_repeat(float(0), {n})"
 
-    return let(F.struct(_col(a).alias("p"), _col(b).alias("q")), ratio)
 
+# ---- the same as columns -----------------------------------------------------
 
-def similarity(a, b, mode: str = "cosine", eps: float = 1e-8) -> Column:
-    kind = str(mode).strip().lower()
-    if kind == "cosine":
-        return cosine(a, b, eps)
-    if kind == "dot":
-        return dot(a, b)
-    raise ValueError(f"unknown similarity mode: {mode!r}")
 
+def array_total(a: str) -> Column:
+    return F.expr(total_sql(a))
 
-def extrema(a, depth: int | None = None) -> Column:
-    """Keep strict local peaks and troughs, zero everything else.
 
-    With ``depth`` the array is a C-order cube of traces of that many samples;
-    the first and last sample of every trace is zeroed.
-    """
+def array_std(a: str) -> Column:
+    return F.expr(std_sql(a))
 
-    def keep_in(v):
-        n = F.lit(depth) if depth else F.size(v)
 
-        def keep(e, i):
-            z, up, down = (i % n if depth else i), F.get(v, i - 1), F.get(v, i + 1)
-            strict = ((e > up) & (e > down)) | ((e < up) & (e < down))
-            return F.when((z > 0) & (z < n - 1) & strict, e).otherwise(F.lit(0).cast("float"))
+def dot(a: str, b: str) -> Column:
+    return F.expr(dot_sql(a, b))
 
-        return F.transform(v, keep)
 
-    return let(a, keep_in)
+def cosine(a: str, b: str, eps: float = 1e-8) -> Column:
+    return F.expr(cosine_sql(a, b, eps))
 
 
-def interpolate(a: Column, position: Column) -> Column:
-    """Linear interpolation at a fractional 0-based position; bind ``a`` with let."""
-    lo = F.floor(position).cast("int")
-    hi = F.least(lo + 1, F.size(a) - 1)
-    part = position - lo
-    return F.get(a, lo).cast("double") * (1 - part) + F.get(a, hi).cast("double") * part
+def similarity(a: str, b: str, mode: str = "cosine", eps: float = 1e-8) -> Column:
+    kind = str(mode).strip().lower()
+    if kind == "cosine":
+        return cosine(a, b, eps)
+    if kind == "dot":
+        return dot(a, b)
+    raise ValueError(f"unknown similarity mode: {mode!r}")
 
 
-def percentile_of(a, percent: float) -> Column:
-    """Linear percentile of one array (NumPy's default rule)."""
-    at = lambda v: interpolate(v, (F.size(v) - 1) * F.lit(percent / 100.0))
-    return let(F.array_sort(_col(a)), at)
+def extrema(a: str, depth: int | None = None) -> Column:
+    return F.expr(extrema_sql(a, depth))
 
 
-def from_map(at, size, missing) -> Column:
-    """Dense array of ``size`` entries from a map keyed by position."""
-    last = (size if isinstance(size, Column) else F.lit(size)) - 1
-    dense = lambda m: F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(m[i], missing))
-    return let(at, dense)
+def percentile_of(a: str, percent: float) -> Column:
+    return F.expr(percentile_sql(a, percent))
 
 
-def hann(n, size) -> Column:
+def hann(n: Column, size: int) -> Column:
     """Periodic Hann taper at offset ``n`` of an axis with ``size`` samples."""
-    if not isinstance(size, Column) and int(size) == 1:
-        return F.lit(1.0)
-    wave = 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * n / size)
-    return F.when(size == 1, F.lit(1.0)).otherwise(wave) if isinstance(size, Column) else wave
+    return F.lit(1.0) if int(size) == 1 else 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * n / size)
 
 
-def clipped(v, low, high) -> Column:
-    return F.greatest(_num(low), F.least(_num(high), _col(v)))
+def clipped(v: Column, low, high) -> Column:
+    low, high = (e if isinstance(e, Column) else F.lit(e) for e in (low, high))
+    return F.greatest(low, F.least(high, v))
 
 
 def scaled(v: Column, mode: str, mean=0.0, std=1.0, eps: float = 1e-8) -> Column:
     """Amplitude scaling by dataset statistics."""
+    mean, std = (e if isinstance(e, Column) else F.lit(e) for e in (mean, std))
     if mode == "none":
         return v
-    floor = F.greatest(F.abs(_num(std)), F.lit(eps))
+    floor = F.greatest(F.abs(std), F.lit(eps))
     if mode == "divide_by_std":
         return v / floor
     if mode == "zscore":
-        return (v - _num(mean)) / floor
+        return (v - mean) / floor
     raise ValueError(f"unknown scaling mode: {mode!r}")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import from_map, let
+from ..functions.arrays import from_map_sql, let_sql, zeros_sql
 from ..schema import PatchShape
 from .joins import LOOKUP_ROWS, few_rows, lookup_join
 
@@ -22,17 +22,12 @@ def padded_dims(dims: DataFrame, size, base: int = 16) -> DataFrame:
     """
     if base < 0:
         raise ValueError("base padding must not be negative")
-    p = PatchShape.of(size)
-    out = dims
-    for axis, step in zip(AXES, p.axes):
-        whole = F.col(f"n{axis}") + 2 * base
-        tail = F.pmod(-whole, F.lit(step))
-        out = (
-            out.withColumn(f"lo_{axis}", F.lit(base))
-            .withColumn(f"hi_{axis}", (tail + base).cast("int"))
-            .withColumn(f"p{axis}", (whole + tail).cast("int"))
-        )
-    return out
+    cols = []
+    for a, step in zip(AXES, PatchShape.of(size).axes):
+        whole = f"n{a} + {2 * base}"
+        tail = f"pmod(-({whole}), {step})"
+        cols += [f"{base} as lo_{a}", f"int({tail} + {base}) as hi_{a}", f"int({whole} + {tail}) as p{a}"]
+    return dims.selectExpr("*", *cols)
 
 
 axis_padding = padded_dims
@@ -87,30 +82,24 @@ def unpad(samples: DataFrame, dims: DataFrame, base: int = 16) -> DataFrame:
 # ---- window grids ---------------------------------------------------------
 
 
-def _axis_check(n: Column, step: int, stride: int) -> Column:
-    return (
-        F.when(n < step, F.raise_error(F.lit("axis shorter than the patch")))
-        .when((n - step) % stride != 0, F.raise_error(F.lit("axis does not fit the patch/stride grid")))
-        .otherwise(n)
-    )
-
-
-def _axis_counts(dims: DataFrame, p: PatchShape, stride: int, names: Sequence[str]) -> list[Column]:
+def _axis_counts(p: PatchShape, stride: int, names: Sequence[str]) -> list[str]:
+    """Windows per axis as SQL; fails on axes that do not fit the grid."""
     if stride <= 0:
         raise ValueError("stride must be positive")
     return [
-        F.floor((_axis_check(F.col(n), step, stride) - step) / stride).cast("int") + 1
+        f"(case when {n} < {step} then raise_error('axis shorter than the patch') "
+        f"when ({n} - {step}) % {stride} <> 0 then raise_error('axis does not fit the patch/stride grid') "
+        f"else int(({n} - {step}) div {stride} + 1) end)"
         for n, step in zip(names, p.axes)
     ]
 
 
 def window_grid(dims: DataFrame, size, stride: int, extent: Sequence[str] = ("nx", "ny", "nz")) -> DataFrame:
     """All window starts of each volume; fails on axes that do not fit the grid."""
-    p = PatchShape.of(size)
-    out = dims
-    for axis, count in zip(AXES, _axis_counts(dims, p, stride, extent)):
-        starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: (i * stride).cast("int"))
-        out = out.withColumn(f"w{axis}", F.explode(starts))
+    out, done = dims, []
+    for a, count in zip(AXES, _axis_counts(PatchShape.of(size), stride, extent)):
+        starts = f"explode(transform(sequence(0, {count} - 1), i -> int(i * {stride}))) as w{a}"
+        out, done = out.selectExpr("volume_id", *extent, *done, starts), [*done, f"w{a}"]
     return out.select("volume_id", "wx", "wy", "wz")
 
 
@@ -121,16 +110,15 @@ def window_count(dims: DataFrame, size, stride: int, base: int | None = None) ->
     grid = dims
     if base is not None:
         grid, names = padded_dims(dims, p, base), ("px", "py", "pz")
-    cx, cy, cz = _axis_counts(grid, p, stride, names)
-    return grid.select("volume_id", (cx.cast("bigint") * cy * cz).alias("windows"))
+    cx, cy, cz = _axis_counts(p, stride, names)
+    return grid.selectExpr("volume_id", f"bigint({cx}) * {cy} * {cz} as windows")
 
 
-def covering_starts(at: Column, size: int, stride: int, extent: Column) -> Column:
-    """Starts of all windows on one axis that contain ``at``."""
-    first = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / stride)).cast("int")
-    last = F.least(F.floor(at / stride), F.floor((extent - size) / stride)).cast("int")
-    steps = F.when(first <= last, F.sequence(first, last)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
-    return F.transform(steps, lambda i: (i * stride).cast("int"))
+def covering_starts(at: str, size: int, stride: int, extent: str) -> str:
+    """Starts of all windows on one axis that contain ``at``, as SQL."""
+    first = f"greatest(0, int(ceil(({at} - {size - 1}) / {stride})))"
+    last = f"least(int(floor(({at}) / {stride})), int(floor(({extent} - {size}) / {stride})))"
+    return f"transform(if({first} <= {last}, sequence({first}, {last}), null), i -> int(i * {stride}))"
 
 
 def assign_windows(
@@ -140,7 +128,7 @@ def assign_windows(
     p = PatchShape.of(size)
     out = lookup_join(samples, dims, ["volume_id"], list(AXES))
     for axis, step, n in zip(AXES, p.axes, extent):
-        out = out.withColumn(f"w{axis}", F.explode(covering_starts(F.col(axis), step, stride, F.col(n))))
+        out = out.selectExpr("*", f"explode({covering_starts(axis, step, stride, n)}) as w{axis}")
     return out.select("volume_id", "wx", "wy", "wz", *AXES, "amp")
 
 
@@ -165,11 +153,16 @@ def chunk_extent(chunks: Sequence[int]) -> list[int | None]:
 # ---- boxes ----------------------------------------------------------------
 
 
-def zslice(start: Column, length: int) -> Column:
+def zslice(start: int | str, length: int) -> Column:
     """``length`` samples of ``amps`` from ``start``, zeros outside the trace."""
-    at = F.sequence(start, start + (length - 1))
-    value = lambda a, z: F.coalesce(F.when(z >= 0, F.get(a, z)), F.lit(0)).cast("float")
-    return let("amps", lambda a: F.transform(at, lambda z: value(a, z)))
+    at = f"sequence({start}, {start} + {length - 1})"
+    value = "float(coalesce(if(z >= 0, get(tr, z), null), 0))"
+    return F.expr(let_sql("amps", "tr", f"transform({at}, z -> {value})"))
+
+
+def join_parts(at: str, traces: int, depth: int) -> Column:
+    """C-order cube from a map of trace parts; absent traces read 0."""
+    return F.expr(f"flatten({from_map_sql(at, traces, zeros_sql(depth))})")
 
 
 def cut_boxes(traces: DataFrame, boxes: DataFrame, size, ids: Sequence[str]) -> DataFrame:
@@ -191,15 +184,13 @@ def cut_boxes(traces: DataFrame, boxes: DataFrame, size, ids: Sequence[str]) ->
     if few_rows(boxes, max(1, LOOKUP_ROWS // (p.x * p.y))):
         keyed = F.broadcast(keyed)
     hits = traces.join(keyed, ["volume_id", "x", "y"]).select(
-        *ids, "dx", "dy", zslice(F.col("bz"), p.z).alias("part")
+        *ids, "dx", "dy", zslice("bz", p.z).alias("part")
     )
     packed = hits.groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("dx") * p.y + F.col("dy"), "part"))).alias("at")
     )
-    empty = F.array_repeat(F.lit(0).cast("float"), p.z)
-    whole = F.flatten(from_map("at", p.x * p.y, empty))
-    nothing = F.array_repeat(F.lit(0).cast("float"), p.samples)
-    cubes = packed.select(*ids, whole.alias("cube"))
+    nothing = F.expr(zeros_sql(p.samples))
+    cubes = packed.select(*ids, join_parts("at", p.x * p.y, p.z).alias("cube"))
     return boxes.join(cubes, ids, "left").withColumn("cube", F.coalesce("cube", nothing))
 
 

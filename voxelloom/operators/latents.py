@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import array_total, from_map, let
+from ..functions.arrays import from_map_sql, let_sql, total_sql
 from ..schema import PatchShape
-from .grid import AXES, covering_starts, padded_dims, window_grid, zslice
+from .grid import AXES, covering_starts, join_parts, padded_dims, window_grid, zslice
 from .joins import lookup_join
 from .volumes import preprocess
 
@@ -29,19 +29,12 @@ def pooled_latent(patches: DataFrame, size=POOL_CUBE) -> DataFrame:
     if p.axes != (POOL_CUBE,) * 3:
         raise ValueError(f"the pooled latent needs a 32x32x32 cube, got {p.axes}")
     ax, ay, az = POOL_BLOCK
-
-    def block(cube, b):
-        bx, by, bz = F.floor(b / 16), F.floor(b / 2) % 8, b % 2
-        first = lambda i: (
-            ((bx * ax + F.floor(i / ay)) * p.y + by * ay + i % ay) * p.z + bz * az + 1
-        ).cast("int")
-        runs = F.transform(
-            F.sequence(F.lit(0), F.lit(ax * ay - 1)), lambda i: array_total(F.slice(cube, first(i), az))
-        )
-        return array_total(runs) / (ax * ay * az)
-
-    every = F.sequence(F.lit(0), F.lit(POOL_SIZE - 1))
-    latent = let("cube", lambda cube: F.transform(every, lambda b: block(cube, b)))
+    first = (
+        f"(((b div 16) * {ax} + i div {ay}) * {p.y} + ((b div 2) % 8) * {ay} + i % {ay}) * {p.z} + (b % 2) * {az} + 1"
+    )
+    runs = f"transform(sequence(0, {ax * ay - 1}), i -> {total_sql(f'slice(pc, int({first}), {az})')})"
+    block = f"{total_sql(runs)} / {ax * ay * az}"
+    latent = F.expr(let_sql("cube", "pc", f"transform(sequence(0, {POOL_SIZE - 1}), b -> {block})"))
     return patches.withColumn("latent", latent).drop("cube")
 
 
@@ -58,81 +51,48 @@ def windows_pooled(
     """
     if stride % 16 or base % 16:
         raise ValueError("the pooled path needs stride and padding in multiples of 16")
-    zero = F.lit(0).cast("float")
-    n = F.size("amps")
-    cells_in = traces.select(
+    cells_in = traces.selectExpr(
         "volume_id",
-        F.shiftright(F.col("x") + base, 2).alias("cx"),
-        F.shiftright(F.col("y") + base, 2).alias("cy"),
-        F.inline(
-            F.arrays_zip(
-                F.sequence(F.lit(base), n + (base - 1)).alias("z"),
-                F.col("amps").alias("v"),
-                F.slice(F.concat(F.array(zero), "amps"), F.lit(1), n).alias("above"),
-                F.concat(F.slice("amps", F.lit(2), n), F.array(zero)).alias("below"),
-            )
-        ).alias("z", "v", "above", "below"),
+        f"shiftright(x + {base}, 2) as cx",
+        f"shiftright(y + {base}, 2) as cy",
+        f"inline(arrays_zip(sequence({base}, size(amps) + {base - 1}), amps, "
+        "slice(concat(array(float(0)), amps), 1, size(amps)), "
+        "concat(slice(amps, 2, size(amps)), array(float(0))))) as (z, v, above, below)",
     )
-    v, above, below, off = F.col("v"), F.col("above"), F.col("below"), F.col("z") % 16
-    strict = ((v > above) & (v > below)) | ((v < above) & (v < below))
-    peak, d = F.when(strict, v.cast("double")).otherwise(0.0), v.cast("double")
-    cells = cells_in.groupBy("volume_id", "cx", "cy", F.shiftright("z", 4).alias("bz")).agg(
-        F.sum(F.when(off != 0, peak).otherwise(0.0)).alias("lower"),
-        F.sum(F.when(off != 15, peak).otherwise(0.0)).alias("upper"),
-        F.sum(d).alias("s1"),
-        F.sum(d * d).alias("s2"),
+    peak = "if((v > above and v > below) or (v < above and v < below), double(v), 0D)"
+    cells = cells_in.groupBy("volume_id", "cx", "cy", F.expr("shiftright(z, 4) as bz")).agg(
+        F.expr(f"sum(if(z % 16 <> 0, {peak}, 0D)) as lower"),
+        F.expr(f"sum(if(z % 16 <> 15, {peak}, 0D)) as upper"),
+        F.expr("sum(double(v)) as s1"),
+        F.expr("sum(double(v) * double(v)) as s2"),
     )
-    spot = (F.col("cx") % 4) * 4 + F.col("cy") % 4
-    blocks = cells.groupBy(
-        "volume_id",
-        F.shiftright("cx", 2).alias("bx"),
-        F.shiftright("cy", 2).alias("by"),
-        "bz",
-    ).agg(
-        F.collect_list(F.struct(spot.alias("at"), "lower", "upper")).alias("cells"),
-        F.sum("s1").alias("s1"),
-        F.sum("s2").alias("s2"),
+    blocks = cells.groupBy("volume_id", F.expr("shiftright(cx, 2) as bx"), F.expr("shiftright(cy, 2) as by"), "bz").agg(
+        F.expr("collect_list(struct((cx % 4) * 4 + cy % 4 as at, lower, upper)) as cells"),
+        F.expr("sum(s1) as s1"),
+        F.expr("sum(s2) as s2"),
     )
-    grid = padded_dims(dims, POOL_CUBE, base)
-    spread = lookup_join(blocks, grid.select("volume_id", "px", "py", "pz"), ["volume_id"], ["bx", "by", "bz"])
+    grid = padded_dims(dims, POOL_CUBE, base).select("volume_id", "px", "py", "pz")
+    spread = lookup_join(blocks, grid, ["volume_id"], ["bx", "by", "bz"])
     for a in AXES:
         # Windows start on block borders, so covering the last sample covers all.
-        starts = covering_starts(F.col(f"b{a}") * 16 + 15, POOL_CUBE, stride, F.col(f"p{a}"))
-        spread = spread.withColumn(f"w{a}", F.explode(starts))
-    half = [F.col(f"b{a}") - F.col(f"w{a}") / 16 for a in AXES]
-    part = F.struct(*[h.cast("int").alias(f"o{a}") for h, a in zip(half, AXES)], "cells")
-    rows = spread.select("volume_id", "wx", "wy", "wz", part.alias("part"), "s1", "s2")
-    every = window_grid(grid, POOL_CUBE, stride, ("px", "py", "pz")).select(
-        "volume_id", "wx", "wy", "wz", F.lit(None).cast(rows.schema["part"].dataType).alias("part"),
-        F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"),
-    )
-    packed = rows.unionByName(every).groupBy("volume_id", "wx", "wy", "wz").agg(
-        F.collect_list("part").alias("parts"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")
+        starts = covering_starts(f"b{a} * 16 + 15", POOL_CUBE, stride, f"p{a}")
+        spread = spread.selectExpr("*", f"explode({starts}) as w{a}")
+    halves = ", ".join(f"int((b{a} * 16 - w{a}) div 16) as o{a}" for a in AXES)
+    rows = spread.selectExpr("volume_id", "wx", "wy", "wz", f"struct({halves}, cells) as part", "s1", "s2")
+    every = window_grid(grid, POOL_CUBE, stride, ("px", "py", "pz")).selectExpr("*", "0D as s1", "0D as s2")
+    packed = rows.unionByName(every, allowMissingColumns=True).groupBy("volume_id", "wx", "wy", "wz").agg(
+        F.expr("collect_list(part) as parts"), F.expr("sum(s1) as s1"), F.expr("sum(s2) as s2")
     )
-    feature = F.flatten(
-        F.transform(
-            "parts",
-            lambda p: F.transform(
-                p["cells"],
-                lambda c: F.struct(
-                    (
-                        ((p["ox"] * 4 + F.floor(c["at"] / 4)) * 8 + p["oy"] * 4 + c["at"] % 4) * 2 + p["oz"]
-                    ).cast("int").alias("i"),
-                    F.when(p["oz"] == 0, c["lower"]).otherwise(c["upper"]).alias("s"),
-                ),
-            ),
-        )
+    place = "int(((p.ox * 4 + c.at div 4) * 8 + p.oy * 4 + c.at % 4) * 2 + p.oz)"
+    entries = (
+        f"flatten(transform(parts, p -> transform(p.cells, c -> "
+        f"struct({place} as i, if(p.oz = 0, c.lower, c.upper) as s))))"
     )
     count = float(POOL_CUBE**3)
-    mean = F.col("s1") / count
-    dev = F.sqrt(F.greatest(F.col("s2") / count - mean * mean, F.lit(0.0)))
-    sums = from_map("sums", POOL_SIZE, F.lit(0.0))
-    dense = let(256.0 * F.col("dev"), lambda d: F.transform(sums, lambda s: s / d))
-    return packed.select(
-        "volume_id", "wx", "wy", "wz",
-        F.map_from_entries(feature).alias("sums"),
-        F.greatest(dev, F.lit(floor)).alias("dev"),
-    ).select("volume_id", "wx", "wy", "wz", dense.alias("latent"))
+    dev = f"greatest(sqrt(greatest(s2 / {count}D - (s1 / {count}D) * (s1 / {count}D), 0D)), {floor!r}D)"
+    sums = from_map_sql(f"map_from_entries({entries})", POOL_SIZE, "0D")
+    latent = let_sql(f"256D * {dev}", "dv", f"transform({sums}, s -> s / dv)")
+    return packed.selectExpr("volume_id", "wx", "wy", "wz", f"{latent} as latent")
 
 
 # ---- user-supplied encoders -----------------------------------------------
@@ -219,8 +179,7 @@ def windows_encoded(
     """
     p = PatchShape.of(size)
     grid = padded_dims(dims, p, base)
-    counts = window_grid  # grid validation happens through the same check
-    tiles = counts(grid, p, stride, ("px", "py", "pz"))
+    tiles = window_grid(grid, p, stride, ("px", "py", "pz"))
     for a in AXES:
         tiles = tiles.filter(F.col(f"w{a}") % (stride * tile) == 0)
     limits = grid.select("volume_id", "px", "py", "pz")
@@ -290,11 +249,9 @@ def token_cube(traces: DataFrame, volume_id: str, center, size) -> DataFrame:
         (F.col("volume_id") == volume_id)
         & F.col("x").between(x0, x0 + p.x - 1)
         & F.col("y").between(y0, y0 + p.y - 1)
-    ).select(((F.col("x") - x0) * p.y + F.col("y") - y0).alias("i"), zslice(F.lit(z0), p.z).alias("part"))
+    ).select(((F.col("x") - x0) * p.y + F.col("y") - y0).alias("i"), zslice(z0, p.z).alias("part"))
     packed = near.agg(F.map_from_entries(F.collect_list(F.struct("i", "part"))).alias("at"))
-    empty = F.array_repeat(F.lit(0).cast("float"), p.z)
-    whole = F.flatten(from_map("at", p.x * p.y, empty))
-    return packed.select(whole.alias("cube"))
+    return packed.select(join_parts("at", p.x * p.y, p.z).alias("cube"))
 
 
 def build_token(
@@ -305,7 +262,7 @@ def build_token(
     ready = preprocess(token_cube(traces, volume_id, center, p), p, floor).select(
         F.lit(0).cast("bigint").alias("example_id"),
         "cube",
-        F.aggregate("cube", F.lit(0), lambda n, v: n + F.when(v != 0, 1).otherwise(0)).alias("non_zero"),
+        F.expr("aggregate(cube, 0, (n, v) -> n + if(v <> 0, 1, 0)) as non_zero"),
     )
     mode = "pooled" if make_encoder is None else "encoder"
     if make_encoder is None:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import array_total
 from ..functions.portable import between, open_uniform, uniform
 from ..schema import PatchShape
-from .grid import AXES, zslice
-from .joins import LOOKUP_ROWS, few_rows, last_before, lookup_join, running_sum
-from ..functions.arrays import array_total
+from .grid import AXES
+from .joins import LOOKUP_ROWS, few_rows, last_before, running_sum
 from ..session import materialize
 
 
@@ -46,9 +46,7 @@ def box_scores(scores: DataFrame, boxes: DataFrame, size, broadcast_z: bool = Fa
     )
     if few_rows(clean.select("volume_id"), LOOKUP_ROWS):
         clean = F.broadcast(clean)
-    start = F.greatest(F.col("bz"), F.lit(0))
-    part = F.slice("amps", start + 1, F.lit(p.z))
-    value = array_total(part)
+    value = array_total(f"slice(amps, greatest(bz, 0) + 1, {p.z})")
     if broadcast_z:
         value = F.when(F.size("amps") == 1, F.get("amps", F.lit(0)) * p.z).otherwise(value)
     sums = keyed.join(clean, ["volume_id", "x", "y"]).groupBy("volume_id", "cand").agg(F.sum(value).alias("score"))
@@ -149,8 +147,3 @@ def mixup_partner(examples: DataFrame, seed: int = 0) -> DataFrame:
         .drop("_n")
     )
 
-
-__all__ = [
-    "box_scores", "candidate_positions", "check_weights", "distinct_positions", "lookup_join",
-    "mixup_partner", "resample_examples", "weighted_pick", "zslice",
-]

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import hann, similarity
@@ -35,9 +35,10 @@ def hann_taper(spark, size) -> DataFrame:
     return out.withColumn("weight", hann(F.col("x"), p.x) * hann(F.col("y"), p.y) * hann(F.col("z"), p.z))
 
 
-def _taper_values(n: int) -> Column:
+def _taper_sql(n: int) -> str:
+    """The taper of one axis as a constant array."""
     values = [1.0] if n == 1 else [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
-    return F.array(*[F.lit(v) for v in values])
+    return f"array({', '.join(f'{v!r}D' for v in values)})"
 
 
 def _pieces(p: PatchShape, stride: int) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -54,18 +55,16 @@ def block_sums(scores: DataFrame, size, stride: int) -> DataFrame:
     """
     p = PatchShape.of(size)
     unit, offsets = _pieces(p, stride)
-    spots = F.array(*[
-        F.struct(F.lit(k).alias("k"), *[F.lit(o).alias(f"o{a}") for o, a in zip(off, AXES)])
+    spots = ", ".join(
+        f"struct({k} as k, " + ", ".join(f"{o} as o{a}" for o, a in zip(off, AXES)) + ")"
         for k, off in enumerate(offsets)
-    ])
-    placed = scores.select("volume_id", "wx", "wy", "wz", "sim", F.inline(spots))
-    keys = [
-        (F.floor(F.col(f"w{a}") / u) + F.col(f"o{a}")).cast("int").alias(f"b{a}") for a, u in zip(AXES, unit)
-    ]
-    here = [F.col("k") == k for k in range(len(offsets))]
+    )
+    placed = scores.selectExpr("volume_id", "wx", "wy", "wz", "sim", f"inline(array({spots}))")
+    keys = [F.expr(f"int(w{a} div {u} + o{a}) as b{a}") for a, u in zip(AXES, unit)]
+    every = range(len(offsets))
     return placed.groupBy("volume_id", *keys).agg(
-        *[F.sum(F.when(h, F.col("sim"))).alias(f"s_{k}") for k, h in enumerate(here)],
-        *[F.count(F.when(h, 1)).alias(f"n_{k}") for k, h in enumerate(here)],
+        *[F.expr(f"sum(if(k = {k}, sim, null)) as s_{k}") for k in every],
+        *[F.expr(f"count(if(k = {k}, 1, null)) as n_{k}") for k in every],
     )
 
 
@@ -83,20 +82,15 @@ def expand_blocks(
     bounds = dims.select("volume_id", *[F.col(n).alias(f"e{a}") for n, a in zip(extent, AXES)])
     out = lookup_join(blocks, bounds, ["volume_id"], ["bx", "by", "bz"])
     for a, n, u in zip(AXES, p.axes, unit):
-        low = F.greatest(F.col(f"b{a}") * u, F.lit(base))
-        high = F.least(F.col(f"b{a}") * u + (u - 1), F.col(f"e{a}") + (base - 1))
-        out = out.withColumn(f"g{a}", F.explode(F.when(low <= high, F.sequence(low, high))))
-        taper, inside = _taper_values(n), F.col(f"g{a}") - F.col(f"b{a}") * u
-        for o in range(n // u):
-            out = out.withColumn(f"h{a}_{o}", F.get(taper, (inside + o * u).cast("int")))
-    top, weight = F.lit(0.0), F.lit(0.0)
-    for k, off in enumerate(offsets):
-        h = F.col(f"hx_{off[0]}") * F.col(f"hy_{off[1]}") * F.col(f"hz_{off[2]}")
-        top = top + F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) * h
-        weight = weight + F.coalesce(F.col(f"n_{k}"), F.lit(0)) * h
-    return out.select(
-        "volume_id", *[(F.col(f"g{a}") - base).cast("int").alias(a) for a in AXES],
-        (top / F.greatest(weight, F.lit(eps))).alias("sim"),
+        low, high = f"greatest(b{a} * {u}, {base})", f"least(b{a} * {u} + {u - 1}, e{a} + {base - 1})"
+        out = out.selectExpr("*", f"explode(if({low} <= {high}, sequence({low}, {high}), null)) as g{a}")
+        taper = _taper_sql(n)
+        out = out.selectExpr("*", *[f"get({taper}, g{a} - b{a} * {u} + {o * u}) as h{a}_{o}" for o in range(n // u)])
+    h = [" * ".join(f"h{a}_{o}" for a, o in zip(AXES, off)) for off in offsets]
+    top = " + ".join(f"coalesce(s_{k}, 0D) * {t}" for k, t in enumerate(h))
+    weight = " + ".join(f"coalesce(n_{k}, 0) * {t}" for k, t in enumerate(h))
+    return out.selectExpr(
+        "volume_id", *[f"int(g{a} - {base}) as {a}" for a in AXES], f"({top}) / greatest({weight}, {eps!r}D) as sim"
     )
 
 
@@ -121,9 +115,7 @@ def _overlap_add_by_sample(scores, dims, p, stride, base, extent, eps) -> DataFr
     covered = assign_windows(points, wide, p, stride, extent).drop("amp").join(
         scores, ["volume_id", "wx", "wy", "wz"]
     )
-    h = F.lit(1.0)
-    for a, n in zip(AXES, p.axes):
-        h = h * F.get(_taper_values(n), F.col(a) - F.col(f"w{a}"))
+    h = F.expr(" * ".join(f"get({_taper_sql(n)}, {a} - w{a})" for a, n in zip(AXES, p.axes)))
     sums = covered.groupBy("volume_id", *AXES).agg(F.sum(F.col("sim") * h).alias("s"), F.sum(h).alias("w"))
     return sums.select(
         "volume_id", *[(F.col(a) - base).cast("int").alias(a) for a in AXES],

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import percentile_of
-from .joins import lookup_join
 from .quantiles import exact_percentiles
 from .volumes import clip_scaled, ortho_slices
 
@@ -117,8 +116,3 @@ def volume_summary(similarity_map: DataFrame) -> DataFrame:
         F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"),
     )
 
-
-__all__ = [
-    "color_limits", "dataset_stats", "latent_percentiles", "lookup_join", "merge_stats",
-    "nonzero_count", "overlay_preview", "volume_stats", "volume_summary",
-]

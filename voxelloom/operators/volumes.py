@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import array_std, clipped, extrema, from_map, let, scaled
+from ..functions.arrays import extrema, extrema_sql, from_map_sql, let_sql, scaled, std_sql
 from ..schema import PatchShape
 from .joins import lookup_join
 
@@ -22,7 +22,7 @@ def traces_of(samples: DataFrame) -> DataFrame:
     deepest = F.max("z")
     values = F.map_from_entries(F.collect_list(F.struct("z", "amp")))
     packed = samples.groupBy("volume_id", "x", "y").agg(values.alias("at"), deepest.alias("top"))
-    full = from_map("at", F.col("top") + 1, F.lit(0.0))
+    full = F.expr(from_map_sql("at", "top + 1", "0"))
     return packed.select("volume_id", "x", "y", full.cast("array<float>").alias("amps"))
 
 
@@ -46,7 +46,7 @@ def patches_of(samples: DataFrame, size) -> DataFrame:
     packed = samples.groupBy("example_id").agg(
         F.map_from_entries(F.collect_list(F.struct(place, "amp"))).alias("at")
     )
-    full = from_map("at", p.samples, F.lit(0.0))
+    full = F.expr(from_map_sql("at", p.samples, "0"))
     return packed.select("example_id", full.cast("array<float>").alias("cube"))
 
 
@@ -82,23 +82,18 @@ def normalize_cubes(df: DataFrame, floor: float = 1e-6, column: str = "cube") ->
     return df.withColumn(column, _by_std(column, floor))
 
 
-def _by_std(cube, floor: float, kept=lambda v: v) -> Column:
-    """Divide (a transform of) a cube by the cube's own deviation."""
-    a = F.col(cube)
-
-    def divide(v):
-        dev = F.greatest(array_std(v), F.lit(floor))
-        return let(dev, lambda d: F.transform(kept(v), lambda e: e.cast("double") / d))
-
-    return let(a, divide)
-
-
 def trace_extrema(traces: DataFrame, column: str = "amps") -> DataFrame:
     """Keep strict peaks and troughs along each trace."""
     return traces.withColumn(column, extrema(column))
 
 
-def cube_extrema(cube, nz: int) -> Column:
+def _by_std(cube: str, floor: float, kept: str = "cb") -> Column:
+    """Divide (an expression of) a cube ``cb`` by the cube's own deviation."""
+    dev = f"greatest({std_sql('cb')}, {floor!r}D)"
+    return F.expr(let_sql(cube, "cb", let_sql(dev, "dv", f"transform({kept}, v -> double(v) / dv)")))
+
+
+def cube_extrema(cube: str, nz: int) -> Column:
     """Extrema along z inside a C-order cube with ``nz`` samples per trace."""
     return extrema(cube, nz)
 
@@ -110,7 +105,7 @@ def preprocess(patches: DataFrame, size, floor: float = 1e-6) -> DataFrame:
     does not move them.
     """
     nz = PatchShape.of(size).z
-    return patches.withColumn("cube", _by_std("cube", floor, lambda v: extrema(v, nz)))
+    return patches.withColumn("cube", _by_std("cube", floor, extrema_sql("cb", nz)))
 
 
 # ---- slices and display ---------------------------------------------------
@@ -123,23 +118,15 @@ def ortho_slices(traces: DataFrame, dims: DataFrame, inline: int, crossline: int
     where it lies on an x or y plane, all of its samples.
     """
     near = lookup_join(traces, dims, ["volume_id"], ["x", "y"])
-    at = {
-        "x": clipped(F.lit(inline), 0, F.col("nx") - 1),
-        "y": clipped(F.lit(crossline), 0, F.col("ny") - 1),
-        "z": clipped(F.lit(depth), 0, F.col("nz") - 1),
-    }
-
-    def whole(axis):
-        rows = F.transform(
-            "amps",
-            lambda v, z: F.struct(F.lit(axis).alias("plane"), z.cast("int").alias("z"), v.alias("amp")),
-        )
-        return F.when(F.col(axis) == at[axis], rows).otherwise(F.slice(rows, 1, 0))
+    at = {a: f"greatest(0, least(n{a} - 1, {int(k)}))" for a, k in zip("xyz", (inline, crossline, depth))}
 
-    one = F.array(
-        F.struct(F.lit("z").alias("plane"), at["z"].cast("int").alias("z"), F.get("amps", at["z"]).alias("amp"))
-    )
-    return near.select("volume_id", "x", "y", F.inline(F.concat(whole("x"), whole("y"), one)))
+    def whole(axis: str) -> str:
+        rows = f"transform(amps, (v, z) -> struct('{axis}' as plane, z as z, v as amp))"
+        return f"if({axis} = {at[axis]}, {rows}, slice({rows}, 1, 0))"
+
+    one = f"array(struct('z' as plane, {at['z']} as z, get(amps, {at['z']}) as amp))"
+    rows = F.expr(f"concat({whole('x')}, {whole('y')}, {one})")
+    return near.select("volume_id", "x", "y", F.inline(rows))
 
 
 def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "pred", "target")) -> DataFrame:
@@ -150,28 +137,19 @@ def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "p
     """
     p = PatchShape.of(size)
 
-    def section(name, part, first, width, at):
-        """Samples of one plane; ``at`` gives the trace number of a lateral position."""
-
-        def plane(a):
-            def cell(i):
-                lateral, depth = F.floor(i / p.z).cast("int"), i % p.z
-                return F.struct(
-                    F.lit(name).alias("section"),
-                    depth.cast("int").alias("depth"),
-                    (lateral + first).cast("int").alias("across"),
-                    F.get(a, at(lateral) * p.z + depth).cast("double").alias("value"),
-                )
-
-            return F.transform(F.sequence(F.lit(0), F.lit(width * p.z - 1)), cell)
-
-        return let(part, plane)
+    def section(name: str, part: str, first: int, width: int, trace: str) -> str:
+        """Samples of one plane; ``trace`` gives the trace number at lateral place i div nz."""
+        cell = (
+            f"struct('{name}' as section, int(i % {p.z}) as depth, int(i div {p.z} + {first}) as across, "
+            f"double(get(a, int(({trace}) * {p.z} + i % {p.z}))) as value)"
+        )
+        return let_sql(part, "a", f"transform(sequence(0, {width * p.z - 1}), i -> {cell})")
 
     planes = []
     for n, part in enumerate(parts):
-        planes.append(section("inline", part, n * p.x, p.x, lambda x: x * p.y + p.y // 2))
-        planes.append(section("crossline", part, n * p.y, p.y, lambda y: y + (p.x // 2) * p.y))
-    return cubes.select("example_id", F.inline(F.concat(*planes)))
+        planes.append(section("inline", part, n * p.x, p.x, f"(i div {p.z}) * {p.y} + {p.y // 2}"))
+        planes.append(section("crossline", part, n * p.y, p.y, f"i div {p.z} + {(p.x // 2) * p.y}"))
+    return cubes.select("example_id", F.inline(F.expr(f"concat({', '.join(planes)})")))
 
 
 def mask_below(df: DataFrame, threshold: float, low, high, column: str = "amp") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.arrays import similarity
 from ..operators.latents import encode_patches, pooled_latent
@@ -23,8 +22,8 @@ def stream_latent_scores(patches: DataFrame, vector: list[float], size, mode: st
         coded = pooled_latent(patches, size)
     else:
         coded = encode_patches(patches, make_encoder, size, batch_size, keys)
-    target = F.array(*[F.lit(v) for v in vector])
-    return coded.select(*keys, similarity(F.col("latent"), target, mode).alias("sim"))
+    target = f"array({', '.join(f'{v!r}D' for v in vector)})"
+    return coded.select(*keys, similarity("latent", target, mode).alias("sim"))
 
 
 def stream_overlap_add(scores: DataFrame, size, stride: int) -> DataFrame:
