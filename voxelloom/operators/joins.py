@@ -15,7 +15,7 @@ SALTS = 64
 
 def few_rows(df: DataFrame, most: int = LOOKUP_ROWS) -> bool:
     """Whether ``df`` has at most ``most`` rows; reads no more than that plus one."""
-    return df.limit(most + 1).count() <= most
+    return len(df.select(F.lit(1)).take(most + 1)) <= most
 
 
 def lookup_join(
@@ -77,6 +77,23 @@ def running_sum(
     )
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that is unique.
+
+    Only the order columns are sorted; wide rows are then kept by comparing
+    with the last kept key, so they never meet in one task.
+    """
+    order = list(order)
+    keys = df.select(*order)
+    if n <= LOOKUP_ROWS:
+        kept = keys.orderBy(*order).limit(n)
+    else:
+        counted = running_sum(keys.withColumn("_one", F.lit(1).cast("bigint")), [], order, "_one", "_nth")
+        kept = counted.filter(F.col("_nth") <= n)
+    last = kept.agg(F.max(F.struct(*order))).scalar()
+    return df.withColumn("_last", last).filter(F.struct(*order) <= F.col("_last")).drop("_last")
+
+
 def last_before(marks: DataFrame, probes: DataFrame, at: str, carry: str) -> DataFrame:
     """For each probe, ``carry`` of the last mark with position ``at`` not above it.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import lookup_join
+from .joins import LOOKUP_ROWS, lookup_join
 
 BINS = 65_535
 SMALL_BIN = 100_000
@@ -33,8 +33,9 @@ def _narrow(bins: DataFrame, by: list[str]) -> DataFrame:
     """
     below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    inside = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    return placed.withColumn("_ranks", inside).filter(F.size("_ranks") > 0)
+    inside = F.expr("filter(_ranks, r -> r >= _before and r < _before + _n) as _ranks")
+    rest = [c for c in placed.columns if c not in ("_ranks", "_bin")]
+    return placed.select(*rest, inside).filter(F.size("_ranks") > 0)
 
 
 def exact_percentiles(
@@ -49,62 +50,58 @@ def exact_percentiles(
     rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-    groups = [F.col(k) for k in keys]
 
-    first = rows.groupBy(*groups, _log_bin(F.col("_v")).alias("_bin")).agg(
+    first = rows.groupBy(*keys, _log_bin(F.col("_v")).alias("_bin")).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    wanted = F.array(*[F.lit(float(p)) for p in percents])
-    spot = F.transform(wanted, lambda p: (F.col("_total") - 1) * p / 100.0)
-    ranks = F.array_distinct(F.flatten(F.transform(spot, lambda s: F.array(F.floor(s), F.ceil(s)))))
-    first = materialize(first)
-    totals = first.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    wanted = f"array({', '.join(f'{float(p)!r}D' for p in percents)})"
+    ends = f"flatten(transform({wanted}, p -> array(floor((_total - 1) * p / 100), ceil((_total - 1) * p / 100))))"
     bins = (
-        first.join(totals, keys)
-        .withColumn("_ranks", ranks)
+        first.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+        .withColumn("_ranks", F.expr(f"array_distinct({ends})"))
         .withColumn("_before", F.lit(0).cast("bigint"))
     )
-    state = materialize(_narrow(bins, keys).select(*keys, "_ranks", "_before", "_n", "_lo", "_hi"))
-    done = [state.filter("_lo = _hi")]
-    open_ = state.filter("_lo < _hi")
+    names = [*keys, "_total", "_ranks", "_before", "_n", "_lo", "_hi"]
+    state = materialize(_narrow(bins, keys).select(*names))
+    settled = state.filter("_lo = _hi")
 
     def rows_in(targets: DataFrame) -> DataFrame:
-        packed = targets.groupBy(*keys).agg(
-            F.collect_list(F.struct("_lo", "_hi", "_ranks", "_before")).alias("_t")
-        )
-        near = lookup_join(rows, packed, keys, ["_v"])
-        hits = F.filter("_t", lambda t: (F.col("_v") >= t["_lo"]) & (F.col("_v") <= t["_hi"]))
-        return near.select(*keys, "_v", F.explode(hits).alias("_t")).select(*keys, "_v", "_t.*")
-
-    while not open_.filter(F.col("_n") > SMALL_BIN).isEmpty():
-        sub = rows_in(open_)
-        spot_bin = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)
-        counted = sub.groupBy(*keys, "_lo", "_hi", "_ranks", "_before", spot_bin.alias("_bin")).agg(
+        fields = "_total, _ranks, _before, _lo, _hi"
+        packed = targets.groupBy(*keys).agg(F.expr(f"collect_list(struct({fields})) as _t"))
+        near = lookup_join(rows, packed, keys, ["_v"], most=LOOKUP_ROWS // (2 * len(percents)))
+        hits = F.expr("explode(filter(_t, t -> _v >= t._lo and _v <= t._hi)) as _t")
+        return near.select(*keys, "_v", hits).select(*keys, "_v", "_t.*")
+
+    def widest() -> int | None:
+        """Rows of the fullest bin that is not a single value yet."""
+        return state.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_n")))).first()[0]
+
+    width = widest()
+    while width is not None and width > SMALL_BIN:
+        spot = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)
+        by = [*keys, "_total", "_ranks", "_before", "_lo", "_hi"]
+        counted = rows_in(state.filter("_lo < _hi")).groupBy(*by, spot.alias("_bin")).agg(
             F.count("*").alias("_n"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2")
         )
-        picked = _narrow(counted, [*keys, "_lo", "_hi"])
-        state = materialize(
-            picked.select(*keys, "_ranks", "_before", "_n", F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"))
-        )
-        done.append(state.filter("_lo = _hi"))
-        open_ = state.filter("_lo < _hi")
-
-    settled = done[0]
-    for more in done[1:]:
-        settled = settled.unionByName(more)
-    found = settled.select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
-    if not open_.isEmpty():
+        picked = _narrow(counted, [*keys, "_lo", "_hi"]).drop("_lo", "_hi")
+        state = materialize(picked.withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"}).select(*names))
+        settled = settled.unionByName(state.filter("_lo = _hi"))
+        width = widest()
+
+    found = settled.select(*keys, "_total", F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+    if width is not None:
         # Every open bin now has at most SMALL_BIN rows.
-        spot_in = Window.partitionBy(*keys, "_lo").orderBy("_v")
-        ordered = rows_in(open_).withColumn("_rank", F.col("_before") + F.row_number().over(spot_in) - 1)
+        inside = Window.partitionBy(*keys, "_lo").orderBy("_v")
+        ordered = rows_in(state.filter("_lo < _hi")).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
         found = found.unionByName(
-            ordered.filter(F.array_contains("_ranks", F.col("_rank"))).select(*keys, "_rank", "_v")
+            ordered.filter(F.array_contains("_ranks", F.col("_rank"))).select(*keys, "_total", "_rank", "_v")
         )
 
     # At most two ranks per percent and group from here on.
-    table = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
-    table = table.join(totals, keys).select(*keys, "_at", "_total", F.explode(wanted).alias("percent"))
-    s = (F.col("_total") - 1) * F.col("percent") / 100.0
-    lo, hi = F.col("_at")[F.floor(s)], F.col("_at")[F.ceil(s)]
-    out = table.withColumn(value, lo + (hi - lo) * (s - F.floor(s))).drop("_at", "_total")
+    table = found.groupBy(*keys, "_total").agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
+    s = "((_total - 1) * percent / 100)"
+    low, high = f"_at[bigint(floor({s}))]", f"_at[bigint(ceil({s}))]"
+    out = table.selectExpr(*keys, "_at", "_total", f"explode({wanted}) as percent").selectExpr(
+        *keys, "percent", f"{low} + ({high} - {low}) * ({s} - floor({s})) as {value}"
+    )
     return out.drop("_all")

@@ -11,7 +11,7 @@ from ..functions.arrays import array_total
 from ..functions.portable import between, open_uniform, uniform
 from ..schema import PatchShape
 from .grid import AXES
-from .joins import LOOKUP_ROWS, few_rows, last_before, running_sum
+from .joins import few_rows, last_before, running_sum
 from ..session import materialize
 
 
@@ -44,7 +44,8 @@ def box_scores(scores: DataFrame, boxes: DataFrame, size, broadcast_z: bool = Fa
         boxes.withColumn("x", F.explode(F.sequence(F.col("bx"), F.col("bx") + (p.x - 1))))
         .withColumn("y", F.explode(F.sequence(F.col("by"), F.col("by") + (p.y - 1))))
     )
-    if few_rows(clean.select("volume_id"), LOOKUP_ROWS):
+    # Bounded by samples, not rows: a score trace may be long.
+    if few_rows(clean.select(F.explode("amps"))):
         clean = F.broadcast(clean)
     value = array_total(f"slice(amps, greatest(bz, 0) + 1, {p.z})")
     if broadcast_z:
@@ -135,9 +136,12 @@ def check_weights(weights: DataFrame, examples: DataFrame) -> None:
         raise ValueError("weights and examples differ in length")
 
 
-def mixup_partner(examples: DataFrame, seed: int = 0) -> DataFrame:
-    """A uniform other example for each example (ids 0..N-1); a single one gets itself."""
-    n = examples.agg(F.count("*")).scalar()
+def mixup_partner(examples: DataFrame, seed: int = 0, corpus: DataFrame | None = None) -> DataFrame:
+    """A uniform other example for each example (ids 0..N-1); a single one gets itself.
+
+    ``corpus`` is where the partners come from, by default the examples.
+    """
+    n = (examples if corpus is None else corpus).agg(F.count("*")).scalar()
     i = F.col("example_id")
     drawn = F.floor(uniform(seed, "partner", i) * (F.col("_n") - 1))
     other = drawn + F.when(drawn >= i, 1).otherwise(0)

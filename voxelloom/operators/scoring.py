@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PatchShape
-from .joins import lookup_join
+from .joins import LOOKUP_ROWS, lookup_join
 from .latents import encode_batches
 from .quantiles import exact_percentiles
 
@@ -232,7 +232,7 @@ def representatives(scores: DataFrame, percents: Sequence[int] = PERCENTILES) ->
     k = len(percents)
     marks = exact_percentiles(scores, ["split"], "score", list(percents))
     marks = marks.groupBy("split").agg(F.collect_list(F.struct("percent", F.col("score").alias("mark"))).alias("marks"))
-    near = lookup_join(scores, marks, ["split"], ["example_id"]).select(
+    near = lookup_join(scores, marks, ["split"], ["example_id"], most=LOOKUP_ROWS // k).select(
         "split", "example_id", "score", F.inline("marks")
     )
     gap = F.abs(F.col("score") - F.col("mark"))

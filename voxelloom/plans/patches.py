@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grid import extract_boxes
+from ..operators.joins import first_rows
 from ..operators.sampling import box_scores, candidate_positions, distinct_positions, weighted_pick
 from ..operators.stats import dataset_stats
 from ..operators.volumes import samples_of, scale_cubes
 from ..schema import PatchShape
+from ..session import materialize
 
 
 def pick_boxes(
@@ -38,8 +40,9 @@ def sample_patches(
     ``std`` is given.
     """
     p = PatchShape.of(size)
-    picks = pick_boxes(dims, scores, p, n_per_volume, n_candidates, allow_overlap, broadcast_z, seed)
-    capped = picks.orderBy("volume_id", "draw").limit(n_patches)
+    # Narrow rows that several steps below read.
+    picks = materialize(pick_boxes(dims, scores, p, n_per_volume, n_candidates, allow_overlap, broadcast_z, seed))
+    capped = materialize(first_rows(picks, ["volume_id", "draw"], n_patches))
     cubes = extract_boxes(traces, capped.drop("score", "cand"), dims, p, ["volume_id", "draw"])
     if scaling == "none":
         return cubes

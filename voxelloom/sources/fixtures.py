@@ -123,7 +123,7 @@ def recon(spark, sf_dir) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("z", "m"))).alias("rows"))
         .select("label", F.col("rows.m").alias("pred"))
     )
-    return lookup_join(emb, means, ["label"], ["vec_id"]).select(
+    return lookup_join(emb, materialize(means), ["label"], ["vec_id"], most=20_000).select(
         F.col("vec_id").alias("example_id"), "label", F.col("embedding").alias("target"), "pred"
     )
 
@@ -174,7 +174,7 @@ def job_events(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("bigint"))
     totals = ev.groupBy("user_id").agg(F.count("*").alias("total_windows"))
     placed = running_sum(ev, ["user_id"], ["ts", "event_id"], "one", "place")
-    both = lookup_join(placed, totals, ["user_id"], ["event_id"])
+    both = lookup_join(placed, materialize(totals), ["user_id"], ["event_id"])
     over = F.when(F.col("event_id") % 97 == 0, F.col("total_windows")).otherwise(F.lit(0))
     # Which event type stands for which kind of job event.
     kind = (

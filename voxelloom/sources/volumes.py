@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import chunk_extent
-from ..operators.joins import lookup_join
+from ..operators.joins import first_rows, lookup_join
 from ..schema import RUN_METRICS, PatchShape
 
 # Array keys tried in this order when none is given.
@@ -80,12 +80,12 @@ def check_patches(patches: DataFrame, size) -> DataFrame:
 
 
 def write_patches(patches: DataFrame, path: str, meta: dict, most: int | None = None, order: Sequence[str] = ("volume_id", "draw")) -> None:
-    """Write patches in draw order up to the cap, with their shape and scaling next to them.
+    """Write patches up to the cap in draw order, with their shape and scaling next to them.
 
-    ``meta``: size, scaling_mode, scaling_mean, scaling_std.
+    ``order`` is unique per patch.  ``meta``: size, scaling_mode, scaling_mean, scaling_std.
     """
     spark = patches.sparkSession
-    kept = patches.orderBy(*order).limit(most) if most is not None else patches
+    kept = first_rows(patches, order, most) if most is not None else patches
     kept.withColumn("cube", F.col("cube").cast("array<float>")).write.mode("overwrite").parquet(f"{path}/patches")
     p = PatchShape.of(meta["size"])
     row = (p.x, p.y, p.z, meta["scaling_mode"], float(meta["scaling_mean"]), float(meta["scaling_std"]))
