@@ -81,17 +81,25 @@ def expand_blocks(
     unit, offsets = _pieces(p, stride)
     bounds = dims.select("volume_id", *[F.col(n).alias(f"e{a}") for n, a in zip(extent, AXES)])
     out = lookup_join(blocks, bounds, ["volume_id"], ["bx", "by", "bz"])
-    for a, n, u in zip(AXES, p.axes, unit):
+    # The taper is a product over axes, so each axis is summed out as soon as
+    # its coordinate is generated; few terms are left per sample.
+    left = {off: (f"coalesce(s_{k}, 0D)", f"n_{k}") for k, off in enumerate(offsets)}
+    made = ["volume_id"]
+    for i, (a, n, u) in enumerate(zip(AXES, p.axes, unit)):
         low, high = f"greatest(b{a} * {u}, {base})", f"least(b{a} * {u} + {u - 1}, e{a} + {base - 1})"
         out = out.selectExpr("*", f"explode(if({low} <= {high}, sequence({low}, {high}), null)) as g{a}")
-        taper = _taper_sql(n)
-        out = out.selectExpr("*", *[f"get({taper}, g{a} - b{a} * {u} + {o * u}) as h{a}_{o}" for o in range(n // u)])
-    h = [" * ".join(f"h{a}_{o}" for a, o in zip(AXES, off)) for off in offsets]
-    top = " + ".join(f"coalesce(s_{k}, 0D) * {t}" for k, t in enumerate(h))
-    weight = " + ".join(f"coalesce(n_{k}, 0) * {t}" for k, t in enumerate(h))
-    return out.selectExpr(
-        "volume_id", *[f"int(g{a} - {base}) as {a}" for a in AXES], f"({top}) / greatest({weight}, {eps!r}D) as sim"
-    )
+        inside, pieces = f"g{a} - b{a} * {u}", range(n // u)
+        h = [f"get({_taper_sql(n)}, {inside} + {o * u})" for o in pieces]
+        rest = sorted({off[1:] for off in left})
+        sums = {r: [" + ".join(f"{left[(o, *r)][t]} * {h[o]}" for o in pieces) for t in (0, 1)] for r in rest}
+        made.append(f"int(g{a} - {base}) as {a}")
+        keep = [f"{c}{b}" for b in AXES[i + 1:] for c in "be"]
+        names = {r: (f"s{i}_{k}", f"n{i}_{k}") for k, r in enumerate(rest)}
+        terms = [f"{sums[r][t]} as {names[r][t]}" for r in rest for t in (0, 1)]
+        out = out.selectExpr(*made, *keep, *terms)
+        made[-1], left = a, names
+    (top, weight), = left.values()
+    return out.selectExpr(*made, f"{top} / greatest({weight}, {eps!r}D) as sim")
 
 
 def overlap_add(

@@ -41,8 +41,9 @@ CUM = dict(
 
 
 def _boxes(spark, d, deep=True):
-    found = sampling.candidate_positions(fx.volume_dims(spark, d), fx.PATCH, N, SEED)
-    return sampling.box_scores(fx.score_traces(spark, d), found, fx.PATCH, deep)
+    dims = fx.volume_dims(spark, d)
+    found = sampling.candidate_positions(dims, fx.PATCH, N, SEED)
+    return sampling.box_scores(fx.score_traces(spark, d, dims), found, fx.PATCH, deep)
 
 
 @query("candidate_positions", sql(f"select {COLS} from cand", D, **CAND))
@@ -88,8 +89,9 @@ def _(spark, d):
     "(select * from pick order by volume_id, draw limit 120) join volume_samples using (volume_id), sdv where x >= bx_ and x < bx_+5 and y >= by_ and y < by_+5 and z >= bz_ and z < bz_+16",
     D, **CUM, sdv="select greatest(abs(stddev_pop(amp::double)), 1e-8) sd from volume_samples"))
 def _(spark, d):
+    dims = fx.volume_dims(spark, d)
     got = sample_patches(
-        fx.volume_traces(spark, d), fx.score_traces(spark, d), fx.volume_dims(spark, d), fx.PATCH,
+        fx.volume_traces(spark, d), fx.score_traces(spark, d, dims), dims, fx.PATCH,
         n_patches=120, n_per_volume=PICKS, n_candidates=N, broadcast_z=True, seed=SEED)
     key = got.select((F.col("draw")).cast("bigint").alias("example_id"), "cube")
     flat = volumes.patch_samples(key, fx.PATCH)

@@ -61,7 +61,7 @@ def _blend(table: str, value: str) -> str:
 
 def _pair(spark, d):
     dims = fx.volume_dims(spark, d)
-    return fx.volume_traces(spark, d), dims, fx.mirror_traces(spark, d), dims.withColumn("volume_id", F.lit("v1"))
+    return fx.volume_traces(spark, d), dims, fx.mirror_traces(spark, d, dims), dims.withColumn("volume_id", F.lit("v1"))
 
 
 @query("pooled_latent", sql(

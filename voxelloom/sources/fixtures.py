@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _volume(name: str, key: str):
+    """A volume id that depends on the row, so that it stays a join key."""
+    return F.when(F.col(key) >= 0, name)
+
+
 def volume_traces(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("v0").alias("volume_id"),
+        _volume("v0", "vec_id").alias("volume_id"),
         F.expr("cast(vec_id div 20 as int)").alias("x"),
         F.expr("cast(vec_id % 20 as int)").alias("y"),
         F.col("embedding").alias("amps"),
@@ -42,11 +47,11 @@ def volume_dims(spark, sf_dir) -> DataFrame:
     return materialize(traces_dims(volume_traces(spark, sf_dir)))
 
 
-def mirror_traces(spark, sf_dir) -> DataFrame:
+def mirror_traces(spark, sf_dir, dims: DataFrame | None = None) -> DataFrame:
     plain = volume_traces(spark, sf_dir)
-    nx = volume_dims(spark, sf_dir).select("nx").scalar()
+    nx = (volume_dims(spark, sf_dir) if dims is None else dims).select("nx").scalar()
     return plain.select(
-        F.lit("v1").alias("volume_id"), (nx - 1 - F.col("x")).cast("int").alias("x"), "y", "amps"
+        _volume("v1", "x").alias("volume_id"), (nx - 1 - F.col("x")).cast("int").alias("x"), "y", "amps"
     )
 
 
@@ -57,9 +62,9 @@ def label_samples(spark, sf_dir) -> DataFrame:
     )
 
 
-def score_traces(spark, sf_dir) -> DataFrame:
+def score_traces(spark, sf_dir, dims: DataFrame | None = None) -> DataFrame:
     """Score map of rank 2: one z sample per (x, y)."""
-    dims = volume_dims(spark, sf_dir)
+    dims = volume_dims(spark, sf_dir) if dims is None else dims
     nx, ny = dims.select("nx").scalar(), dims.select("ny").scalar()
     return (
         table(spark, sf_dir, "lineitem")
@@ -68,7 +73,7 @@ def score_traces(spark, sf_dir) -> DataFrame:
             (F.col("l_partkey") % ny).cast("int").alias("y"),
         )
         .agg(F.sum("l_quantity").alias("amp"))
-        .select(F.lit("v0").alias("volume_id"), "x", "y", F.array(F.col("amp")).alias("amps"))
+        .select(_volume("v0", "x").alias("volume_id"), "x", "y", F.array(F.col("amp")).alias("amps"))
     )
 
 
