@@ -115,9 +115,10 @@ def percentile_of(a: str, percent: float) -> Column:
     return F.expr(percentile_sql(a, percent))
 
 
-def hann(n: Column, size: int) -> Column:
+def hann(n: Column, size: int | Column) -> Column:
     """Periodic Hann taper at offset ``n`` of an axis with ``size`` samples."""
-    return F.lit(1.0) if int(size) == 1 else 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * n / size)
+    size = size if isinstance(size, Column) else F.lit(int(size))
+    return F.when(size == 1, 1.0).otherwise(0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * n / size))
 
 
 def clipped(v: Column, low, high) -> Column:

@@ -225,8 +225,8 @@ def representatives(scores: DataFrame, percents: Sequence[int] = PERCENTILES) ->
     """Per split, the example nearest each score percentile that is not used yet.
 
     ``scores``: split, example_id, score.  Only as many nearest examples per
-    percentile as there are percentiles can ever be needed; that top-k is
-    taken before the shuffle, and the assignment runs over at most
+    percentile as there are percentiles can ever be needed (ties go to the
+    smaller id); that top-k is taken before the shuffle, and the assignment runs over at most
     len(percents)**2 rows per split.
     """
     k = len(percents)
@@ -235,7 +235,8 @@ def representatives(scores: DataFrame, percents: Sequence[int] = PERCENTILES) ->
     near = lookup_join(scores, marks, ["split"], ["example_id"], most=LOOKUP_ROWS // k).select(
         "split", "example_id", "score", F.inline("marks")
     )
-    gap = F.abs(F.col("score") - F.col("mark"))
+    # Distances equal to within 1e-9 of the mark are a tie: rounding of sums must not decide.
+    gap = F.round(F.abs(F.col("score") - F.col("mark")) / F.greatest(F.abs("mark"), F.lit(1e-12)), 9)
     nearest = Window.partitionBy("split", "percent").orderBy("gap", "example_id")
     short = near.withColumn("gap", gap).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 

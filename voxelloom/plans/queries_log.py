@@ -101,8 +101,8 @@ VALID = "kind in ('progress','status','artifact','done','error') and (kind <> 'p
 
 
 @query("progress_eta", sql(
-    f"select job_id, epoch_us(ts) ts_us, completed_windows, {q6('completed_windows / e')} rate, {q3('greatest(total_windows - completed_windows, 0) / greatest(completed_windows / e, 1e-6)')} eta_seconds from "
-    f"(select *, greatest((epoch_us(ts) - min(epoch_us(ts)) over (partition by job_id)) / 1e6, 1e-6) e from job_events) where kind = 'progress' and ({VALID})", "job_events"))
+    f"select job_id, {q6('e0')} elapsed_s, completed_windows, {q6('completed_windows / e')} rate, {q3('greatest(total_windows - completed_windows, 0) / greatest(completed_windows / e, 1e-6)')} eta_seconds from "
+    f"(select *, greatest(e0, 1e-6) e from (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by job_id)) / 1e6 e0 from job_events)) where kind = 'progress' and ({VALID})", "job_events"))
 def _(spark, d):
     rows = fx.job_events(spark, d)
     first = rows.groupBy("job_id").agg(F.min("ts").alias("started"))
@@ -111,7 +111,7 @@ def _(spark, d):
         "elapsed_s", (F.unix_micros("ts") - F.unix_micros("started")) / F.lit(1e6))
     out = runlog.progress_eta(timed.drop("eta_seconds"))
     return out.select(
-        "job_id", F.unix_micros("ts").alias("ts_us"), "completed_windows", r6("rate").alias("rate"), F.round("eta_seconds", 3).alias("eta_seconds"))
+        "job_id", r6("elapsed_s").alias("elapsed_s"), "completed_windows", r6("rate").alias("rate"), F.round("eta_seconds", 3).alias("eta_seconds"))
 
 
 @query("cumulative_examples", sql(

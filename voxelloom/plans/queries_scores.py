@@ -128,12 +128,26 @@ def split_scores(spark, d):
     return scored.withColumn("split", split)
 
 
-@query("representatives")
+# The greedy rule step by step: at each percentile the nearest example not used yet.
+LEVELS = ", ".join(str(p / 100) for p in sc.PERCENTILES)
+GREEDY = dict(
+    s=f"select case example_id % 4 when 0 then 'validation' when 1 then 'test' else 'training' end split, example_id, "
+      f"0.6 * {MSE} + 0.4 * {PMSE} score from recon_pairs group by 2",
+    ends=f"select split, quantile_cont(score, [{LEVELS}]) v from s group by 1",
+    marks=f"select split, unnest(range(1, {len(sc.PERCENTILES) + 1})) k, unnest({list(sc.PERCENTILES)}) percentile, unnest(v) mark from ends",
+    chosen="select split, 0 k, 0 percentile, null::bigint example_id, []::bigint[] used from (select distinct split from s) union all "
+           "select c.split, m.k, m.percentile, p.example_id, list_append(c.used, p.example_id) from chosen c join marks m on m.split = c.split and m.k = c.k + 1, "
+           "lateral (select arg_min(s.example_id, (round(abs(s.score - m.mark) / greatest(abs(m.mark), 1e-12), 9), s.example_id)) example_id from s where s.split = c.split and not list_contains(c.used, s.example_id)) p",
+)
+CHOSEN = f"select split, cast(c.percentile as int) percentile, c.example_id, {q6('s.score')} score from chosen c join s using (split, example_id) where k > 0"
+
+
+@query("representatives", sql(CHOSEN, R, **GREEDY))
 def _(spark, d):
     return sc.representatives(split_scores(spark, d)).withColumn("score", r6("score"))
 
 
-@query("save_representatives")
+@query("save_representatives", sql(CHOSEN + " and split <> 'test'", R, **GREEDY))
 def _(spark, d):
     path = scratch_path(spark, "representatives")
     src.save_representatives(sc.representatives(split_scores(spark, d)), path)

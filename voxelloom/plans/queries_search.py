@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, dot
-from ..operators import grid, latents, similarity, stats
+from ..functions.arrays import cosine, dot, hann
+from ..operators import grid, latents, similarity, stats, volumes
+from ..operators.joins import lookup_join
 from ..sources import fixtures as fx
 from ..sources import volumes as src
 from .queries_volume import GRID
@@ -61,7 +62,8 @@ def _blend(table: str, value: str) -> str:
 
 def _pair(spark, d):
     dims = fx.volume_dims(spark, d)
-    return fx.volume_traces(spark, d), dims, fx.mirror_traces(spark, d, dims), dims.withColumn("volume_id", F.lit("v1"))
+    twin = dims.withColumn("volume_id", F.when(F.col("nx") > 0, "v1"))
+    return fx.volume_traces(spark, d), dims, fx.mirror_traces(spark, d, dims), twin
 
 
 @query("pooled_latent", sql(
@@ -157,9 +159,12 @@ def _(spark, d):
     "select x, y, z, " + q6("(0.5-0.5*cos(2*pi()*x/nx)) * (0.5-0.5*cos(2*pi()*y/ny)) * (0.5-0.5*cos(2*pi()*z/nz))") + " weight "
     "from volume_samples join volume_dims using (volume_id)", "volume_samples volume_dims"))
 def _(spark, d):
-    dims = fx.volume_dims(spark, d).first()
-    taper = similarity.hann_taper(spark, (dims["nx"], dims["ny"], dims["nz"]))
-    return taper.withColumn("weight", r6("weight"))
+    """The taper over each whole volume, one axis factor per coordinate."""
+    near = lookup_join(volumes.samples_of(fx.volume_traces(spark, d)), fx.volume_dims(spark, d), ["volume_id"], ["x", "y", "z"])
+    weight = F.lit(1.0)
+    for a in ("x", "y", "z"):
+        weight = weight * hann(F.col(a), F.col(f"n{a}"))
+    return near.select("x", "y", "z", r6(weight).alias("weight"))
 
 
 OWN = dict(
@@ -232,7 +237,7 @@ def _(spark, d):
 
 @query("search_report", sql(
     f"select 'v1' volume_id, {q6('min(sim)')} output_min, {q6('max(sim)')} output_max, {q6('avg(sim)')} output_mean, {q6('stddev_pop(sim)')} output_std, "
-    "(select count(*) from g) windows, 'completed' status, (select nx*1000000 + ny*1000 + nz from volume_dims) output_shape, "
+    "(select count(*) from g) total_windows, 'completed' status, (select nx*1000000 + ny*1000 + nz from volume_dims) output_shape, "
     "(select nx*1000000 + ny*1000 + nz from volume_dims) search_shape, (select px*1000000 + py*1000 + pz from p) padded_shape, "
     f"{q6('(select count(*) from g) / 2.0')} windows_per_sec from m", ALL, **SCORED, m=_blend("volume_samples_mirror", "c")))
 def _(spark, d):
@@ -243,4 +248,4 @@ def _(spark, d):
     flat = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s * 1000 + v).alias(c)
     return report.select(
         "volume_id", *[r6(c).alias(c) for c in ("output_min", "output_max", "output_mean", "output_std", "windows_per_sec")],
-        "windows", "status", flat("output_shape"), flat("search_shape"), flat("padded_shape"))
+        "total_windows", "status", flat("output_shape"), flat("search_shape"), flat("padded_shape"))

@@ -356,7 +356,7 @@ MIRROR = SLICES.replace("volume_samples join", "(select 'v0' volume_id, x, y, z,
     ca="select *, greatest(-l, least(l, amp)) / l c from (select *, greatest(max(abs(amp)) over (partition by plane) * 0.5::double, 1e-6) l from a)",
     cb="select *, greatest(-l, least(l, amp)) / l c from (select *, greatest(max(abs(amp)) over (partition by plane) * 0.8::double, 1e-6) l from b)"))
 def _(spark, d):
-    over = fx.mirror_traces(spark, d).withColumn("volume_id", F.lit("v0"))
+    over = fx.mirror_traces(spark, d).withColumn("volume_id", F.when(F.col("x") >= 0, "v0"))
     out = stats.overlay_preview(fx.volume_traces(spark, d), over, fx.volume_dims(spark, d), 7, 99, 30, 0.3, 0.5, 0.8, 0.2)
     return out.select("volume_id", r6("preview_mean").alias("preview_mean"), r6("preview_std").alias("preview_std"))
 

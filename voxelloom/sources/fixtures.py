@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _volume(name: str, key: str):
-    """A volume id that depends on the row, so that it stays a join key."""
+def _named(name: str, key: str):
+    """A volume or run id that depends on the row, so that it stays a join key."""
     return F.when(F.col(key) >= 0, name)
 
 
 def volume_traces(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        _volume("v0", "vec_id").alias("volume_id"),
+        _named("v0", "vec_id").alias("volume_id"),
         F.expr("cast(vec_id div 20 as int)").alias("x"),
         F.expr("cast(vec_id % 20 as int)").alias("y"),
         F.col("embedding").alias("amps"),
@@ -51,7 +51,7 @@ def mirror_traces(spark, sf_dir, dims: DataFrame | None = None) -> DataFrame:
     plain = volume_traces(spark, sf_dir)
     nx = (volume_dims(spark, sf_dir) if dims is None else dims).select("nx").scalar()
     return plain.select(
-        _volume("v1", "x").alias("volume_id"), (nx - 1 - F.col("x")).cast("int").alias("x"), "y", "amps"
+        _named("v1", "x").alias("volume_id"), (nx - 1 - F.col("x")).cast("int").alias("x"), "y", "amps"
     )
 
 
@@ -73,7 +73,7 @@ def score_traces(spark, sf_dir, dims: DataFrame | None = None) -> DataFrame:
             (F.col("l_partkey") % ny).cast("int").alias("y"),
         )
         .agg(F.sum("l_quantity").alias("amp"))
-        .select(_volume("v0", "x").alias("volume_id"), "x", "y", F.array(F.col("amp")).alias("amps"))
+        .select(_named("v0", "x").alias("volume_id"), "x", "y", F.array(F.col("amp")).alias("amps"))
     )
 
 
@@ -167,7 +167,7 @@ def snapshots(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
         .groupBy(
-            F.lit("r0").alias("run_id"),
+            _named("r0", "user_id").alias("run_id"),
             F.expr("cast((day(ts) - 1) div 10 + 1 as int)").alias("epoch"),
             F.col("user_id").alias("example_id"),
         )

@@ -179,7 +179,7 @@ def search_report(
     )
     src = source_dims.limit(1).select(shape("nx", "ny", "nz")).scalar()
     return (
-        summary.join(windows, "volume_id")
+        summary.join(windows.withColumnRenamed("windows", "total_windows"), "volume_id")
         .join(search_dims.select("volume_id", shape("nx", "ny", "nz").alias("search_shape")), "volume_id")
         .join(padded.select("volume_id", shape("px", "py", "pz").alias("padded_shape")), "volume_id")
         .withColumn("source_shape", src)
@@ -190,5 +190,10 @@ def search_report(
         .withColumn("latent_mode", F.lit(latent))
         .withColumn("status", F.lit("completed"))
         .withColumn("elapsed_s", F.lit(float(elapsed_s)))
-        .withColumn("windows_per_sec", F.col("windows") / F.greatest(F.lit(float(elapsed_s)), F.lit(1e-6)))
+        .withColumn("windows_per_sec", F.col("total_windows") / F.greatest(F.lit(float(elapsed_s)), F.lit(1e-6)))
     )
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Store search reports as JSON records."""
+    report.write.mode("overwrite").json(path)
