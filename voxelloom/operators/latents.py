@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -209,7 +210,7 @@ def windows_encoded(
         F.slice("amps", (z - base + 1).cast("int"), F.greatest(stop - z, F.lit(0)).cast("int")).alias("part"),
     )
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         volume, corner, limit = key[0], key[1:4], key[4:7]
         span = [min(reach[a], lim - t) for a, t, lim in zip(AXES, corner, limit)]
         box = np.zeros(span, dtype=np.float32)
