@@ -34,3 +34,17 @@ def shingles(word_list: Column, size: int) -> Column:
             )
         )
     )
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """An object that a Python worker makes once and keeps over its tasks.
+
+    Task functions reach workers by value, with module variables of their own;
+    what shall outlive a task is therefore kept on the installed pyspark module.
+    """
+    import pyspark
+
+    store = pyspark.__dict__.setdefault("_kept_by_voxelloom", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rules, sketch
+from . import chat, mixing, packing, rules, sketch, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,19 +16,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the packing query; its file belongs to the installed package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four rules, and as listed URLs those of the table's spam hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.createDataFrame(
+        [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")],
+        "host string, path string, verdict string",
+    )
+    host = urls.url_parts(F.coalesce("url", F.lit("")))[0]
+    return urls.judge_urls(pages, listed, pages.where(host.startswith("spam")).select("url"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole schedule of the table's sources: every use of every document."""
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_chat_format": op3_chat_format,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.ORACLE,
+    "op4_url_filter": urls.ORACLE,
     "op5_quality_rules": rules.ORACLE,
     "op9_fingerprints": sketch.ORACLE,
 }
