@@ -10,12 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bitfilter import build_filter, key_hashes, may_hold
 
-# One block is 512 bits, eight words of 64; a key sets one bit in each word of its block.
-WORDS = 8
-BITS_PER_KEY = 16
-# The filter never exceeds this; a longer list only makes it pass more to the exact join.
-MAX_FILTER_BYTES = 8 << 20
 # A list of at most so many entries of bounded length is sent to all executors.
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 20_000_000
@@ -41,34 +37,6 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
     return lowered, path, canonical
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(F.concat(F.lit("#"), key))
-
-
-def build_filter(listed: DataFrame, n: int) -> np.ndarray:
-    """The bits of all listed keys, as blocks of eight words."""
-    blocks = int(max(1, min(-(-n * BITS_PER_KEY // (64 * WORDS)), MAX_FILTER_BYTES // (8 * WORDS))))
-    h, bits = _hashes(F.col("key"))
-    masks = [F.expr(f"shiftleft(1L, cast(shiftright(bits, {6 * i}) & 63 as int))") for i in range(WORDS)]
-    rows = (
-        listed.select(F.pmod(h, F.lit(blocks)).cast("int").alias("block"), bits.alias("bits"))
-        .select("block", *[m.alias(f"w{i}") for i, m in enumerate(masks)])
-        .groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-        .collect()
-    )
-    table = np.zeros((blocks, WORDS), np.int64)
-    for r in rows:
-        table[r[0]] = r[1:]
-    return table.view(np.uint64)
-
-
-def may_hold(table: np.ndarray, h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether all eight bits of each key are set."""
-    block = table[np.mod(h, len(table))]
-    place = (bits.view(np.uint64)[:, None] >> (np.arange(WORDS, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)
-    return ((block >> place) & np.uint64(1)).all(axis=1)
-
-
 def candidates(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
     """Keys of every rule that could fit: host suffixes of whole labels with path starts.
 
@@ -125,7 +93,7 @@ def judge_urls(
     )
     n, chars, labels = entries.agg(F.count("*"), F.sum(F.length("key")), F.max("labels")).first()
     lengths = [r[0] for r in entries.where("path_chars is not null").select("path_chars").distinct().collect()]
-    bits = spark.sparkContext.broadcast(build_filter(entries, n))
+    bits = spark.sparkContext.broadcast(build_filter(entries, "key", n))
 
     @F.pandas_udf("boolean")
     def passed(h: pd.Series, b: pd.Series) -> pd.Series:
@@ -136,7 +104,7 @@ def judge_urls(
     keys = F.array(F.concat(F.lit("u "), F.col("canonical_url")))
     if labels:
         keys = F.concat(keys, candidates(F.col("host"), F.col("path"), labels, sorted(lengths)))
-    h, b = _hashes(F.col("key"))
+    h, b = key_hashes(F.col("key"))
     hits = urls.withColumn("key", F.explode(keys)).where(passed(h, b))
     known = entries.drop("path_chars", "labels")
     if n <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS:
