@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,13 @@ def may_hold(table: np.ndarray, h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     block = table[np.mod(h, len(table))]
     place = (bits.view(np.uint64)[:, None] >> (np.arange(WORDS, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)
     return ((block >> place) & np.uint64(1)).all(axis=1)
+
+
+def in_filter(table, key: Column) -> Column:
+    """Whether a row's key may be among the filter's; ``table`` is the broadcast filter."""
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(table.value, h.to_numpy(np.int64), bits.to_numpy(np.int64)))
+
+    return held(*key_hashes(key))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # Words are runs of anything but space and the five ASCII line and tab controls.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -48,3 +50,10 @@ def kept_in_worker(key: tuple, make: Callable[[], object]):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a compressed table to the shared scratch folder and read it from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
