@@ -20,7 +20,8 @@ END_ID = 1
 # Pieces that one task packs; a group wastes less than one sequence or so.
 GROUP_PIECES = 20_000
 # Words whose ids a worker keeps (about 200 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
+MARKS = b"!$%&*#.,|?:;"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,12 +33,42 @@ def load_tokenizer(path: str) -> tuple:
     return Tokenizer.from_file(path), {}
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def encode_words(tokenizer, new: list[bytes]) -> list[bytes]:
+    """Ids of words without white space between them, as packed numbers.
+
+    Words of Latin letters pass the tokenizer's normalizer and word split as
+    they are, so their bytes go to its model directly.
+    """
+    letters = kept_in_worker(("byte letters",), byte_letters)
+    model, out, rest = tokenizer.model, [b""] * len(new), []
+    for i, word in enumerate(new):
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0180" and (low := text.lower()).isalpha():
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(letters)
+            out[i] = array("I", [t.id for t in model.tokenize(low)]).tobytes()
+        else:
+            rest.append(i)
+    encoded = tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False)
+    for i, e in zip(rest, encoded):
+        out[i] = array("I", e.ids).tobytes()
+    return out
+
+
 def token_bytes(path: str, text: str) -> bytes:
     """A text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space, cuts words before it merges, and is blind
     to the case of letters, so ids are looked up word by word and only new
-    words are encoded.
+    words are encoded.  Punctuation behind an ASCII letter or digit is a word
+    of its own to it, and is looked up apart.
     """
     tokenizer, known = kept_in_worker(("tokenizer", path), lambda: load_tokenizer(path))
     found = text.encode().lower().split()
@@ -48,9 +79,15 @@ def token_bytes(path: str, text: str) -> bytes:
     if len(known) > CACHE_WORDS:
         known.clear()
     new = [w for w in dict.fromkeys(found) if w not in known]
-    encoded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-    ids = dict(zip(new, (array("I", e.ids).tobytes() for e in encoded)))
-    known.update(ids)
+    stems = [w.rstrip(MARKS) for w in new]
+    parted = [bool(s) and s != w and s[-1:].isalnum() for s, w in zip(stems, new)]
+    parts = dict.fromkeys(s if p else w for s, w, p in zip(stems, new, parted))
+    parts |= dict.fromkeys(w[len(s) :] for s, w, p in zip(stems, new, parted) if p)
+    missing = [w for w in parts if w not in known]
+    known.update(zip(missing, encode_words(tokenizer, missing)))
+    for stem, word, apart in zip(stems, new, parted):
+        if apart:
+            known[word] = known[stem] + known[word[len(stem) :]]
     return b"".join(map(known.__getitem__, found))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, rules, sketch, suffixes, urls
+from . import chat, jaccard, mixing, packing, quality, rules, sketch, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole schedule of the table's sources: every use of every document."""
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
     "op10_jaccard_join": op10_jaccard_join,
