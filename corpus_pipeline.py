@@ -1,12 +1,66 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and read again."""
+"""The training-data pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one
+before it kept.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelloom.llm import jaccard, mixing, packing, quality, suffixes
+from voxelloom.llm.bitfilter import drop_ids
+from voxelloom.llm.common import stored
+from voxelloom.llm.queries import tokenizer_path
+
+# Near copies share four fifths of their distinct five-word shingles.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects; it learns from ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.with_scores(docs, quality.train(docs, labels), score_col="quality_score")
+    return scored.where("quality_score >= 0.5").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies only the document of least id stays.
+
+    Documents without words or without id stay.
+    """
+    groups = jaccard.jaccard_components(docs, NEAR_PERCENT, NEAR_WORDS)
+    gone = stored(groups.where("component_id <> doc_id").select("doc_id"), "near-copies")
+    return drop_ids(docs, gone, "doc_id")
+
+
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut 100-byte strings that start earlier too; a document of which nothing is left goes."""
+    cut = suffixes.remove_repeats(docs)
+    emptied = (F.length("text") == 0) & (F.coalesce(F.col("n_chars"), F.lit(0)) > 0)
+    return cut.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the mix; sources below their share come more than once."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids, one row per piece."""
+    return packing.pack(docs, tokenizer_path())
 
-from voxelloom.session import scratch_path
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_good),
+    ("near_copies", keep_one_of_near_copies),
+    ("repeats", cut_repeated_strings),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
+# Learned scores, components and packings have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
@@ -14,7 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to ``documents`` and return the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

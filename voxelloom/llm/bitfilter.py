@@ -50,3 +50,12 @@ def in_filter(table, key: Column) -> Column:
         return pd.Series(may_hold(table.value, h.to_numpy(np.int64), bits.to_numpy(np.int64)))
 
     return held(*key_hashes(key))
+
+
+def drop_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` without those whose id is in the first column of ``gone``; rows surely not in it are not moved."""
+    ids = gone.select(F.col(gone.columns[0]).alias("gone_id")).distinct()
+    table = rows.sparkSession.sparkContext.broadcast(build_filter(ids, "gone_id", ids.count()))
+    marked = rows.withColumn("gone_may", in_filter(table, F.col(id_col)))
+    left = marked.where("gone_may").join(ids, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return marked.where("not gone_may").unionByName(left).select(*rows.columns)
