@@ -22,8 +22,7 @@ NEAR_PERCENT = 80
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.with_scores(docs, quality.train(docs, labels), score_col="quality_score")
-    return scored.where("quality_score >= 0.5").select(*docs.columns)
+    return quality.with_scores(docs, quality.train(docs, labels)).where("score >= 0.5").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def drop_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``rows`` without those whose id is in the first column of ``gone``; rows surely not in it are not moved."""
     ids = gone.select(F.col(gone.columns[0]).alias("gone_id")).distinct()
     table = rows.sparkSession.sparkContext.broadcast(build_filter(ids, "gone_id", ids.count()))
-    marked = rows.withColumn("gone_may", in_filter(table, F.col(id_col)))
-    left = marked.where("gone_may").join(ids, F.col(id_col) == F.col("gone_id"), "left_anti")
-    return marked.where("not gone_may").unionByName(left).select(*rows.columns)
+    # A row stays in one column, so its names meet no others.
+    marked = rows.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).withColumn("may", in_filter(table, F.col("id")))
+    left = marked.where("may").join(ids, F.col("id") == F.col("gone_id"), "left_anti")
+    return marked.where("not may").unionByName(left).select("row.*")

@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 # Bytes of text that are put together at once.
@@ -102,16 +104,6 @@ def _index(values: pa.Array, wanted: str) -> int:
     return values.to_pylist().index(wanted) if wanted in values.to_pylist() else -1
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each slice has few bytes, or is one row."""
-    sizes = pc.fill_null(pc.binary_length(batch["body"]), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
-    starts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, batch.num_rows]
-    for a, b in zip(starts[:-1], starts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def format_conversations(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -136,7 +128,7 @@ def format_conversations(
     def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, SLICE_BYTES):
                 made = assemble(piece, part)
                 part += made.num_rows
                 yield made

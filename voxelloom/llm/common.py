@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +60,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batch: pa.RecordBatch, limit: int, column: str = "body") -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each slice has few bytes of text, or is one row."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // limit
+    starts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, batch.num_rows]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b > a:
+            yield batch.slice(a, b - a)

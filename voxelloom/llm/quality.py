@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,16 +200,14 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each whole text as a last column."""
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score): each row whole, and the model's score of its whole text."""
 
     @F.pandas_udf("double")
-    def score(body):
-        import pandas as pd
+    def score(body: pd.Series) -> pd.Series:
+        return pd.Series(model.scores([t.encode() for t in body]), dtype="float64")
 
-        return pd.Series(model.scores([t.encode() for t in body]))
-
-    return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,5 +226,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("body"))
     return with_scores(rows, model, "body").select(
-        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "row.doc_id", "row.held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

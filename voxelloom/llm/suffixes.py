@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitfilter import build_filter, in_filter
-from .common import kept_in_worker, stored
+from .common import kept_in_worker, slices, stored
 from .wordhash import mixed
 
 # Strings of so many bytes count as repeated.
@@ -21,8 +21,10 @@ DEPTH = 100
 DIGIT = 32
 # Windows that are worked on at once.
 CHUNK = 1 << 20
-# First digits that so many places of one batch of texts share are dealt out by the second digit too.
-CROWDED = 64
+# Bytes of text whose places a worker sorts at once.
+SLICE_BYTES = 12 << 20
+# First digits that so many places of one slice of texts share are dealt out by the second digit too.
+CROWDED = 32
 MOST_CROWDED = 65_536
 SALTS = 64
 # Places of one group that a task sorts; larger groups are sorted by rows of Spark.
@@ -104,6 +106,11 @@ def _batch_places(batch: pa.RecordBatch, depth: int, digit: int) -> tuple[np.nda
     return g, c, np.repeat(d, n), np.repeat(tie, n), place
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, SLICE_BYTES)
+
+
 def _rows(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns]
     return pa.RecordBatch.from_arrays(arrays, names.split())
@@ -113,10 +120,9 @@ def crowded_digits(rows: DataFrame, depth: int, digit: int) -> np.ndarray:
     """First digits with very many places, ascending; only how rows are dealt out depends on them."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                g, n = np.unique(_batch_places(batch, depth, digit)[0], return_counts=True)
-                yield _rows("g n", g[n >= CROWDED], n[n >= CROWDED])
+        for batch in _sliced(batches):
+            g, n = np.unique(_batch_places(batch, depth, digit)[0], return_counts=True)
+            yield _rows("g n", g[n >= CROWDED], n[n >= CROWDED])
 
     most = (
         rows.mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -129,9 +135,7 @@ def dealt(rows: DataFrame, crowded: np.ndarray, depth: int, digit: int) -> DataF
     """(deal, done, g, c, d, tie, place) of every place; a batch's later copies are done already."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _sliced(batches):
             g, c, d, tie, place = _batch_places(batch, depth, digit)
             order = np.lexsort((place, tie, d, mixed(g + c)))
             g, c, d, tie, place = g[order], c[order], d[order], tie[order], place[order]
@@ -230,7 +234,7 @@ def _windows(batch: pd.DataFrame, depth: int) -> tuple[np.ndarray, ...]:
     inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
     _, _, down = _powers()
     hashed = []
-    for some in np.array_split(np.arange(len(batch)), max(1, len(batch) // 4096)):
+    for some in np.array_split(np.arange(len(batch)), -(-len(batch) // 4096)):
         data = np.frombuffer(b"".join(batch["bytes"].iloc[some]), np.uint8)
         size = n[some] + depth - 1
         begin = np.repeat(np.cumsum(size) - size, n[some])
@@ -316,7 +320,7 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def with_spans(
     docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with ``repeat_spans``: byte ranges of strings that also start earlier, null for none.
+    """(row, repeat_spans): each row whole, and its byte ranges of strings that also start earlier, null for none.
 
     Suffixes are sorted by their first ``depth`` bytes only, most significant
     digit first, and groups of one are dropped at each pass:
@@ -333,7 +337,7 @@ def with_spans(
     without id come last, and texts of equal id in a fixed order.  Of fully
     equal rows one counts as the first.  Matches never cross texts, ranges may
     overlap, null texts are empty, shorter texts than ``depth`` have none.  An
-    empty table gives an empty result.  All columns of ``docs`` are kept.
+    empty table gives an empty result.  ``row`` holds all columns of ``docs``.
     """
     spark = docs.sparkSession
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
@@ -360,26 +364,24 @@ def with_spans(
         spans.groupBy("d", "tie").agg(F.collect_list(F.struct("a", "b")).alias("repeat_spans")), "spans"
     ).withColumnsRenamed({"d": "of_d", "tie": "of_tie"})
 
-    # Texts that surely have no spans are not moved.
+    # Texts that surely have no spans are not moved.  A row stays in one column, so its names meet no others.
     table = spark.sparkContext.broadcast(build_filter(per_text, "of_d", per_text.count()))
-    whole_rows = docs.withColumns({"repeat_d": d, "repeat_tie": tie}).withColumn("repeat_may", in_filter(table, F.col("repeat_d")))
-    joined = whole_rows.where("repeat_may").join(
-        per_text, (F.col("repeat_d") == F.col("of_d")) & (F.col("repeat_tie") == F.col("of_tie")), "left"
+    whole_rows = docs.select(F.struct("*").alias("row"), d.alias("d"), tie.alias("tie"), body.alias("body"))
+    whole_rows = whole_rows.withColumn("may", in_filter(table, F.col("d")))
+    joined = whole_rows.where("may").join(per_text, (F.col("d") == F.col("of_d")) & (F.col("tie") == F.col("of_tie")), "left")
+    columns = ["row", "d", "tie", "body", "repeat_spans"]
+    out = joined.select(*columns).unionByName(
+        whole_rows.where("not may").withColumn("repeat_spans", F.lit(None).cast(SPAN)).select(*columns)
     )
-    clean = whole_rows.where("not repeat_may").withColumn("repeat_spans", F.lit(None).cast(SPAN))
-    columns = [*docs.columns, "repeat_d", "repeat_tie", "repeat_spans"]
-    out = joined.select(*columns).unionByName(clean.select(*columns))
     if not plain:
-        copy = F.row_number().over(Window.partitionBy("repeat_d", "repeat_tie", F.md5(body.cast("binary"))).orderBy("repeat_d"))
-        size = F.octet_length(body).cast("long")
+        copy = F.row_number().over(Window.partitionBy("d", "tie", F.md5(F.col("body").cast("binary"))).orderBy("d"))
+        size = F.octet_length("body").cast("long")
         all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")))
-        out = out.withColumn("repeat_copy", copy).withColumn(
+        out = out.withColumn("copy", copy).withColumn(
             "repeat_spans",
-            F.when((F.col("repeat_copy") > 1) & (size >= depth), all_of_it)
-            .when(F.col("repeat_copy") == 1, F.col("repeat_spans"))
-            .otherwise(F.lit(None).cast(SPAN)),
+            F.when((F.col("copy") > 1) & (size >= depth), all_of_it).when(F.col("copy") == 1, F.col("repeat_spans")),
         )
-    return out.select(*docs.columns, "repeat_spans")
+    return out.select("row", "repeat_spans")
 
 
 def digests(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,7 +399,7 @@ def digests(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_co
             yield frame.astype({"doc_id": "Int64"})
 
     rows = with_spans(docs.select(id_col, text_col), depth, id_col=id_col, text_col=text_col).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), "repeat_spans"
+        F.col("row")[id_col].cast("long").alias("doc_id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("body"), "repeat_spans"
     )
     return rows.mapInPandas(
         made, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -413,8 +415,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, text_col: str = "text",
             without(t.encode(), merged(s, len(t.encode()))).decode(errors="ignore") for t, s in zip(body, spans)
         ])
 
-    marked = with_spans(docs, depth, text_col=text_col, **columns)
-    kept = F.when(F.col("repeat_spans").isNull(), F.col(text_col)).otherwise(
-        cut(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("repeat_spans", F.array().cast(SPAN)))
+    text = F.col("row")[text_col]
+    kept = F.when(F.col("repeat_spans").isNull(), text).otherwise(
+        cut(F.coalesce(text, F.lit("")), F.coalesce("repeat_spans", F.array().cast(SPAN)))
     )
-    return marked.withColumn(text_col, kept).select(*docs.columns)
+    marked = with_spans(docs, depth, text_col=text_col, **columns)
+    return marked.withColumn("row", F.col("row").withField(text_col, kept)).select("row.*")
