@@ -7,27 +7,29 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-JUMPS = 3
-
 
 def _roots(links: DataFrame) -> DataFrame:
-    """(node, root): each node's least neighbour, followed a few times."""
+    """(node, root): each node's least neighbour, followed to its end by doubling steps."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(
         links.select(F.col("b").alias("node"), F.col("a").alias("to"))
     )
-    found = ends.groupBy("node").agg(F.min("to").alias("root")).withColumn("root", F.least("node", "root"))
-    for _ in range(JUMPS):
+    found = materialize(ends.groupBy("node").agg(F.least("node", F.min("to")).alias("root")))
+    while True:
         step = found.where("node <> root").select(F.col("node").alias("at"), F.col("root").alias("next"))
-        found = materialize(
-            found.join(step, found["root"] == step["at"], "left").select("node", F.coalesce("next", "root").alias("root"))
+        jumped = materialize(
+            found.join(step, found["root"] == step["at"], "left")
+            .select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         )
-    return found
+        found = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the least node that its links reach.
 
-    In each round every node joins its least neighbour, and the links between
+    In each round every node joins its least neighbour, to the end of that
+    chain, and the links between
     the joined groups go into the next round, until there are none.  Nodes
     that link only themselves, or are null, are left out.
     """

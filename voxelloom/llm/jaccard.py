@@ -12,42 +12,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bitfilter import build_filter, key_hashes, may_hold
+from .bitfilter import build_filter, in_filter
+from .common import slices, stored
 from .graph import components
 from .wordhash import shingle_sets
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 # Shingles of so many texts come last in every text's order, the commonest of them at most.
-COMMON_TEXTS = 32
-COMMON_SHINGLES = 65_536
+COMMON_TEXTS = 16
+COMMON_SHINGLES = 131_072
+# Members of a component that one tile holds.
+TILE_NODES = 2048
+# Bytes of text that a worker turns into sets at once.
+SLICE_BYTES = 6 << 20
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode() for t in batch["body"].to_pylist()]
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, SLICE_BYTES)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def common_shingles(docs: DataFrame, size: int, lower: bool) -> np.ndarray:
-    """The shingles that most texts have, the rarest first; only the order of work depends on them."""
+def first_part(n: int, percent: int) -> int:
+    """Shingles of a set of which a linked set has one among as many of its own."""
+    return n - -(-percent * n // 100) + 1
+
+
+def common_shingles(docs: DataFrame, size: int, percent: int, lower: bool) -> np.ndarray:
+    """Shingles of many texts, the rarest first; only the order of work depends on them.
+
+    Counted are the shingles that come first by hash, with half as many more
+    as are needed, since only those can come first once common ones come last.
+    """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(_texts(batch), size, lower))
-            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+        for batch in _sliced(batches):
+            firsts = [s[: first_part(len(s), percent) * 3 // 2] for s in shingle_sets(_texts(batch), size, lower)]
+            found, n = np.unique(np.concatenate([*firsts, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
     rows = (
         docs.select("body").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).collect()
+        .where(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
     )
-    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+    return rows["h"].to_numpy()[::-1].copy().view(np.uint64)
 
 
 def prefix(found: np.ndarray, by_hash: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -57,7 +75,7 @@ def prefix(found: np.ndarray, by_hash: np.ndarray, rank: np.ndarray, percent: in
     the first 15 percent, plus one, of both in any common order.
     """
     n = len(found)
-    k = n - -(-percent * n // 100) + 1
+    k = first_part(n, percent)
     if not len(by_hash):
         return found[:k]
     at = np.minimum(np.searchsorted(by_hash, found), len(by_hash) - 1)
@@ -70,21 +88,24 @@ def prefix(found: np.ndarray, by_hash: np.ndarray, rank: np.ndarray, percent: in
 
 
 def indexed(docs: DataFrame, common: np.ndarray, size: int, percent: int, lower: bool) -> DataFrame:
-    """(doc_id, n, set_key, prefix) of every text; equal sets have equal keys of 128 bits."""
+    """(doc_id, n, set_key, prefix, bits) of every text; equal sets have equal keys of 128 bits."""
     order = np.argsort(common)
     by_hash, rank = common[order], np.arange(len(common))[order]
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = list(shingle_sets(_texts(batch), size, lower))
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             firsts = [prefix(s, by_hash, rank, percent) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(firsts)],
-                ["doc_id", "n", "set_key", "prefix"],
+                [
+                    batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(firsts),
+                    pa.array(map(bitmap, sets), pa.binary()),
+                ],
+                ["doc_id", "n", "set_key", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(made, "doc_id long, n long, set_key binary, prefix array<long>")
+    return docs.mapInArrow(made, "doc_id long, n long, set_key binary, prefix array<long>, bits binary")
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -95,36 +116,67 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """Most shingles that both sets can have: a place only one of them uses is a shingle the other lacks."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    only_x, only_y = (int(np.bitwise_count(d).sum()) for d in (x & ~y, y & ~x))
-    return min(n_a - only_x, n_b - only_y)
+def fold(bits: np.ndarray) -> np.ndarray:
+    """The same bitmaps in half as many places; bitmaps are rows."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
+def overlap_bounds(x: np.ndarray, n_x: int, rows: np.ndarray, n_rows: np.ndarray) -> np.ndarray:
+    """Most shingles that each row's set can share with another: a place only one of them uses is a shingle the other lacks."""
+    while x.shape[-1] > rows.shape[-1]:
+        x = fold(x)
+    while rows.shape[-1] > x.shape[-1]:
+        rows = fold(rows)
+    only_x = np.bitwise_count(x & ~rows).sum(axis=-1, dtype=np.int64)
+    only_rows = np.bitwise_count(rows & ~x).sum(axis=-1, dtype=np.int64)
+    return np.minimum(n_x - only_x, n_rows - only_rows)
+
+
+class Tile:
+    """Members of a component, by the size band that their bitmaps' width sets."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.held: dict[int, tuple[list, list, list]] = {}
+        self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+
+    def add(self, node: int, n: int, bits: bytes) -> None:
+        for x, y in zip(self.held.setdefault(len(bits) // 8, ([], [], [])), (node, n, bits)):
+            x.append(y)
+
+    def near(self, n: int, bits: bytes) -> np.ndarray:
+        """Members that sizes and bitmaps do not rule out."""
+        if self.bands is None:
+            self.bands = {
+                w: (np.array(nodes), np.array(sizes), np.frombuffer(b"".join(maps), np.uint64).reshape(-1, w))
+                for w, (nodes, sizes, maps) in self.held.items()
+            }
+        out = []
+        x = np.frombuffer(bits, np.uint64)
+        # Sets that can link differ in size by less than two, so their bands are the same or neighbours.
+        for w in (len(x) // 2, len(x), len(x) * 2):
+            if w not in self.bands:
+                continue
+            nodes, sizes, maps = self.bands[w]
+            fit = (100 * sizes >= self.percent * n) & (100 * n >= self.percent * sizes)
+            nodes, sizes = nodes[fit], sizes[fit]
+            bound = overlap_bounds(x, n, maps[fit], sizes)
+            out.append(nodes[100 * bound >= self.percent * (n + sizes - bound)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def chosen_sets(docs: DataFrame, nodes: DataFrame, size: int, lower: bool) -> DataFrame:
-    """(node, n, bits, found) of the texts whose id may be in ``nodes``."""
+    """(node, found): shingle arrays of the texts whose id may be in ``nodes``."""
     table = docs.sparkSession.sparkContext.broadcast(build_filter(nodes, "node", nodes.count()))
-    h, b = key_hashes(F.col("doc_id"))
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = may_hold(table.value, batch["h"].to_numpy(), batch["b"].to_numpy())
-            batch = batch.filter(pa.array(keep))
-            if not batch.num_rows:
-                continue
+        for batch in _sliced(batches):
             sets = list(shingle_sets(_texts(batch), size, lower))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(bitmap, sets), pa.binary()), _lists(sets)],
-                ["node", "n", "bits", "found"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(sets)], ["node", "found"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "body", h.alias("h"), b.alias("b"))
-    return rows.mapInArrow(made, "node long, n long, bits binary, found array<long>")
+    rows = docs.where("doc_id is not null").where(in_filter(table, F.col("doc_id")))
+    return rows.mapInArrow(made, "node long, found array<long>")
 
 
 def fits(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -132,30 +184,85 @@ def fits(n_a: Column, n_b: Column, percent: int) -> Column:
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: bitmaps rule most others out, sorted arrays decide."""
+def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    def possible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bounded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            bound = [overlap_bound(*row) for row in zip(p["bits_a"], p["n_a"], p["bits_b"], p["n_b"])]
+            bound = [
+                overlap_bounds(np.frombuffer(x, np.uint64), n_x, np.frombuffer(y, np.uint64), n_y)
+                for x, n_x, y, n_y in zip(p["bits_a"], p["n_a"], p["bits_b"], p["n_b"])
+            ]
             bound = np.array(bound, np.int64)
             yield p.loc[100 * bound >= percent * (p["n_a"] + p["n_b"] - bound), ["a", "b"]]
 
+    def side(name: str) -> DataFrame:
+        known = texts.where("n > 0")
+        return known.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(F.col("n_a"), F.col("n_b"), percent))
+    return sized.select("bits_a", "n_a", "bits_b", "n_b", "a", "b").mapInPandas(bounded, "a long, b long")
+
+
+def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of strays (node, cluster) and members (node, cluster) that sizes and bitmaps do not rule out.
+
+    A cluster's members are spread over tiles of bounded size, and each stray
+    goes to all tiles of its clusters; pairs exist only within a tile's loop.
+    """
+    sizes = inside.groupBy("cluster").count().select(F.col("cluster").alias("of"), F.ceil(F.col("count") / TILE_NODES).alias("tiles"))
+    known = texts.where("n > 0").select(F.col("doc_id").alias("id"), "n", "bits")
+
+    def placed(rows: DataFrame, kind: int, tile: Column) -> DataFrame:
+        dealt = rows.join(sizes, F.col("cluster") == F.col("of")).withColumn("tile", tile)
+        return dealt.join(known, F.col("node") == F.col("id")).select(
+            "cluster", "tile", F.lit(kind).alias("kind"), "node", "n", "bits"
+        )
+
+    both = placed(inside, 0, F.pmod(F.xxhash64("node"), F.col("tiles"))).unionByName(
+        placed(strays, 1, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    )
+
+    def held(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tile = None, Tile(percent)
+        for p in batches:
+            a, b = [], []
+            for cluster, number, kind, node, n, bits in p.itertuples(index=False):
+                if (cluster, number) != key:
+                    key, tile = (cluster, number), Tile(percent)
+                if kind == 0:
+                    tile.add(node, n, bits)
+                    continue
+                near = tile.near(n, bits)
+                a.append(np.full(len(near), node))
+                b.append(near)
+            if a:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64")
+
+    return (
+        both.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "kind", "node")
+        .mapInPandas(held, "a long, b long")
+    )
+
+
+def linked(left: DataFrame, docs: DataFrame, percent: int, size: int, lower: bool) -> DataFrame:
+    """The pairs (a, b) whose sets link, by intersection of sorted arrays."""
+
     def exact(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p["found_a"], p["found_b"])]
+            n = np.array([len(x) + len(y) for x, y in zip(p["found_a"], p["found_b"])], np.int64)
             both = np.array(both, np.int64)
-            yield p.loc[100 * both >= percent * (p["n_a"] + p["n_b"] - both), ["a", "b"]]
+            yield p.loc[100 * both >= percent * (n - both), ["a", "b"]]
 
-    sized = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(fits(F.col("n_a"), F.col("n_b"), percent))
-    left = materialize(sized.mapInPandas(possible, "a long, b long").distinct())
-    return (
-        left.join(side("a", "n", "found"), "a").join(side("b", "n", "found"), "b")
-        .mapInPandas(exact, "a long, b long").distinct()
-    )
+    left = materialize(left.distinct())
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(chosen_sets(docs, nodes, size, lower))
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("found").alias(f"found_{name}"))
+
+    return left.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -177,8 +284,10 @@ def jaccard_components(
        node is first held against one leader only, the least node of most of
        its candidate groups, which joins groups of near copies with as many
        comparisons as they have members.
-    3. Within every candidate group, the nodes of different components so far
-       are paired, and checked alike: sizes, then bitmaps, then arrays.
+    3. Within every candidate group, nodes outside its largest component so
+       far go to that component's tiles, and are paired with each other where
+       their components differ.  All are checked alike: sizes, then bitmaps,
+       then arrays.
 
     Texts without words have no shingles and link with nothing.  A text of
     fewer words than a shingle is one shingle.  Rows of equal id are one
@@ -187,49 +296,47 @@ def jaccard_components(
     empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    common = common_shingles(rows, size, lower)
-    texts = materialize(indexed(rows, common, size, percent, lower))
+    common = common_shingles(rows, size, percent, lower)
+    texts = stored(indexed(rows, common, size, percent, lower), "shingle-sets")
     named = texts.where("n > 0 and doc_id is not null")
     nodes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")))
 
     own = nodes.select(F.col("set_key").alias("key"), "node")
     firsts = named.join(own, (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("node"))).select(
-        "node", "n", F.explode("prefix").alias("shingle")
+        "node", F.explode("prefix").alias("shingle")
     )
-    groups = firsts.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
-    groups = groups.where("lead.node <> last").select(
-        "shingle", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")
-    )
-    shared = materialize(firsts.join(groups, "shingle"))
-    sets = materialize(chosen_sets(rows, shared.select("node").distinct(), size, lower))
+    groups = firsts.groupBy("shingle").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    groups = groups.where("lead <> last").select("shingle", "lead")
+    shared = stored(firsts.join(groups, "shingle"), "shared-shingles")
 
     stars = (
-        shared.where((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"), percent))
-        .groupBy("node", "lead").count()
+        shared.where("node <> lead").groupBy("node", "lead").count()
         .groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("best"))
         .select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b"))
     )
-    joined = materialize(components(linked(stars, sets, percent)))
+    joined = materialize(components(linked(possible(stars, texts, percent), rows, percent, size, lower)))
 
     # Members of each group with their component; the largest component of a group is not paired with itself.
     held = joined.select(F.col("node").alias("at"), "root")
     placed = shared.join(held, F.col("node") == F.col("at"), "left").select(
-        "shingle", "node", "n", F.coalesce("root", "node").alias("root")
+        "shingle", "node", F.coalesce("root", "node").alias("root")
     )
     sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(
         F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("parts")
     )
     open_groups = sizes.where("parts > 1").select("shingle", F.col("most.root").alias("main"))
-    members = materialize(placed.join(open_groups, "shingle"))
-    x = members.where("root <> main").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = members.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main")
-    crossing = (
-        x.join(y, "shingle")
-        .where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .where(fits(F.col("n_a"), F.col("n_b"), percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    more = materialize(linked(crossing, sets, percent))
+    members = stored(placed.join(open_groups, "shingle"), "open-groups")
+    outside = members.where("root <> main")
+    strays = outside.select("node", F.col("main").alias("cluster")).distinct()
+    touched = strays.select(F.col("cluster").alias("of")).distinct()
+    inside = held.select(F.col("at").alias("node"), F.col("root").alias("cluster")).join(touched, F.col("cluster") == F.col("of"), "left_semi")
+    single = touched.join(held, F.col("of") == F.col("root"), "left_anti").select(F.col("of").alias("node"), F.col("of").alias("cluster"))
+    x = outside.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    y = outside.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    others = x.join(y, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    in_tiles = possible_in_tiles(strays, inside.unionByName(single), texts, percent)
+    crossing = possible(others, texts, percent).unionByName(in_tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    more = materialize(linked(crossing, rows, percent, size, lower))
 
     def renamed(links: DataFrame, column: str) -> DataFrame:
         to = joined.select(F.col("node").alias("at"), "root")

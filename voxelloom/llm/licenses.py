@@ -15,8 +15,6 @@ from .wordhash import grouped, runs, word_hashes
 
 FINGERPRINT_WORDS = 3
 WINNOW = 4
-# Words that a copy may have gained or lost up to any point.
-BAND = 8
 COVERAGE = 0.8
 
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 0x20 for c in range(128)) + bytes(range(128, 256))
@@ -70,17 +68,17 @@ def build_index(templates: Mapping[str, str]) -> Index:
     return Index(names, words, k[order], t[order], p[order])
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """Most template words found in order near the diagonal, and the first and last place they have.
 
-    Template word i may be held against words i + shift - BAND to
-    i + shift + BAND; words on either side may be skipped.
+    Template word i may be held against words i + shift - band to
+    i + shift + band; words on either side may be skipped.
     """
-    m, width = len(template), 2 * BAND + 1
+    m, width = len(template), 2 * band + 1
     best = np.zeros((m + 1, width + 1), np.int64)
     offsets = np.arange(width)
     for i in range(m):
-        at = i + shift - BAND + offsets
+        at = i + shift - band + offsets
         inside = (at >= 0) & (at < len(words))
         same = inside & (words[np.clip(at, 0, len(words) - 1)] == template[i])
         # Column j of the row before stands for one word less, so the diagonal step keeps the column.
@@ -94,7 +92,7 @@ def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int
         elif best[i, j] == best[i - 1, j + 1]:
             i, j = i - 1, j + 1
         else:
-            first = i - 1 + shift - BAND + j
+            first = i - 1 + shift - band + j
             last = first if last < 0 else last
             i -= 1
     return int(best[m, width - 1]), first, last
@@ -106,10 +104,11 @@ def matches(hashed: np.ndarray, hits: list[tuple[int, int, int]], index: Index,
     done: tuple | None = None
     for t, shift, at in sorted(hits):
         # Hits of one copy lie close to one diagonal; the alignment of the first covers them.
-        if done and done[0] == t and shift - done[1] <= BAND and done[2] <= at <= done[3]:
-            continue
         template = index.words[t]
-        count, first, last = align(template, hashed, shift)
+        band = int(np.ceil((1 - least) * len(template))) + 1
+        if done and done[0] == t and shift - done[1] <= band and done[2] <= at <= done[3]:
+            continue
+        count, first, last = align(template, hashed, shift, band)
         done = (t, shift, first, last)
         if count >= least * len(template):
             out.append((t, first, last, count / len(template)))
@@ -129,8 +128,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
 
     Every three-word fingerprint of a text is looked up in the index of the
     templates' winnowed ones, so a copy that keeps any of them is a candidate.
-    Around a candidate's diagonal, the template is aligned in a band; a find
-    has ``coverage`` of the template's words in order.  ``spans`` are code
+    Around a candidate's diagonal, the template is aligned in a band as wide
+    as the words that may be missing, plus one; a find has ``coverage`` of the template's words in order.  ``spans`` are code
     points from the first to behind the last matched word; ``coverage`` is the
     best span's.
 
