@@ -134,23 +134,23 @@ def overlap_bounds(x: np.ndarray, n_x: int, rows: np.ndarray, n_rows: np.ndarray
 
 
 class Tile:
-    """Members of a component, by the size band that their bitmaps' width sets."""
+    """Nodes with their components, by the size band that their bitmaps' width sets."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
-        self.held: dict[int, tuple[list, list, list]] = {}
-        self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+        self.held: dict[int, tuple[list, list, list, list]] = {}
+        self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
-    def add(self, node: int, n: int, bits: bytes) -> None:
-        for x, y in zip(self.held.setdefault(len(bits) // 8, ([], [], [])), (node, n, bits)):
+    def add(self, node: int, root: int, n: int, bits: bytes) -> None:
+        for x, y in zip(self.held.setdefault(len(bits) // 8, ([], [], [], [])), (node, root, n, bits)):
             x.append(y)
 
-    def near(self, n: int, bits: bytes) -> np.ndarray:
-        """Members that sizes and bitmaps do not rule out."""
+    def near(self, root: int, n: int, bits: bytes) -> np.ndarray:
+        """Members of other components that sizes and bitmaps do not rule out."""
         if self.bands is None:
             self.bands = {
-                w: (np.array(nodes), np.array(sizes), np.frombuffer(b"".join(maps), np.uint64).reshape(-1, w))
-                for w, (nodes, sizes, maps) in self.held.items()
+                w: (np.array(nodes), np.array(roots), np.array(sizes), np.frombuffer(b"".join(maps), np.uint64).reshape(-1, w))
+                for w, (nodes, roots, sizes, maps) in self.held.items()
             }
         out = []
         x = np.frombuffer(bits, np.uint64)
@@ -158,8 +158,8 @@ class Tile:
         for w in (len(x) // 2, len(x), len(x) * 2):
             if w not in self.bands:
                 continue
-            nodes, sizes, maps = self.bands[w]
-            fit = (100 * sizes >= self.percent * n) & (100 * n >= self.percent * sizes)
+            nodes, roots, sizes, maps = self.bands[w]
+            fit = (roots != root) & (100 * sizes >= self.percent * n) & (100 * n >= self.percent * sizes)
             nodes, sizes = nodes[fit], sizes[fit]
             bound = overlap_bounds(x, n, maps[fit], sizes)
             out.append(nodes[100 * bound >= self.percent * (n + sizes - bound)])
@@ -205,21 +205,24 @@ def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of strays (node, cluster) and members (node, cluster) that sizes and bitmaps do not rule out.
+    """Pairs (a, b) of different components that sizes and bitmaps do not rule out.
 
-    A cluster's members are spread over tiles of bounded size, and each stray
-    goes to all tiles of its clusters; pairs exist only within a tile's loop.
+    ``strays`` (node, root, cluster) are held against the members of their
+    clusters, ``inside`` (node, root, cluster), and against its other strays.
+    Both are spread over tiles of bounded size, and each stray visits all tiles
+    of its clusters; pairs exist only within a tile's loop.
     """
-    sizes = inside.groupBy("cluster").count().select(F.col("cluster").alias("of"), F.ceil(F.col("count") / TILE_NODES).alias("tiles"))
+    members = inside.unionByName(strays)
+    sizes = members.groupBy("cluster").count().select(F.col("cluster").alias("of"), F.ceil(F.col("count") / TILE_NODES).alias("tiles"))
     known = texts.where("n > 0").select(F.col("doc_id").alias("id"), "n", "bits")
 
     def placed(rows: DataFrame, kind: int, tile: Column) -> DataFrame:
         dealt = rows.join(sizes, F.col("cluster") == F.col("of")).withColumn("tile", tile)
         return dealt.join(known, F.col("node") == F.col("id")).select(
-            "cluster", "tile", F.lit(kind).alias("kind"), "node", "n", "bits"
+            "cluster", "tile", F.lit(kind).alias("kind"), "node", "root", "n", "bits"
         )
 
-    both = placed(inside, 0, F.pmod(F.xxhash64("node"), F.col("tiles"))).unionByName(
+    both = placed(members, 0, F.pmod(F.xxhash64("node"), F.col("tiles"))).unionByName(
         placed(strays, 1, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     )
 
@@ -227,17 +230,17 @@ def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, pe
         key, tile = None, Tile(percent)
         for p in batches:
             a, b = [], []
-            for cluster, number, kind, node, n, bits in p.itertuples(index=False):
+            for cluster, number, kind, node, root, n, bits in p.itertuples(index=False):
                 if (cluster, number) != key:
                     key, tile = (cluster, number), Tile(percent)
                 if kind == 0:
-                    tile.add(node, n, bits)
+                    tile.add(node, root, n, bits)
                     continue
-                near = tile.near(n, bits)
-                a.append(np.full(len(near), node))
-                b.append(near)
+                near = tile.near(root, n, bits)
+                a.append(np.minimum(near, node))
+                b.append(np.maximum(near, node))
             if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64")
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64").drop_duplicates()
 
     return (
         both.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "kind", "node")
@@ -285,9 +288,8 @@ def jaccard_components(
        its candidate groups, which joins groups of near copies with as many
        comparisons as they have members.
     3. Within every candidate group, nodes outside its largest component so
-       far go to that component's tiles, and are paired with each other where
-       their components differ.  All are checked alike: sizes, then bitmaps,
-       then arrays.
+       far go to that component's tiles, where they meet its members and each
+       other.  All are checked alike: sizes, then bitmaps, then arrays.
 
     Texts without words have no shingles and link with nothing.  A text of
     fewer words than a shingle is one shingle.  Rows of equal id are one
@@ -326,16 +328,15 @@ def jaccard_components(
     )
     open_groups = sizes.where("parts > 1").select("shingle", F.col("most.root").alias("main"))
     members = stored(placed.join(open_groups, "shingle"), "open-groups")
-    outside = members.where("root <> main")
-    strays = outside.select("node", F.col("main").alias("cluster")).distinct()
+    strays = members.where("root <> main").select("node", "root", F.col("main").alias("cluster")).distinct()
     touched = strays.select(F.col("cluster").alias("of")).distinct()
-    inside = held.select(F.col("at").alias("node"), F.col("root").alias("cluster")).join(touched, F.col("cluster") == F.col("of"), "left_semi")
-    single = touched.join(held, F.col("of") == F.col("root"), "left_anti").select(F.col("of").alias("node"), F.col("of").alias("cluster"))
-    x = outside.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    y = outside.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    others = x.join(y, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    in_tiles = possible_in_tiles(strays, inside.unionByName(single), texts, percent)
-    crossing = possible(others, texts, percent).unionByName(in_tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    inside = held.join(touched, F.col("root") == F.col("of"), "left_semi").select(
+        F.col("at").alias("node"), "root", F.col("root").alias("cluster")
+    )
+    single = touched.join(held, F.col("of") == F.col("root"), "left_anti").select(
+        F.col("of").alias("node"), F.col("of").alias("root"), F.col("of").alias("cluster")
+    )
+    crossing = possible_in_tiles(strays, inside.unionByName(single), texts, percent)
     more = materialize(linked(crossing, rows, percent, size, lower))
 
     def renamed(links: DataFrame, column: str) -> DataFrame:
