@@ -20,7 +20,7 @@ END_ID = 1
 # Pieces that one task packs; a group wastes less than one sequence or so.
 GROUP_PIECES = 20_000
 # Words whose ids a worker keeps (about 200 bytes each).
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 300_000
 MARKS = b"!$%&*#.,|?:;"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -21,6 +21,8 @@ HIDDEN = 32
 EPOCHS = 30
 BATCH_TEXTS = 64
 LEARNING_RATE = 0.01
+# Texts that a worker scores at once.
+SCORE_TEXTS = 500
 DECAY = 1e-4
 
 # Counts by hashed word, by hashed word ending, and by shape; then shares.
@@ -205,7 +207,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     @F.pandas_udf("double")
     def score(body: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t.encode() for t in body]), dtype="float64")
+        parts = [model.scores([t.encode() for t in body[i : i + SCORE_TEXTS]]) for i in range(0, len(body), SCORE_TEXTS)]
+        return pd.Series(np.concatenate([np.zeros(0), *parts]), dtype="float64")
 
     return docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
 
