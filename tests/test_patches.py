@@ -34,7 +34,7 @@ def test_poisson_keeps_the_exact_count(spark, fraction):
 
 def test_spread_points_keep_their_distance_before_the_fill():
     for seed in range(5):
-        mask = ag.spread_points((12, 12, 12), 20, 0.85, np.random.default_rng(seed)).reshape(12, 12, 12)
+        mask = ag.spread_points((12, 12, 12), 20, 0.85, np.random.default_rng(seed).random(12**3)).reshape(12, 12, 12)
         pts = np.argwhere(mask)
         gaps = ((pts[:, None] - pts[None]) ** 2).sum(-1)[np.triu_indices(len(pts), 1)]
         assert len(pts) == 20
@@ -42,6 +42,21 @@ def test_spread_points_keep_their_distance_before_the_fill():
         assert gaps.min() >= (0.85 * np.cbrt(12**3 / 20)) ** 2
 
 
+@pytest.mark.parametrize("shape,fraction", [((6, 5, 7), 0.3), ((32, 32, 8), 0.05), ((3, 1, 9), 0.5)])
+def test_spread_points_equal_one_by_one_visits(shape, fraction):
+    visit = np.random.default_rng(8).random(int(np.prod(shape)))
+    target = max(1, int(fraction * len(visit)))
+    radius = 0.85 * np.cbrt(len(visit) / target)
+    at = np.stack(np.unravel_index(np.arange(len(visit)), shape), -1)
+    order = np.argsort(visit)
+    kept = []
+    for i in order:
+        if not kept or ((at[kept] - at[i]) ** 2).sum(axis=1).min() >= radius * radius:
+            kept.append(i)
+    kept = (kept + [i for i in order if i not in set(kept)])[:target]
+    assert np.flatnonzero(ag.spread_points(shape, target, 0.85, visit)).tolist() == sorted(kept)
+
+
 def test_uniform_keeps_all_at_fraction_one(spark):
     out = arrays(ag.sparse_keep(cubes(spark, [ramp(6, 6, 6)]), 6, "uniform", F.lit(1.0)), (6, 6, 6))
     np.testing.assert_array_equal(out[0], ramp(6, 6, 6))

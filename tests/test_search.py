@@ -8,7 +8,7 @@ from voxelloom.functions.arrays import cosine, dot
 from voxelloom.operators import grid, latents, similarity, volumes
 from voxelloom.plans.search import search_volume
 from voxelloom.schema import PatchShape
-from voxelloom.sources.volumes import write_volume_chunked
+from voxelloom.sources.volumes import read_volume, read_volume_chunked, search_report, write_volume_chunked
 
 
 def trace_table(spark, arr, name="v"):
@@ -204,10 +204,53 @@ def test_chunks(spark, tmp_path):
             grid.chunk_extent(bad)
     vol = np.arange(20 * 5 * 10, dtype="f4").reshape(20, 5, 10)
     write_volume_chunked(trace_table(spark, vol), dims_table(spark, vol.shape), str(tmp_path / "v"), (16, 16, 4))
-    got = spark.read.parquet(str(tmp_path / "v"))
-    back = dense(got.select("x", "y", (F.col("z0") + F.col("p")).alias("z"), "sim") if "p" in got.columns else
-                 got.select("x", "y", "z0", F.posexplode("amps").alias("p", "sim")).select("x", "y", (F.col("z0") + F.col("p")).alias("z"), "sim"), vol.shape)
-    np.testing.assert_array_equal(back, vol)
+    back = read_volume_chunked(spark, str(tmp_path / "v"))
+    assert back.columns == ["volume_id", "x", "y", "amps"]
+    flat = back.select("x", "y", F.posexplode("amps").alias("z", "sim"))
+    np.testing.assert_array_equal(dense(flat, vol.shape), vol)
+    other = spark.createDataFrame([("other", 1, 1, 1)], "volume_id string, nx int, ny int, nz int")
+    with pytest.raises(Exception, match="no catalog row"):
+        write_volume_chunked(trace_table(spark, vol), other, str(tmp_path / "lost"), (-1, 16, 16))
+    # Fixed chunks need no catalog, so nothing is lost.
+    write_volume_chunked(trace_table(spark, vol), other, str(tmp_path / "kept"))
+    assert read_volume_chunked(spark, str(tmp_path / "kept")).count() == 100
+
+
+def test_nan_is_no_extremum_and_its_windows_score_zero(spark):
+    rows = [("v", 0, 0, [1.0, float("nan"), 1.0]), ("v", 0, 1, [3.0, 1.0, float("nan"), 5.0]), ("v", 0, 2, [0.0, 2.0, 1.0, 3.0, 0.0])]
+    df = spark.createDataFrame(rows, "volume_id string, x int, y int, amps array<float>")
+    got = {r.y: r.amps for r in volumes.trace_extrema(df).collect()}
+    assert got == {0: [0.0] * 3, 1: [0.0] * 4, 2: [0.0, 2.0, 1.0, 3.0, 0.0]}
+    cube = spark.createDataFrame([(0, [1.0, float("nan"), 1.0, 2.0])], "example_id long, cube array<float>")
+    assert volumes.preprocess(cube, (1, 1, 4)).first().cube == [0.0] * 4
+    vol = np.random.default_rng(1).normal(size=(32, 32, 32)).astype("f4")
+    vol[3, 3, 3] = np.nan
+    got = {tuple(r[1:4]): r.latent for r in latents.windows_pooled(trace_table(spark, vol), dims_table(spark, vol.shape)).collect()}
+    assert not any(np.isnan(v).any() for v in got.values())
+    assert set(got[16, 16, 16]) == {0.0} and set(got[32, 32, 32]) != {0.0}
+    assert not np.isnan(latents._prepared(vol, 1e-6)).any()
+
+
+def test_encoders_see_single_precision():
+    seen = []
+    latents.encode_batches(np.ones((3, 2)), lambda b: seen.append(b.dtype) or b, 2)
+    assert set(seen) == {np.dtype("float32")}
+
+
+def test_report_has_the_shape_of_its_source(spark):
+    dims = spark.createDataFrame([("other", 9, 9, 9), ("wanted", 2, 3, 4)], "volume_id string, nx int, ny int, nz int")
+    found = spark.createDataFrame([("wanted", 1, 2, 3, 0.5)], "volume_id string, x int, y int, z int, sim double")
+    count = spark.createDataFrame([("wanted", 8)], "volume_id string, windows long")
+    padded = dims.selectExpr("volume_id", "nx px", "ny py", "nz pz")
+    report = search_report(found, count, dims, dims, padded, 1.0, 2, 2, "cosine", "pooled", source_id="wanted").first()
+    assert report.source_shape == [2, 3, 4]
+
+
+def test_two_arrays_of_a_store_are_an_error(spark):
+    catalog = spark.createDataFrame([(1, "data", "a"), (1, "data", "b")], "store_id int, array_key string, volume_id string")
+    traces = spark.createDataFrame([], "volume_id string, x int, y int, amps array<float>")
+    with pytest.raises(ValueError, match="several"):
+        read_volume(catalog, traces, 1, "data")
 
 
 def test_shape_guard(spark):

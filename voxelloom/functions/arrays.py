@@ -47,15 +47,18 @@ def cosine_sql(a: str, b: str, eps: float = 1e-8) -> str:
 
 
 def extrema_sql(a: str, depth: int | None = None) -> str:
-    """Keep strict local peaks and troughs, zero everything else.
+    """Keep strict local peaks and troughs, zero everything else; NaN and its neighbours are neither.
 
     With ``depth`` the array is a C-order cube of traces of that many samples;
     the first and last sample of every trace is zeroed.
     """
     z, n = (f"i % {depth}", str(depth)) if depth else ("i", "size(ex)")
-    strict = "(v > get(ex, i - 1) and v > get(ex, i + 1)) or (v < get(ex, i - 1) and v < get(ex, i + 1))"
-    # Borders and flat spots are zero of the element's own type.
-    return let_sql(a, "ex", f"transform(ex, (v, i) -> if({z} > 0 and {z} < {n} - 1 and ({strict}), v, v - v))")
+    before, after = "get(ex, i - 1)", "get(ex, i + 1)"
+    numbers = f"not isnan(v) and not isnan({before}) and not isnan({after})"
+    strict = f"{numbers} and ((v > {before} and v > {after}) or (v < {before} and v < {after}))"
+    # Borders and flat spots are zero of the element's own type, also where the element less itself is NaN.
+    zero = "if(isnan(v - v), float(0), v - v)"
+    return let_sql(a, "ex", f"transform(ex, (v, i) -> if({z} > 0 and {z} < {n} - 1 and {strict}, v, {zero}))")
 
 
 def interpolate_sql(a: str, position: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import from_map_sql, let_sql, zeros_sql
 from ..schema import PatchShape
-from .joins import LOOKUP_ROWS, few_rows, lookup_join
+from .joins import LOOKUP_ROWS, few_rows, with_dims
 
 AXES = ("x", "y", "z")
 
@@ -43,7 +43,7 @@ def pad(samples: DataFrame, base: int = 16) -> DataFrame:
 def pad_dense(traces: DataFrame, dims: DataFrame, size, base: int = 16) -> DataFrame:
     """Padded traces with explicit zeros, including all-zero border traces."""
     grid = padded_dims(dims, size, base)
-    shifted = lookup_join(traces, grid, ["volume_id"], ["x", "y"]).select(
+    shifted = with_dims(traces, grid, ["x", "y"]).select(
         "volume_id",
         (F.col("x") + base).cast("int").alias("x"),
         (F.col("y") + base).cast("int").alias("y"),
@@ -71,7 +71,7 @@ def pad_dense(traces: DataFrame, dims: DataFrame, size, base: int = 16) -> DataF
 
 def unpad(samples: DataFrame, dims: DataFrame, base: int = 16) -> DataFrame:
     """Crop padded samples to the original extent and shift back."""
-    near = lookup_join(samples, dims.select("volume_id", "nx", "ny", "nz"), ["volume_id"], list(AXES))
+    near = with_dims(samples, dims.select("volume_id", "nx", "ny", "nz"), list(AXES))
     for a in AXES:
         near = near.withColumn(a, (F.col(a) - base).cast("int"))
     for a in AXES:
@@ -126,7 +126,7 @@ def assign_windows(
 ) -> DataFrame:
     """Give every sample all windows covering it (equi-keys, no range join)."""
     p = PatchShape.of(size)
-    out = lookup_join(samples, dims, ["volume_id"], list(AXES))
+    out = with_dims(samples, dims, list(AXES))
     for axis, step, n in zip(AXES, p.axes, extent):
         out = out.selectExpr("*", f"explode({covering_starts(axis, step, stride, n)}) as w{axis}")
     return out.select("volume_id", "wx", "wy", "wz", *AXES, "amp")
@@ -135,7 +135,7 @@ def assign_windows(
 def chunk_of(samples: DataFrame, dims: DataFrame, chunks: Sequence[int] = (16, 16, -1)) -> DataFrame:
     """Tag samples with their chunk; -1 takes the whole axis, edges stay short."""
     spans = chunk_extent(chunks)
-    near = lookup_join(samples, dims, ["volume_id"], list(AXES))
+    near = with_dims(samples, dims, list(AXES))
     for axis, step in zip(AXES, spans):
         key = F.lit(0) if step is None else F.floor(F.col(axis) / step).cast("int")
         near = near.withColumn(f"c{axis}", key)
@@ -206,7 +206,7 @@ def extract_centered(traces: DataFrame, centers: DataFrame, size, ids: Sequence[
 def extract_boxes(traces: DataFrame, boxes: DataFrame, dims: DataFrame, size, ids: Sequence[str]) -> DataFrame:
     """Cubes at start positions, dropping boxes not fully inside the volume."""
     p = PatchShape.of(size)
-    near = lookup_join(boxes, dims, ["volume_id"], ids)
+    near = with_dims(boxes, dims, ids)
     for axis, n in zip(AXES, p.axes):
         near = near.filter((F.col(f"b{axis}") >= 0) & (F.col(f"b{axis}") + n <= F.col(f"n{axis}")))
     return cut_boxes(traces, near.drop("nx", "ny", "nz"), p, ids)

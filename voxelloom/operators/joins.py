@@ -41,6 +41,15 @@ def lookup_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def with_dims(rows: DataFrame, dims: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """Attach the volume catalog's columns; a volume that the catalog lacks is an error, not a loss."""
+    kept = [c for c in dims.columns if c != "volume_id"]
+    near = lookup_join(rows, dims, ["volume_id"], spread, "left")
+    lost = F.raise_error(F.concat(F.lit("no catalog row for volume "), F.col("volume_id").cast("string")))
+    types = dict(dims.dtypes)
+    return near.withColumns({c: F.coalesce(F.col(c), lost.cast(types[c])) for c in kept})
+
+
 def slabs(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Cut ``df`` into evenly filled, globally ordered slabs (column ``slab``).
 

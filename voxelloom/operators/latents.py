@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import from_map_sql, let_sql, total_sql
 from ..schema import PatchShape
 from .grid import AXES, covering_starts, join_parts, padded_dims, window_grid, zslice
-from .joins import lookup_join
+from .joins import with_dims
 from .volumes import preprocess
 
 # Fixed values of the pooled latent: cube side, block extents, vector length.
@@ -60,7 +60,8 @@ def windows_pooled(
         "slice(concat(array(float(0)), amps), 1, size(amps)), "
         "concat(slice(amps, 2, size(amps)), array(float(0))))) as (z, v, above, below)",
     )
-    peak = "if((v > above and v > below) or (v < above and v < below), double(v), 0D)"
+    strict = "(v > above and v > below) or (v < above and v < below)"
+    peak = f"if(not isnan(v) and not isnan(above) and not isnan(below) and ({strict}), double(v), 0D)"
     cells = cells_in.groupBy("volume_id", "cx", "cy", F.expr("shiftright(z, 4) as bz")).agg(
         F.expr(f"sum(if(z % 16 <> 0, {peak}, 0D)) as lower"),
         F.expr(f"sum(if(z % 16 <> 15, {peak}, 0D)) as upper"),
@@ -73,7 +74,7 @@ def windows_pooled(
         F.expr("sum(s2) as s2"),
     )
     grid = padded_dims(dims, POOL_CUBE, base).select("volume_id", "px", "py", "pz")
-    spread = lookup_join(blocks, grid, ["volume_id"], ["bx", "by", "bz"])
+    spread = with_dims(blocks, grid, ["bx", "by", "bz"])
     for a in AXES:
         # Windows start on block borders, so covering the last sample covers all.
         starts = covering_starts(f"b{a} * 16 + 15", POOL_CUBE, stride, f"p{a}")
@@ -92,7 +93,8 @@ def windows_pooled(
     count = float(POOL_CUBE**3)
     dev = f"greatest(sqrt(greatest(s2 / {count}D - (s1 / {count}D) * (s1 / {count}D), 0D)), {floor!r}D)"
     sums = from_map_sql(f"map_from_entries({entries})", POOL_SIZE, "0D")
-    latent = let_sql(f"256D * {dev}", "dv", f"transform({sums}, s -> s / dv)")
+    # A window with a NaN sample has no deviation, and a zero latent.
+    latent = let_sql(f"256D * {dev}", "dv", f"transform({sums}, s -> if(isnan(dv), 0D, s / dv))")
     return packed.selectExpr("volume_id", "wx", "wy", "wz", f"{latent} as latent")
 
 
@@ -103,10 +105,10 @@ RETRY_MARKS = ("out of memory", "cuda error", "mps")
 
 
 def encode_batches(cubes: np.ndarray, encode: Encoder, batch_size: int) -> np.ndarray:
-    """Encode cubes batch by batch, halving the batch on memory errors."""
+    """Encode cubes batch by batch in single precision, halving the batch on memory errors."""
     if batch_size <= 0:
         raise ValueError("batch size must be positive")
-    parts, todo, width = [], cubes, batch_size
+    parts, todo, width = [], np.asarray(cubes, dtype=np.float32), batch_size
     while len(todo):
         head = todo[:width]
         try:
@@ -157,7 +159,8 @@ def _prepared(cube: np.ndarray, floor: float) -> np.ndarray:
     out = np.zeros_like(cube)
     if cube.shape[2] >= 3:
         out[:, :, 1:-1] = np.where(peaks, mid, 0)
-    return out / max(float(cube.std()), floor)
+    deviation = float(cube.std())
+    return np.zeros_like(cube) if np.isnan(deviation) else out / max(deviation, floor)
 
 
 def windows_encoded(
@@ -184,13 +187,13 @@ def windows_encoded(
     for a in AXES:
         tiles = tiles.filter(F.col(f"w{a}") % (stride * tile) == 0)
     limits = grid.select("volume_id", "px", "py", "pz")
-    tiles = lookup_join(tiles, limits, ["volume_id"], ["wx", "wy", "wz"]).select(
+    tiles = with_dims(tiles, limits, ["wx", "wy", "wz"]).select(
         "volume_id", *[F.col(f"w{a}").alias(f"t{a}") for a in AXES], "px", "py", "pz",
         F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"),
         F.lit(None).cast("int").alias("z"), F.lit(None).cast("array<float>").alias("part"),
     )
     reach = {a: (tile - 1) * stride + n for a, n in zip(AXES, p.axes)}
-    rows = lookup_join(traces, limits, ["volume_id"], ["x", "y"])
+    rows = with_dims(traces, limits, ["x", "y"])
     rows = rows.withColumn("x", (F.col("x") + base).cast("int")).withColumn("y", (F.col("y") + base).cast("int"))
 
     def tile_starts(lo, hi, a):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import hann, similarity
 from ..schema import PatchShape
 from .grid import AXES, assign_windows
-from .joins import lookup_join
+from .joins import with_dims
 
 MAX_PIECES = 64
 
@@ -80,7 +80,7 @@ def expand_blocks(
     p = PatchShape.of(size)
     unit, offsets = _pieces(p, stride)
     bounds = dims.select("volume_id", *[F.col(n).alias(f"e{a}") for n, a in zip(extent, AXES)])
-    out = lookup_join(blocks, bounds, ["volume_id"], ["bx", "by", "bz"])
+    out = with_dims(blocks, bounds, ["bx", "by", "bz"])
     # The taper is a product over axes, so each axis is summed out as soon as
     # its coordinate is generated; few terms are left per sample.
     left = {off: (f"coalesce(s_{k}, 0D)", f"n_{k}") for k, off in enumerate(offsets)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import extrema, extrema_sql, from_map_sql, let_sql, scaled, std_sql
 from ..schema import PatchShape
-from .joins import lookup_join
+from .joins import lookup_join, with_dims
 
 
 def samples_of(traces: DataFrame) -> DataFrame:
@@ -87,10 +87,10 @@ def trace_extrema(traces: DataFrame, column: str = "amps") -> DataFrame:
     return traces.withColumn(column, extrema(column))
 
 
-def _by_std(cube: str, floor: float, kept: str = "cb") -> Column:
+def _by_std(cube: str, floor: float, kept: str = "cb", value: str = "double(v) / dv") -> Column:
     """Divide (an expression of) a cube ``cb`` by the cube's own deviation."""
     dev = f"greatest({std_sql('cb')}, {floor!r}D)"
-    return F.expr(let_sql(cube, "cb", let_sql(dev, "dv", f"transform({kept}, v -> double(v) / dv)")))
+    return F.expr(let_sql(cube, "cb", let_sql(dev, "dv", f"transform({kept}, v -> {value})")))
 
 
 def cube_extrema(cube: str, nz: int) -> Column:
@@ -102,10 +102,11 @@ def preprocess(patches: DataFrame, size, floor: float = 1e-6) -> DataFrame:
     """Normalize each cube by its deviation, keep extrema only.
 
     Extrema are found on the raw amplitudes: dividing by a positive number
-    does not move them.
+    does not move them.  A cube with a NaN sample has no deviation and no
+    extrema.
     """
     nz = PatchShape.of(size).z
-    return patches.withColumn("cube", _by_std("cube", floor, extrema_sql("cb", nz)))
+    return patches.withColumn("cube", _by_std("cube", floor, extrema_sql("cb", nz), "if(isnan(dv), 0D, double(v) / dv)"))
 
 
 # ---- slices and display ---------------------------------------------------
@@ -117,7 +118,7 @@ def ortho_slices(traces: DataFrame, dims: DataFrame, inline: int, crossline: int
     One pass over the traces: each trace gives one sample to the z plane and,
     where it lies on an x or y plane, all of its samples.
     """
-    near = lookup_join(traces, dims, ["volume_id"], ["x", "y"])
+    near = with_dims(traces, dims, ["x", "y"])
     at = {a: f"greatest(0, least(n{a} - 1, {int(k)}))" for a, k in zip("xyz", (inline, crossline, depth))}
 
     def whole(axis: str) -> str:

@@ -108,13 +108,29 @@ def _(spark, d):
     return _rows(ag.sparse_keep_uniform(fx.patches(spark, d), ag.sparse_fraction(seed=SEED), SEED))
 
 
-@query("sparse_keep_poisson")
+# The distance rule one sample at a time, in the order of the draws.
+TARGET = f"cast(greatest(1, least(400, round_even({FRAC} * 400, 0))) as int)"
+SPREAD = dict(
+    rk=f"select example_id, x, y, z, amp, {FLAT} i, {TARGET} target, {FRAC} f, row_number() over (partition by example_id order by {uu('visit', FLAT)}, {FLAT}) r from patch_samples",
+    greedy="select distinct example_id, 0::bigint r, []::int[] kept from rk union all select g.example_id, g.r + 1, "
+           "case when len(list_filter(g.kept, lambda j: (j//80 - k.x)*(j//80 - k.x) + (j%80//16 - k.y)*(j%80//16 - k.y) + (j%16 - k.z)*(j%16 - k.z) "
+           "< pow(0.85::double * cbrt(400.0::double / k.target), 2))) = 0 then list_append(g.kept, cast(k.i as int)) else g.kept end "
+           "from greedy g join rk k on k.example_id = g.example_id and k.r = g.r + 1",
+    chosen="select rk.*, row_number() over (partition by example_id order by case when list_contains(kept, cast(i as int)) then 0 else 1 end, rk.r) <= target far "
+           "from rk join (select example_id, kept from greedy where r = 400) using (example_id)",
+)
+
+
+@query("sparse_keep_poisson", sql(
+    f"select example_id, x, y, z, case when far then {q6('amp')} else 0 end amp from chosen", P, **SPREAD))
 def _(spark, d):
     f = ag.sparse_fraction(seed=SEED)
     return _rows(ag.sparse_keep_poisson(fx.patches(spark, d), fx.PATCH, f, seed=SEED))
 
 
-@query("sparse_keep")
+@query("sparse_keep", sql(
+    f"select example_id, x, y, z, case when case when {uu('sparse_method')} < 0.5 then far else {uu('keep', FLAT)} <= f end then {q6('amp')} else 0 end amp from chosen",
+    P, **SPREAD))
 def _(spark, d):
     return _rows(ag.sparse_keep(fx.patches(spark, d), fx.PATCH, "random", seed=SEED))
 

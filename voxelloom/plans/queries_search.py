@@ -186,7 +186,9 @@ def own_scores(spark, d):
     dims = fx.volume_dims(spark, d)
     at = dims.withColumn("wx", F.explode(F.expr("sequence(0, nx - 10, 5)")))
     at = at.withColumn("wy", F.explode(F.expr("sequence(0, ny - 10, 5)")))
-    own = fx.volume_traces(spark, d).join(F.broadcast(at), F.expr("x = wx and y = wy")).select(
+    traces = fx.volume_traces(spark, d)
+    same = (traces.volume_id == at.volume_id) & (F.col("x") == F.col("wx")) & (F.col("y") == F.col("wy"))
+    own = traces.join(at, same).select(
         at.volume_id, "wx", "wy", F.explode(F.expr("sequence(0, nz - 20, 5)")).alias("wz"), "amps")
     return own.select("volume_id", "wx", "wy", "wz", F.expr("aggregate(slice(amps, wz + 1, 20), 0D, (s, v) -> s + double(v)) / 20").alias("sim"))
 
@@ -244,7 +246,7 @@ def _(spark, d):
     _, src_d, _, to_d = _pair(spark, d)
     found = _search(spark, d).withColumn("sim", r6("sim"))
     report = src.search_report(
-        found, grid.window_count(to_d, 32, 16, 16), src_d, to_d, grid.padded_dims(to_d, 32), 2.0, 32, 16, "cosine", "pooled")
+        found, grid.window_count(to_d, 32, 16, 16), src_d, to_d, grid.padded_dims(to_d, 32), 2.0, 32, 16, "cosine", "pooled", source_id="v0")
     flat = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s * 1000 + v).alias(c)
     return report.select(
         "volume_id", *[r6(c).alias(c) for c in ("output_min", "output_max", "output_mean", "output_std", "windows_per_sec")],

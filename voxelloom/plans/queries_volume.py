@@ -100,12 +100,19 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "volume")
     src.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path)
-    got = src.read_volume_chunked(spark, path)
-    rows = got.select("volume_id", "cx", "cy", F.explode("amps").alias("v"))
+    rows = spark.read.parquet(path).select("volume_id", "cx", "cy", F.explode("amps").alias("v"))
     return rows.groupBy("volume_id", "cx", "cy").agg(
         F.count("*").alias("samples"), r6(F.sum(F.col("v").cast("double"))).alias("total"))
 
 
+@query("read_volume_chunked", sql(f"select volume_id, x, y, z, {q6('amp')} amp from volume_samples", S))
+def _(spark, d):
+    """Traces cut into depth chunks and put together again."""
+    path = scratch_path(spark, "volume")
+    src.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path, (16, 16, 24))
+    return volumes.samples_of(src.read_volume_chunked(spark, path)).withColumn("amp", r6("amp"))
+
+
 # ---- projections and slices ---------------------------------------------------
 
 
@@ -244,12 +251,11 @@ def _(spark, d):
 
 @query("window_count", sql(
     "select volume_id, count(*) windows from g group by 1 union all "
-    "select 'unpadded', (nx//5) * (ny//5) * ((nz-15)//5+1) from volume_dims", D, **GRID))
+    "select 'unpadded', (nx//5) * (ny//5) * ((nz-14)//5+1) from volume_dims", D, **GRID))
 def _(spark, d):
     dims = fx.volume_dims(spark, d)
-    even = [(F.col(n) - F.col(n) % 5).alias(n) for n in ("nx", "ny", "nz")]
-    plain = dims.select(F.lit("unpadded").alias("volume_id"), *even)
-    return grid.window_count(dims, 32, 16, 16).unionByName(grid.window_count(plain, (5, 5, 15), 5))
+    plain = dims.withColumn("volume_id", F.lit("unpadded"))
+    return grid.window_count(dims, 32, 16, 16).unionByName(grid.window_count(plain, (5, 5, 14), 5))
 
 
 @query("assign_windows", sql(
@@ -289,10 +295,10 @@ def _(spark, d):
     f"select b.center_id, cast(x-bx as int) x, cast(y-by_ as int) y, cast(z-bz as int) z, {q6('amp')} amp from b join volume_samples s "
     "on s.volume_id = b.volume_id and x >= bx and x < bx+5 and y >= by_ and y < by_+5 and z >= bz and z < bz+16", D,
     b="select volume_id, x bx, y by_, (x+y)%60 bz, cast(x*1000+y as int) center_id from volume_samples join volume_dims using (volume_id) "
-      "where z = 0 and x % 3 = 0 and x+5 <= nx and y+5 <= ny and (x+y)%60+16 <= nz"))
+      "where z = 0 and x+5 <= nx and y+5 <= ny and (x+y)%60+16 <= nz"))
 def _(spark, d):
     traces = fx.volume_traces(spark, d)
-    boxes = traces.filter("x % 3 = 0").select(
+    boxes = traces.select(
         "volume_id", F.col("x").alias("bx"), F.col("y").alias("by"), ((F.col("x") + F.col("y")) % 60).alias("bz"),
         (F.col("x") * 1000 + F.col("y")).cast("int").alias("center_id"))
     cubes = grid.extract_boxes(traces, boxes, fx.volume_dims(spark, d), fx.PATCH, ["center_id"])

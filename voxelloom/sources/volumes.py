@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import chunk_extent
-from ..operators.joins import first_rows, lookup_join
+from ..operators.joins import first_rows, with_dims
 from ..schema import RUN_METRICS, PatchShape
 
 # Array keys tried in this order when none is given.
@@ -39,6 +39,8 @@ def read_volume(catalog: DataFrame, traces: DataFrame, store_id, key: str | None
     entry = resolve_arrays(catalog.filter(F.col("store_id") == store_id), key).select("volume_id").head(2)
     if not entry:
         raise ValueError(f"store {store_id!r} has no array {key or ''}".rstrip())
+    if len(entry) > 1:
+        raise ValueError(f"store {store_id!r} has several arrays {key or ''}".rstrip())
     return traces.filter(F.col("volume_id") == entry[0]["volume_id"])
 
 
@@ -109,7 +111,7 @@ def write_volume_chunked(traces: DataFrame, dims: DataFrame, path: str, chunk=(1
     Depth chunks split each trace into parts (column ``cz`` and ``z0``).
     """
     sx, sy, sz = chunk_extent(chunk)
-    tagged = lookup_join(traces, dims.select("volume_id", "nx", "ny"), ["volume_id"], ["x", "y"])
+    tagged = with_dims(traces, dims.select("volume_id", "nx", "ny"), ["x", "y"])
     tagged = tagged.withColumn("cx", F.floor(F.col("x") / (sx or F.col("nx"))).cast("int")).withColumn(
         "cy", F.floor(F.col("y") / (sy or F.col("ny"))).cast("int")
     )
@@ -127,7 +129,13 @@ def write_volume_chunked(traces: DataFrame, dims: DataFrame, path: str, chunk=(1
 
 
 def read_volume_chunked(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The traces of a chunked volume (volume_id, x, y, amps), depth parts put together in order."""
+    rows = spark.read.parquet(path)
+    # Without depth chunks every trace is one part, and stays where it was written.
+    if rows.where("cz > 0").isEmpty():
+        return rows.select("volume_id", "x", "y", "amps")
+    parts = F.array_sort(F.collect_list(F.struct("z0", "amps")))
+    return rows.groupBy("volume_id", "x", "y").agg(F.flatten(F.transform(parts, lambda p: p["amps"])).alias("amps"))
 
 
 # ---- logs and snapshots ----------------------------------------------------
@@ -165,6 +173,7 @@ def load_representatives(spark: SparkSession, path: str) -> DataFrame:
 def search_report(
     similarity_map: DataFrame, windows: DataFrame, source_dims: DataFrame, search_dims: DataFrame,
     padded: DataFrame, elapsed_s: float, size, stride: int, mode: str, latent: str, batch_size: int = 32,
+    *, source_id: str,
 ) -> DataFrame:
     """One record per searched volume: settings, shapes, rate and value summary.
 
@@ -177,7 +186,7 @@ def search_report(
         F.avg("sim").alias("output_mean"), F.stddev_pop("sim").alias("output_std"),
         F.array(F.max("x") + 1, F.max("y") + 1, F.max("z") + 1).alias("output_shape"),
     )
-    src = source_dims.limit(1).select(shape("nx", "ny", "nz")).scalar()
+    src = source_dims.where(F.col("volume_id") == source_id).select(shape("nx", "ny", "nz")).scalar()
     return (
         summary.join(windows.withColumnRenamed("windows", "total_windows"), "volume_id")
         .join(search_dims.select("volume_id", shape("nx", "ny", "nz").alias("search_shape")), "volume_id")
