@@ -154,3 +154,12 @@ def test_color_limits_of_a_known_volume(spark):
     got = {r.volume_id: (r.clim_low, r.clim_high) for r in stats.color_limits(df, vols).collect()}
     span = max(abs(np.percentile(v, 2)), abs(np.percentile(v, 88)))
     assert got["v"] == pytest.approx((-span, span)) and got["empty"] == (0.0, 1.0)
+
+
+def test_gaps_and_missing_weights_are_errors(spark):
+    gaps = spark.createDataFrame([(i * 10,) for i in range(6)], "example_id long")
+    with pytest.raises(Exception, match="without gaps"):
+        sampling.mixup_partner(gaps).collect()
+    weights = spark.createDataFrame([(0, 1.0), (1, 2.0)], "example_id long, weight double")
+    with pytest.raises(ValueError, match="length"):
+        sampling.resample_examples(weights, examples=spark.range(3).withColumnRenamed("id", "example_id"))

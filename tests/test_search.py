@@ -298,3 +298,20 @@ def test_traces_and_samples_round_trip(spark):
     back = volumes.traces_of(volumes.samples_of(trace_table(spark, vol)))
     for r in back.collect():
         np.testing.assert_array_equal(np.array(r.amps, dtype="f4"), vol[r.x, r.y])
+
+
+def test_encoder_is_built_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "builds")
+
+    def make():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda b: b.reshape(len(b), -1)[:, :2]
+
+    vol = np.random.default_rng(2).normal(size=(24, 24, 24)).astype("f4")
+    out = latents.windows_encoded(trace_table(spark, vol), dims_table(spark, vol.shape), 4, 4, make, tile=2)
+    assert out.count() > 500
+    built = open(log).read().split()
+    assert len(built) == len(set(built))

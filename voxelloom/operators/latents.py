@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -126,6 +127,21 @@ def encode_batches(cubes: np.ndarray, encode: Encoder, batch_size: int) -> np.nd
     return np.concatenate(parts) if parts else np.empty((0, 0), dtype=np.float32)
 
 
+def encoder_of_worker(key: str, make_encoder: Callable[[], Encoder]) -> Encoder:
+    """The encoder of a plan, built once per Python worker and kept until another plan's is needed.
+
+    Task functions reach workers by value, so what outlives a task is kept on
+    the installed pyspark module.
+    """
+    import pyspark
+
+    held = pyspark.__dict__.get("_voxelloom_encoder")
+    if held is None or held[0] != key:
+        held = (key, make_encoder())
+        pyspark._voxelloom_encoder = held
+    return held[1]
+
+
 def encode_patches(
     patches: DataFrame,
     make_encoder: Callable[[], Encoder],
@@ -133,11 +149,11 @@ def encode_patches(
     batch_size: int = 32,
     keys=("example_id",),
 ) -> DataFrame:
-    """Latents of a patch table; the encoder is built once per task."""
-    p, keys = PatchShape.of(size), list(keys)
+    """Latents of a patch table; the encoder is built once per worker."""
+    p, keys, plan = PatchShape.of(size), list(keys), uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = make_encoder()
+        encode = encoder_of_worker(plan, make_encoder)
         for frame in frames:
             if frame.empty:
                 continue
@@ -181,7 +197,7 @@ def windows_encoded(
     overlap, so a sample is shuffled to its tile and its halo neighbours
     instead of to every window.  A tile has a fixed sample count.
     """
-    p = PatchShape.of(size)
+    p, plan = PatchShape.of(size), uuid.uuid4().hex
     grid = padded_dims(dims, p, base)
     tiles = window_grid(grid, p, stride, ("px", "py", "pz"))
     for a in AXES:
@@ -226,7 +242,7 @@ def windows_encoded(
         ) * stride
         cubes = [box[i:i + p.x, j:j + p.y, k:k + p.z] for i, j, k in starts]
         ready = np.stack([_prepared(c, floor) if prepare else c for c in cubes])
-        latents = encode_batches(ready, make_encoder(), batch_size)
+        latents = encode_batches(ready, encoder_of_worker(plan, make_encoder), batch_size)
         at = starts + np.array(corner)
         return pd.DataFrame(
             {"volume_id": volume, "wx": at[:, 0], "wy": at[:, 1], "wz": at[:, 2],

@@ -103,13 +103,16 @@ def distinct_positions(df: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def resample_examples(weights: DataFrame, seed: int = 0) -> DataFrame:
+def resample_examples(weights: DataFrame, seed: int = 0, examples: DataFrame | None = None) -> DataFrame:
     """As many draws with replacement as there are examples: rows (draw, example_id).
 
-    ``weights``: example_id (0..N-1), weight.  Works for any N and any weight
+    ``weights``: example_id (0..N-1), weight; with ``examples`` given, one
+    weight for each of them is checked.  Works for any N and any weight
     distribution: the running total and the lookup are both cut into sorted,
     evenly filled slabs.
     """
+    if examples is not None:
+        check_weights(weights, examples)
     w = F.col("weight")
     bad = F.count_if(w.isNull() | F.isnan(w) | (w == float("inf")))
     check = weights.agg(
@@ -137,11 +140,13 @@ def check_weights(weights: DataFrame, examples: DataFrame) -> None:
 
 
 def mixup_partner(examples: DataFrame, seed: int = 0, corpus: DataFrame | None = None) -> DataFrame:
-    """A uniform other example for each example (ids 0..N-1); a single one gets itself.
+    """A uniform other example for each example (ids 0..N-1, checked); a single one gets itself.
 
     ``corpus`` is where the partners come from, by default the examples.
     """
-    n = (examples if corpus is None else corpus).agg(F.count("*")).scalar()
+    dense = (F.count("*") == 0) | ((F.min("example_id") == 0) & (F.max("example_id") == F.count("*") - 1))
+    gaps = F.raise_error(F.lit("partners need example ids 0..N-1 without gaps")).cast("bigint")
+    n = (examples if corpus is None else corpus).agg(F.when(dense, F.count("*")).otherwise(gaps)).scalar()
     i = F.col("example_id")
     drawn = F.floor(uniform(seed, "partner", i) * (F.col("_n") - 1))
     other = drawn + F.when(drawn >= i, 1).otherwise(0)
