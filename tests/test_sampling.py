@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelloom.operators import joins, quantiles, sampling, stats
+from voxelloom.operators import joins, quantiles, sampling, scoring, stats
 from voxelloom.operators.quantiles import exact_percentiles
 
 
@@ -163,3 +163,16 @@ def test_gaps_and_missing_weights_are_errors(spark):
     weights = spark.createDataFrame([(0, 1.0), (1, 2.0)], "example_id long, weight double")
     with pytest.raises(ValueError, match="length"):
         sampling.resample_examples(weights, examples=spark.range(3).withColumnRenamed("id", "example_id"))
+
+
+def test_scores_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(ids):
+        seen.add(len(ids))
+        return ids * 0.5
+
+    rows = spark.range(2000).select(F.lit("training").alias("split"), F.col("id").alias("example_id"), score("id").alias("score"))
+    assert scoring.representatives(rows).count() == 11
+    assert seen.value == 2000

@@ -50,6 +50,8 @@ def exact_percentiles(
     rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+    # Every pass reads the rows, so what they come from is computed once.
+    rows = materialize(rows)
 
     first = rows.groupBy(*keys, _log_bin(F.col("_v")).alias("_bin")).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PatchShape
+from ..session import materialize
 from .joins import LOOKUP_ROWS, lookup_join
 from .latents import encode_batches
 from .quantiles import exact_percentiles
@@ -195,10 +196,10 @@ def adaptive_probabilities(snapshots: DataFrame, window: int = 3, weight: float
         return F.when(fine, F.greatest(v, F.lit(0.0))).otherwise(0.0)
 
     first = usable(F.col("recon_loss") + weight * F.col("average_improvement"))
-    scored = scored.withColumn("_first", first).withColumn("_second", usable(F.col("recon_loss")))
-    totals = scored.groupBy("run_id").agg(
+    scored = materialize(scored.withColumn("_first", first).withColumn("_second", usable(F.col("recon_loss"))))
+    totals = materialize(scored.groupBy("run_id").agg(
         F.sum("_first").alias("_t1"), F.sum("_second").alias("_t2"), F.count("*").cast("double").alias("_t3")
-    )
+    ))
     both = lookup_join(scored, totals, ["run_id"], ["example_id"])
     one, two = F.col("_t1") > 0, F.col("_t2") > 0
     score = F.when(one, F.col("_first")).when(two, F.col("_second")).otherwise(1.0)
@@ -230,8 +231,12 @@ def representatives(scores: DataFrame, percents: Sequence[int] = PERCENTILES) ->
     len(percents)**2 rows per split.
     """
     k = len(percents)
+    # Scores may come from a model: they are computed once.
+    scores = materialize(scores.select("split", "example_id", "score"))
     marks = exact_percentiles(scores, ["split"], "score", list(percents))
-    marks = marks.groupBy("split").agg(F.collect_list(F.struct("percent", F.col("score").alias("mark"))).alias("marks"))
+    marks = materialize(
+        marks.groupBy("split").agg(F.collect_list(F.struct("percent", F.col("score").alias("mark"))).alias("marks"))
+    )
     near = lookup_join(scores, marks, ["split"], ["example_id"], most=LOOKUP_ROWS // k).select(
         "split", "example_id", "score", F.inline("marks")
     )

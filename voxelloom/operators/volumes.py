@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import extrema, extrema_sql, from_map_sql, let_sql, scaled, std_sql
 from ..schema import PatchShape
+from ..session import materialize
 from .joins import lookup_join, with_dims
 
 
@@ -166,7 +167,7 @@ def clip_scaled(
 ) -> DataFrame:
     """Clip each group to a fraction of its largest magnitude and divide by that limit."""
     v = F.col(column).cast("double")
-    peaks = df.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak"))
+    peaks = materialize(df.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak")))
     lim = F.greatest(F.col("_peak") * max(1e-6, float(fraction)), F.lit(1e-6))
     near = lookup_join(df, peaks, keys, spread)
     return near.withColumn(column, F.greatest(-lim, F.least(lim, v)) / lim).drop("_peak")
