@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bitfilter import build_filter, in_filter
-from .common import slices, stored
+from .bitfilter import build_filter, key_hashes, may_hold
+from .common import bound_batches, slices, stored
 from .graph import components
 from .wordhash import shingle_sets
 
@@ -171,11 +171,15 @@ def chosen_sets(docs: DataFrame, nodes: DataFrame, size: int, lower: bool) -> Da
     table = docs.sparkSession.sparkContext.broadcast(build_filter(nodes, "node", nodes.count()))
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            sets = list(shingle_sets(_texts(batch), size, lower))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(sets)], ["node", "found"])
-
-    rows = docs.where("doc_id is not null").where(in_filter(table, F.col("doc_id")))
+        for batch in batches:
+            held = may_hold(table.value, batch["h"].to_numpy(), batch["bits"].to_numpy())
+            for piece in slices(batch.filter(pa.array(held)), SLICE_BYTES):
+                sets = list(shingle_sets(_texts(piece), size, lower))
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], _lists(sets)], ["node", "found"])
+
+    # The filter is asked in the same worker that makes the sets.
+    h, bits = key_hashes(F.col("doc_id"))
+    rows = docs.where("doc_id is not null").select("doc_id", "body", h.alias("h"), bits.alias("bits"))
     return rows.mapInArrow(made, "node long, found array<long>")
 
 
@@ -297,6 +301,7 @@ def jaccard_components(
     links with nothing, its component is null.  Other columns are ignored; an
     empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     common = common_shingles(rows, size, percent, lower)
     texts = stored(indexed(rows, common, size, percent, lower), "shingle-sets")

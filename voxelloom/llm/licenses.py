@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .license_texts import TEMPLATES
 from .wordhash import grouped, runs, word_hashes
 
@@ -137,6 +138,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     without rows, give no rows.  Repeated rows are found as often as they
     occur, rows without id keep a null id.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     index = build_index(templates)
 
     def found(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

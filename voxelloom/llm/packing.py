@@ -13,24 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import kept_in_worker
+from .common import bound_batches, kept_in_worker
 
 CAPACITY = 4096
 END_ID = 1
 # Pieces that one task packs; a group wastes less than one sequence or so.
 GROUP_PIECES = 20_000
-# Words whose ids a worker keeps (about 200 bytes each).
-CACHE_WORDS = 300_000
+# Words whose ids a task keeps (about 200 bytes each).
+CACHE_WORDS = 500_000
 MARKS = b"!$%&*#.,|?:;"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def load_tokenizer(path: str) -> tuple:
+def load_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,33 +62,35 @@ def encode_words(tokenizer, new: list[bytes]) -> list[bytes]:
     return out
 
 
-def token_bytes(path: str, text: str) -> bytes:
-    """A text's ids as little-endian unsigned 32-bit numbers.
+def token_bytes(path: str, text: str, known: dict[bytes, bytes] | None = None) -> bytes:
+    """A text's ids as little-endian unsigned 32-bit numbers; ``known`` holds the words met before.
 
     The tokenizer drops white space, cuts words before it merges, and is blind
     to the case of letters, so ids are looked up word by word and only new
     words are encoded.  Punctuation behind an ASCII letter or digit is a word
     of its own to it, and is looked up apart.
     """
-    tokenizer, known = kept_in_worker(("tokenizer", path), lambda: load_tokenizer(path))
+    tokenizer = kept_in_worker(("tokenizer", path), lambda: load_tokenizer(path))
+    known = {} if known is None else known
     found = text.encode().lower().split()
-    try:
-        return b"".join(map(known.__getitem__, found))
-    except KeyError:
-        pass
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = [w for w in dict.fromkeys(found) if w not in known]
-    stems = [w.rstrip(MARKS) for w in new]
-    parted = [bool(s) and s != w and s[-1:].isalnum() for s, w in zip(stems, new)]
-    parts = dict.fromkeys(s if p else w for s, w, p in zip(stems, new, parted))
-    parts |= dict.fromkeys(w[len(s) :] for s, w, p in zip(stems, new, parted) if p)
-    missing = [w for w in parts if w not in known]
-    known.update(zip(missing, encode_words(tokenizer, missing)))
-    for stem, word, apart in zip(stems, new, parted):
-        if apart:
-            known[word] = known[stem] + known[word[len(stem) :]]
-    return b"".join(map(known.__getitem__, found))
+    ids = list(map(known.get, found))
+    if None in ids:
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = list(dict.fromkeys([found[i] for i in gaps]))
+        stems = [w.rstrip(MARKS) for w in new]
+        parted = [bool(s) and s != w and s[-1:].isalnum() for s, w in zip(stems, new)]
+        parts = dict.fromkeys(s if p else w for s, w, p in zip(stems, new, parted))
+        parts |= dict.fromkeys(w[len(s) :] for s, w, p in zip(stems, new, parted) if p)
+        missing = [w for w in parts if w not in known]
+        known.update(zip(missing, encode_words(tokenizer, missing)))
+        for stem, word, apart in zip(stems, new, parted):
+            if apart:
+                known[word] = known[stem] + known[word[len(stem) :]]
+        for i in gaps:
+            ids[i] = known[found[i]]
+    return b"".join(ids)
 
 
 def token_pieces(
@@ -98,10 +100,11 @@ def token_pieces(
     end = array("I", [END_ID]).tobytes()
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].array, batch["body"]):
-                ids = token_bytes(tokenizer, text) + end
+                ids = token_bytes(tokenizer, text, known) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -198,6 +201,7 @@ def pack(
     often as they occur, equal lengths in order of id and piece.  An empty
     table gives an empty result; columns besides id and text are ignored.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialize(token_pieces(docs, tokenizer, capacity, id_col, text_col))
     groups = max(1, -(-pieces.count() // group_pieces))
 

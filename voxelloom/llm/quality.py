@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .wordhash import grouped, word_hashes
 
 PASSAGE_WORDS = 64
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("label"))
         .orderBy(F.xxhash64("of"), "of").limit(TRAIN_TEXTS)
     )
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(F.broadcast(known), "of")
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,8 @@ def held_out(id_col: str = "doc_id"):
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, score): each row whole, and the model's score of its whole text."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(body: pd.Series) -> pd.Series:
         parts = [model.scores([t.encode() for t in body[i : i + SCORE_TEXTS]]) for i in range(0, len(body), SCORE_TEXTS)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitfilter import build_filter, in_filter
-from .common import kept_in_worker, slices, stored
+from .common import bound_batches, kept_in_worker, slices, stored
 from .wordhash import mixed
 
 # Strings of so many bytes count as repeated.
@@ -22,7 +22,7 @@ DIGIT = 32
 # Windows that are worked on at once.
 CHUNK = 1 << 20
 # Bytes of text whose places a worker sorts at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 # First digits that so many places of one slice of texts share are dealt out by the second digit too.
 CROWDED = 32
 MOST_CROWDED = 65_536
@@ -340,6 +340,7 @@ def with_spans(
     empty table gives an empty result.  ``row`` holds all columns of ``docs``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     body = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.groupBy(d.alias("d")).count()
@@ -401,9 +402,15 @@ def digests(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_co
     rows = with_spans(docs.select(id_col, text_col), depth, id_col=id_col, text_col=text_col).select(
         F.col("row")[id_col].cast("long").alias("doc_id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("body"), "repeat_spans"
     )
-    return rows.mapInPandas(
+    none = F.lit(0).cast("long")
+    whole = rows.where("repeat_spans is null").select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("body", 256).alias("kept_sha256"),
+    )
+    cut = rows.where("repeat_spans is not null").mapInPandas(
         made, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+    return cut.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, text_col: str = "text", **columns: str) -> DataFrame:
@@ -416,8 +423,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, text_col: str = "text",
         ])
 
     text = F.col("row")[text_col]
-    kept = F.when(F.col("repeat_spans").isNull(), text).otherwise(
-        cut(F.coalesce(text, F.lit("")), F.coalesce("repeat_spans", F.array().cast(SPAN)))
-    )
     marked = with_spans(docs, depth, text_col=text_col, **columns)
-    return marked.withColumn("row", F.col("row").withField(text_col, kept)).select("row.*")
+    held = marked.where("repeat_spans is not null")
+    held = held.select(F.col("row").withField(text_col, cut(F.coalesce(text, F.lit("")), F.col("repeat_spans"))).alias("row"))
+    return held.unionByName(marked.where("repeat_spans is null").select("row")).select("row.*")
