@@ -321,7 +321,12 @@ def jaccard_components(
         .groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("best"))
         .select(F.col("node").alias("a"), (-F.col("best.col2")).alias("b"))
     )
-    joined = materialize(components(linked(possible(stars, texts, percent), rows, percent, size, lower)))
+    # Texts of one id belong together.
+    mine = named.select("doc_id", "set_key").join(own, F.col("set_key") == F.col("key")).select("doc_id", "node")
+    several = mine.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
+    same_id = several.join(mine, "doc_id").select("a", F.col("node").alias("b"))
+    links = linked(possible(stars, texts, percent), rows, percent, size, lower)
+    joined = materialize(components(links.unionByName(same_id)))
 
     # Members of each group with their component; the largest component of a group is not paired with itself.
     held = joined.select(F.col("node").alias("at"), "root")
