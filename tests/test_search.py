@@ -228,7 +228,7 @@ def test_nan_is_no_extremum_and_its_windows_score_zero(spark):
     got = {tuple(r[1:4]): r.latent for r in latents.windows_pooled(trace_table(spark, vol), dims_table(spark, vol.shape)).collect()}
     assert not any(np.isnan(v).any() for v in got.values())
     assert set(got[16, 16, 16]) == {0.0} and set(got[32, 32, 32]) != {0.0}
-    assert not np.isnan(latents._prepared(vol, 1e-6)).any()
+    assert not np.isnan(latents.prepared(vol, 1e-6)).any()
 
 
 def test_encoders_see_single_precision():

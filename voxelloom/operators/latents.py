@@ -167,7 +167,7 @@ def encode_patches(
     return patches.select(*keys, "cube").mapInPandas(run, f"{fields}, latent array<double>")
 
 
-def _prepared(cube: np.ndarray, floor: float) -> np.ndarray:
+def prepared(cube: np.ndarray, floor: float) -> np.ndarray:
     """Deviation-normalized strict z extrema of one window, in double precision."""
     cube = cube.astype(np.float64)
     mid, up, down = cube[:, :, 1:-1], cube[:, :, :-2], cube[:, :, 2:]
@@ -241,7 +241,7 @@ def windows_encoded(
             [s for s in np.ndindex(tile, tile, tile) if all(i * stride + n <= m for i, n, m in zip(s, p.axes, span))]
         ) * stride
         cubes = [box[i:i + p.x, j:j + p.y, k:k + p.z] for i, j, k in starts]
-        ready = np.stack([_prepared(c, floor) if prepare else c for c in cubes])
+        ready = np.stack([prepared(c, floor) if prepare else c for c in cubes])
         latents = encode_batches(ready, encoder_of_worker(plan, make_encoder), batch_size)
         at = starts + np.array(corner)
         return pd.DataFrame(

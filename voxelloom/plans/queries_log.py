@@ -158,7 +158,7 @@ def _(spark, d):
 
 
 @query("stream_latent_scores", sql(
-    f"select example_id, {q6('sum(v * w)')} sim from (select example_id, (({EXT}) / sd) v, cos((x*80 + y*16 + z + 1) * 1) w from e) group by 1",
+    f"select example_id, {q6('sum(v * w)')} sim from (select example_id, (({EXT}) / sd)::float::double v, cos((x*80 + y*16 + z + 1) * 1) w from e) group by 1",
     "patch_samples", e=PREP))
 def _(spark, d):
     path, (out, ckpt) = scratch_path(spark, "patches"), sinks.scratch(spark, "scores")

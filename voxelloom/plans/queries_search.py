@@ -104,12 +104,17 @@ def _(spark, d):
     f"select cast(wx as int) wx, cast(wy as int) wy, cast(wz as int) wz, cast(f as int) f, {q6('coalesce(v, 0)')} v from g "
     "cross join (select unnest(range(128)) f) left join latent using (wx, wy, wz, f)", ALL, **_windows("volume_samples")))
 def _(spark, d):
-    """The general window path with pooling as a plug-in encoder."""
+    """The general window path; the plug-in encoder prepares the raw windows in double precision and pools them."""
 
     def make():
-        return lambda c: c.astype(np.float64).reshape(-1, 8, 4, 8, 4, 2, 16).mean(axis=(2, 4, 6)).reshape(len(c), -1)
+        def encode(raw: np.ndarray) -> np.ndarray:
+            ready = np.stack([latents.prepared(c, 1e-6) for c in raw])
+            return ready.reshape(-1, 8, 4, 8, 4, 2, 16).mean(axis=(2, 4, 6)).reshape(len(raw), -1)
 
-    coded = latents.windows_encoded(fx.volume_traces(spark, d), fx.volume_dims(spark, d), 32, 16, make, tile=2)
+        return encode
+
+    volume = fx.volume_traces(spark, d), fx.volume_dims(spark, d)
+    coded = latents.windows_encoded(*volume, 32, 16, make, tile=2, prepare=False)
     return coded.select("wx", "wy", "wz", F.posexplode("latent").alias("f", "v")).withColumn("v", r6("v"))
 
 
