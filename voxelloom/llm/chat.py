@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -125,6 +125,7 @@ def format_conversations(
     )
     placed = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "body")
 
+    @lean
     def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -144,6 +145,7 @@ def read_back(parts: DataFrame) -> DataFrame:
     """
     ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
+    @lean
     def digest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: tuple | None = None
         turns = loss = None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bitfilter import build_filter, key_hashes, may_hold
-from .common import bound_batches, slices, stored
+from .common import bound_batches, lean, slices, stored
 from .graph import components
 from .wordhash import shingle_sets
 
@@ -55,6 +55,7 @@ def common_shingles(docs: DataFrame, size: int, percent: int, lower: bool) -> np
     as are needed, since only those can come first once common ones come last.
     """
 
+    @lean
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             firsts = [s[: first_part(len(s), percent) * 3 // 2] for s in shingle_sets(_texts(batch), size, lower)]
@@ -92,6 +93,7 @@ def indexed(docs: DataFrame, common: np.ndarray, size: int, percent: int, lower:
     order = np.argsort(common)
     by_hash, rank = common[order], np.arange(len(common))[order]
 
+    @lean
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             sets = list(shingle_sets(_texts(batch), size, lower))
@@ -170,6 +172,7 @@ def chosen_sets(docs: DataFrame, nodes: DataFrame, size: int, lower: bool) -> Da
     """(node, found): shingle arrays of the texts whose id may be in ``nodes``."""
     table = docs.sparkSession.sparkContext.broadcast(build_filter(nodes, "node", nodes.count()))
 
+    @lean
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = may_hold(table.value, batch["h"].to_numpy(), batch["bits"].to_numpy())
@@ -191,6 +194,7 @@ def fits(n_a: Column, n_b: Column, percent: int) -> Column:
 def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps do not rule out."""
 
+    @lean
     def bounded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             bound = [
@@ -230,6 +234,7 @@ def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, pe
         placed(strays, 1, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     )
 
+    @lean
     def held(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tile = None, Tile(percent)
         for p in batches:
@@ -255,6 +260,7 @@ def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, pe
 def linked(left: DataFrame, docs: DataFrame, percent: int, size: int, lower: bool) -> DataFrame:
     """The pairs (a, b) whose sets link, by intersection of sorted arrays."""
 
+    @lean
     def exact(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p["found_a"], p["found_b"])]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .license_texts import TEMPLATES
 from .wordhash import grouped, runs, word_hashes
 
@@ -141,6 +141,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     bound_batches(docs.sparkSession)
     index = build_index(templates)
 
+    @lean
     def found(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc_id"].astype("Int64").array

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bound_batches, kept_in_worker
+from .common import bound_batches, kept_in_worker, lean
 
 CAPACITY = 4096
 END_ID = 1
@@ -99,6 +99,7 @@ def token_pieces(
     """Tokenize each text, end it with ``END_ID``, and cut only what exceeds ``capacity``."""
     end = array("I", [END_ID]).tobytes()
 
+    @lean
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, bytes] = {}
         for batch in batches:
@@ -205,6 +206,7 @@ def pack(
     pieces = materialize(token_pieces(docs, tokenizer, capacity, id_col, text_col))
     groups = max(1, -(-pieces.count() // group_pieces))
 
+    @lean
     def fill(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if not rows:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .wordhash import grouped, word_hashes
 
 PASSAGE_WORDS = 64
@@ -184,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(F.broadcast(known), "of")
 
+    @lean
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(_texts(batch)):

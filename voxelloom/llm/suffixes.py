@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitfilter import build_filter, in_filter
-from .common import bound_batches, kept_in_worker, slices, stored
+from .common import bound_batches, kept_in_worker, lean, slices, stored
 from .wordhash import mixed
 
 # Strings of so many bytes count as repeated.
@@ -119,6 +119,7 @@ def _rows(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 def crowded_digits(rows: DataFrame, depth: int, digit: int) -> np.ndarray:
     """First digits with very many places, ascending; only how rows are dealt out depends on them."""
 
+    @lean
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             g, n = np.unique(_batch_places(batch, depth, digit)[0], return_counts=True)
@@ -134,6 +135,7 @@ def crowded_digits(rows: DataFrame, depth: int, digit: int) -> np.ndarray:
 def dealt(rows: DataFrame, crowded: np.ndarray, depth: int, digit: int) -> DataFrame:
     """(deal, done, g, c, d, tie, place) of every place; a batch's later copies are done already."""
 
+    @lean
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             g, c, d, tie, place = _batch_places(batch, depth, digit)
@@ -158,6 +160,7 @@ def second_pass(sorted_rows: DataFrame, crowded: np.ndarray) -> DataFrame:
     batches with one row in hand.
     """
 
+    @lean
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "open g d tie place"
         last = None  # digits of the row before
@@ -210,6 +213,7 @@ def contexts(rows: DataFrame, opened: DataFrame, depth: int) -> DataFrame:
         wanted, (F.col("d") == F.col("of_d")) & (F.col("tie") == F.col("of_tie"))
     )
 
+    @lean
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -266,6 +270,7 @@ def repeated_windows(held: DataFrame, depth: int) -> DataFrame:
         repeat[order[1:]] = key[order[1:]] == key[order[:-1]]
         return ranges(batch, row[repeat], start[repeat])
 
+    @lean
     def small(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sort whole groups; the last group of a batch waits for its rest."""
         rest = None
@@ -281,6 +286,7 @@ def repeated_windows(held: DataFrame, depth: int) -> DataFrame:
         if rest is not None and len(rest):
             yield resolved(rest)
 
+    @lean
     def exploded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -388,6 +394,7 @@ def with_spans(
 def digests(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``with_spans`` removes of each row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
+    @lean
     def made(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
