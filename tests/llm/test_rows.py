@@ -252,6 +252,39 @@ def test_mix(spark, weights):
     assert mixed.columns == df.columns and mixed.count() == len(plan)
 
 
+def test_long_mix_stays_within_one_block_of_the_weights():
+    rng = random.Random(7)
+    mixes = [({"a": 20_000, "b": 9_000, "tiny": 1}, {"a": 4_000, "b": 1_500, "tiny": 1})]
+    for _ in range(60):
+        sources = range(rng.randint(1, 9))
+        mixes.append(({s: Fraction(rng.randint(1, 400), 7) for s in sources}, {s: rng.randint(1, 60) for s in sources}))
+    for weights, blocks in mixes:
+        length, uses = mixing.fit(weights, blocks)
+        total = sum(Fraction(w) for w in weights.values())
+        share = {s: Fraction(w) / total for s, w in weights.items()}
+        used = dict.fromkeys(weights, 0)
+        for slot, source, nth, release, deadline in mixing.schedule(weights, blocks, length):
+            assert release <= slot < deadline and nth == used[source]
+            used[source] += 1
+            assert all(abs(used[s] - (slot + 1) * x) < 1 for s, x in share.items())
+        assert used == uses and sum(uses.values()) == length
+        assert all(uses[s] >= n for s, n in blocks.items())
+        assert length <= max(-(-n // share[s]) for s, n in blocks.items())
+    # The tiny source comes once, and the mix is not drawn out until its weight gives a block.
+    length, uses = mixing.fit(*mixes[0])
+    assert uses["tiny"] == 1 and length < 6_000
+
+
+def test_plan_follows_the_weights_over_many_periods(spark):
+    many = [(i, "x", "a") for i in range(3_000)] + [(5_000, "y", "tiny")]
+    plan = mixing.plan_mix(documents(spark, many), {"a": 9_999, "tiny": 1}, block_docs=1, period=64)
+    assert {r.source: r["count"] for r in plan.groupBy("source").count().collect()} == {"a": 3_000, "tiny": 1}
+    # Equal sources are used once each.
+    equal = [(i, "x", f"s{i % 20}") for i in range(20 * 64)]
+    plan = mixing.plan_mix(documents(spark, equal), block_docs=4)
+    assert plan.count() == len(equal) and plan.where("epoch > 0").isEmpty()
+
+
 def test_mix_odd(odd):
     plan = mixing.plan_mix(odd).where("epoch = 0")
     assert plan.count() == odd.count()
