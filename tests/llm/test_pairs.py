@@ -177,6 +177,20 @@ def test_license_scan(spark):
     assert (None, "CC-BY-NC-4.0 notice") in got and not any(k[0] in (5, 6, 7) for k in got)
 
 
+def test_license_with_inserted_passages(spark):
+    words = licenses.TEMPLATES["MIT"].split()
+    n = len(words)
+    # Band 34: the whole text lies near the middle diagonal only.
+    cut = [*words[: n // 3], *prose(1, 27).split(), *words[n // 3 : 2 * n // 3], *prose(2, 27).split(), *words[2 * n // 3 :]]
+    # The first diagonal reaches the coverage, but a later one has more.
+    tail = [*words[:20], *prose(3, 30).split(), *words[20 : n - 20], *prose(4, 30).split(), *words[n - 20 :]]
+    rows = [(1, " ".join(cut), "a"), (2, " ".join(tail), "a"), (3, " ".join([*cut, *prose(5, 200).split(), *cut]), "a")]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).where("license = 'MIT'").collect()}
+    for i, text, _ in rows[:2]:
+        assert got[i].coverage == 1.0 and [(s.start, s.end) for s in got[i].spans] == [(0, len(text.rstrip(".")))]
+    assert got[3].coverage == 1.0 and got[3].n_spans == 2
+
+
 def test_band_alignment_agrees_with_full_table():
     import numpy as np
 

@@ -38,6 +38,7 @@ class Index:
 
     names: list[str]
     words: list[np.ndarray]
+    bags: list[tuple[np.ndarray, np.ndarray]]
     keys: np.ndarray
     template: np.ndarray
     place: np.ndarray
@@ -52,7 +53,7 @@ def winnowed(hashed: np.ndarray) -> np.ndarray:
 
 
 def build_index(templates: Mapping[str, str]) -> Index:
-    names, words, keys, template, place = [], [], [], [], []
+    names, words, bags, keys, template, place = [], [], [], [], [], []
     for name, text in templates.items():
         hashed = word_hashes([plain(text)])[0]
         if len(hashed) < FINGERPRINT_WORDS:
@@ -64,9 +65,10 @@ def build_index(templates: Mapping[str, str]) -> Index:
         place.append(at)
         names.append(name)
         words.append(hashed)
+        bags.append(np.unique(hashed, return_counts=True))
     k, t, p = np.concatenate(keys), np.concatenate(template), np.concatenate(place)
     order = np.argsort(k, kind="stable")
-    return Index(names, words, k[order], t[order], p[order])
+    return Index(names, words, bags, k[order], t[order], p[order])
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -99,19 +101,34 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
     return int(best[m, width - 1]), first, last
 
 
+def in_common(bag: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> int:
+    """How many of a template's words the text has in any order; an alignment has no more."""
+    kinds, counts = bag
+    at = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
+    return int(np.minimum(np.bincount(at[kinds[at] == words], minlength=len(kinds)), counts).sum())
+
+
 def matches(hashed: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float) -> list[tuple[int, int, int, float]]:
     """(template, first word, last word, coverage) of one text; hits are (template, shift, place)."""
     out = []
-    done: tuple | None = None
-    for t, shift, at in sorted(hits):
-        # Hits of one copy lie close to one diagonal; the alignment of the first covers them.
+    diagonals: dict[tuple[int, int], list[int]] = {}
+    for t, shift, at in hits:
+        diagonals.setdefault((t, shift), []).append(at)
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    # Each diagonal is aligned, those of most hits first, but where too few words are for a find
+    # or for a fuller one than that which holds all its hits.
+    for (t, shift), places in sorted(diagonals.items(), key=lambda x: (x[0][0], -len(x[1]), x[0][1])):
         template = index.words[t]
         band = int(np.ceil((1 - least) * len(template))) + 1
-        if done and done[0] == t and shift - done[1] <= band and done[2] <= at <= done[3]:
+        most = in_common(index.bags[t], hashed[max(0, shift - band) : max(0, shift + len(template) + band)])
+        if most < least * len(template):
+            continue
+        near = [f for f in found.get(t, ()) if abs(shift - f[0]) <= band and most <= f[3]]
+        if near and all(any(a <= at <= b for _, a, b, _ in near) for at in places):
             continue
         count, first, last = align(template, hashed, shift, band)
-        done = (t, shift, first, last)
         if count >= least * len(template):
+            found.setdefault(t, []).append((shift, first, last, count))
             out.append((t, first, last, count / len(template)))
     # Of overlapping finds of a template the fullest one stays.
     kept: list[tuple[int, int, int, float]] = []
@@ -129,7 +146,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
 
     Every three-word fingerprint of a text is looked up in the index of the
     templates' winnowed ones, so a copy that keeps any of them is a candidate.
-    Around a candidate's diagonal, the template is aligned in a band as wide
+    Around every candidate's diagonal, the template is aligned in a band as wide
     as the words that may be missing, plus one; a find has ``coverage`` of the template's words in order.  ``spans`` are code
     points from the first to behind the last matched word; ``coverage`` is the
     best span's.
