@@ -141,6 +141,23 @@ def test_repeated_rows_of_one_id(spark):
     assert sorted(r[1] for r in got[:3]) == sorted(sizes) and got[3][2] == len(text)
 
 
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch):
+    def text(i):
+        return "".join(hashlib.sha256(f"{kind}{i}".encode()).hexdigest() for kind in ("", "b"))
+
+    # Two pairs of texts whose xxhash64 agree in 31 bits; only the first of each repeats an earlier text.
+    rows = [(1, text(110015) + text(131852), "a")]
+    rows += [(i, text(k), "a") for i, k in ((None, 110015), (None, 114183), (7, 131852), (7, 298923))]
+    want = removed(rows, 100)
+    assert sorted(r[2] for r in want) == [0, 0, 0, 128, 128]
+    df = documents(spark, rows)
+    assert sorted((tuple(r) for r in suffixes.digests(df).collect()), key=str) == want
+    # Keys that clash are made anew.
+    made = suffixes.text_key
+    monkeypatch.setattr(suffixes, "text_key", lambda body, seed: made(body, seed) % (2 if seed < 2 else 1 << 62))
+    assert sorted((tuple(r) for r in suffixes.digests(df).collect()), key=str) == want
+
+
 def test_long_text_in_chunks(monkeypatch):
     import numpy as np
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitfilter import build_filter, in_filter
@@ -317,6 +317,23 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+def text_key(body: Column, seed: int) -> Column:
+    """64 bits that tell texts of one id apart."""
+    return F.xxhash64(F.lit(seed), body)
+
+
+def clear_seed(docs: DataFrame, d: Column, body: Column) -> int:
+    """The first seed at which no two different texts of one id share a key."""
+    seed = 0
+    while True:
+        texts = docs.select(
+            d.alias("d"), text_key(body, seed).alias("tie"), F.sha2(body.cast("binary"), 256).alias("digest")
+        ).dropDuplicates()
+        if texts.groupBy("d", "tie").count().where("count > 1").isEmpty():
+            return seed
+        seed += 1
+
+
 def with_spans(
     docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -344,7 +361,8 @@ def with_spans(
     body = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.groupBy(d.alias("d")).count()
     plain = ids.where((F.col("count") > 1) | (F.col("d") == NO_ID)).isEmpty()
-    tie = F.lit(0).cast("long") if plain else F.xxhash64(body).bitwiseAND(0x7FFFFFFF)
+    # Where ids repeat or are null, the key tells their texts apart without a clash.
+    tie = F.lit(0).cast("long") if plain else text_key(body, clear_seed(docs, d, body))
     rows = docs.select(d.alias("d"), tie.alias("tie"), body.alias("body"))
     if not plain:
         rows = rows.dropDuplicates()
