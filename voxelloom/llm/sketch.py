@@ -109,7 +109,8 @@ def fingerprints(
     document takes the first of the next bucket in use.
 
     Null texts are empty; an empty text has an empty fingerprint and is like
-    none.  Rows of equal id follow each other by text; rows without id come
+    none.  So is a text of n distinct shingles none of which is below
+    ``fraction``, with chance (1 - fraction)^n, even to an equal text.  Rows of equal id follow each other by text; rows without id come
     last, in a fixed order of their texts.  A single row follows itself.
     Other columns are ignored.
     """
