@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, licenses, mixing, packing, quality, rules, sketch, suffixes, urls
+from . import chat, impact, jaccard, lexical, licenses, mixing, packing, quality, rules, sketch, spelling, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,10 +99,16 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat.ORACLE,
     "op4_url_filter": urls.ORACLE,
     "op5_quality_rules": rules.ORACLE,
     "op9_fingerprints": sketch.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
+    "op12_exact_topk": impact.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
