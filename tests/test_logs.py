@@ -76,30 +76,54 @@ def test_event_rules(spark, row, ok):
     assert jobs.quarantined_events(df).count() == int(not ok)
 
 
+def follow(spark, tmp_path, rows, watermark, files=1, forget_ms=86_400_000):
+    """Progress rows after events arrive in the given order, and the ended query."""
+    events, out = str(tmp_path / "events"), str(tmp_path / "out")
+    step = -(-len(rows) // files)
+    query = None
+    for at in range(0, len(rows), step):
+        spark.createDataFrame(rows[at : at + step], JOB_EVENTS).coalesce(1).write.mode("append").parquet(events)
+        stream = jobs.valid_events(spark.readStream.schema(JOB_EVENTS).parquet(events))
+        writer = sinks.keep_latest(jobs.stream_job_progress(stream, watermark, forget_ms), out, str(tmp_path / "ckpt"))
+        query = sinks.run_available(writer)
+    got = {r.job_id: r for r in sinks.read_latest(spark, out, ["job_id"]).collect()}
+    batch = {r.job_id: r for r in jobs.job_progress(jobs.valid_events(spark.read.schema(JOB_EVENTS).parquet(events))).collect()}
+    return got, batch, query
+
+
 def test_progress_stream_equals_batch_in_any_order(spark, tmp_path):
     rows = [event("progress", t, t, 20, job=j) for j in (1, 2) for t in range(1, 16)]
     rows += [event("status", 3, message="old"), event("status", 9, message="new"), event("artifact", 10, path="a"),
-             event("done", 16, job=2), event("progress", 17, 30, 20)]
+             event("done", 12, job=2), event("progress", 17, 30, 20), event("error", 14, job=2), event("status", 1)]
     order = np.random.default_rng(0).permutation(len(rows))
-    events = str(tmp_path / "events")
-    spark.createDataFrame([rows[i] for i in order], JOB_EVENTS).repartition(6).write.parquet(events)
-    stream = spark.readStream.schema(JOB_EVENTS).option("maxFilesPerTrigger", 2).parquet(events)
-    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    sinks.run_available(sinks.keep_latest(jobs.job_progress(jobs.valid_events(stream), "1 hour"), out, ckpt))
-    got = {r.job_id: r for r in sinks.read_latest(spark, out, ["job_id"]).collect()}
-    want = {r.job_id: r for r in jobs.job_progress(jobs.valid_events(spark.read.schema(JOB_EVENTS).parquet(events))).collect()}
+    got, want, _ = follow(spark, tmp_path, [rows[i] for i in order], "1 hour", 4)
     assert got == want
     assert got[1].percent == 75 and got[1].last_status == "new" and got[1].artifact_path == "a" and got[1].terminal is None
-    assert got[2].terminal == "done"
+    assert got[2].terminal == "error" and got[2].completed_windows == 15
+
+
+def test_ended_jobs_leave_no_state(spark, tmp_path):
+    day = 86_400
+    rows = [event("progress", 1, 5, 10), event("done", 2), event("progress", 3, 7, 10),
+            event("progress", day, 1, 4, job=2), event("progress", day + 60, 9, 10),
+            event("progress", 4 * day, 2, 4, job=2), event("done", 4 * day + 1, job=2), event("status", 9 * day, message="x", job=3),
+            event("done", 9 * day + 1, job=3), event("status", 20 * day, job=4), event("done", 20 * day, job=4)]
+    got, _, query = follow(spark, tmp_path, rows, "1 minute", len(rows))
+    # What came before the watermark passed the end still counts, what came a day later does not.
+    assert got[1].completed_windows == 7 and got[1].terminal == "done" and got[1].total_windows == 10
+    assert got[2].completed_windows == 2 and got[2].terminal == "done" and got[3].terminal == "done"
+    # Only the last job, whose end the watermark has not passed, is still held.
+    assert sinks.state_rows(query) == 1
 
 
 def test_events_are_routed_once(spark, tmp_path):
-    events, good, bad = (str(tmp_path / n) for n in ("events", "good", "bad"))
+    events, path = str(tmp_path / "events"), str(tmp_path / "routed")
     spark.createDataFrame([event("progress", 0, 1, 2), event("progress", 1), event("status", 2)], JOB_EVENTS).write.parquet(events)
     for _ in range(2):
         stream = spark.readStream.schema(JOB_EVENTS).parquet(events)
-        sinks.run_available(jobs.route_events(stream, good, bad, str(tmp_path / "ckpt")))
-    assert spark.read.parquet(good).count() == 2 and spark.read.parquet(bad).count() == 1
+        sinks.run_available(jobs.route_events(stream, path, str(tmp_path / "ckpt")))
+    good, bad = (jobs.routed(spark, path, JOB_EVENTS, v) for v in (True, False))
+    assert good.count() == 2 and bad.count() == 1 and good.columns == JOB_EVENTS.names
 
 
 def test_partial_map_uses_only_the_windows_seen(spark, tmp_path):
@@ -107,15 +131,21 @@ def test_partial_map_uses_only_the_windows_seen(spark, tmp_path):
     rows = [("v", x, y, z, float(x + 2 * y - z)) for x in (0, 2, 4) for y in (0, 2, 4) for z in (0, 2, 4)]
     schema = "volume_id string, wx int, wy int, wz int, sim double"
     path, out = str(tmp_path / "scores"), str(tmp_path / "state")
-    for part in (rows[:10], rows[10:]):
+    for seen in (rows[:10], rows):
+        part = seen if len(seen) == 10 else rows[10:]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path)
-        sinks.run_available(sinks.keep_latest(search.stream_overlap_add(stream, 4, 2), out, str(tmp_path / "ckpt")))
-        seen = rows[:10] if part is not rows[10:] and len(part) == 10 else rows
+        query = sinks.run_available(
+            sinks.keep_latest(search.stream_overlap_add(stream, dims, 4, 2), out, str(tmp_path / "ckpt")))
         state = sinks.read_latest(spark, out, ["volume_id", "bx", "by", "bz"])
         got = search.partial_map(state, dims, 4, 2).toPandas().sort_values(["x", "y", "z"]).sim.values
         want = similarity.overlap_add(spark.createDataFrame(seen, schema), dims, 4, 2).toPandas()
         np.testing.assert_allclose(got, want.sort_values(["x", "y", "z"]).sim.values, atol=1e-12)
+        # Blocks that have had all their windows leave the state.
+        blocks = {tuple(np.array(r[1:4]) // 2 + o) for r in seen for o in np.ndindex(2, 2, 2)}
+        full = state.filter("complete").count()
+        assert sinks.state_rows(query) == len(blocks) - full
+    assert full == 64
 
 
 def test_catalog_rules(spark):

@@ -165,30 +165,44 @@ def join_parts(at: str, traces: int, depth: int) -> Column:
     return F.expr(f"flatten({from_map_sql(at, traces, zeros_sql(depth))})")
 
 
+def in_boxes(traces: DataFrame, boxes: DataFrame, size) -> DataFrame:
+    """Each trace with every box of its volume that contains its position.
+
+    Boxes are indexed by the cells of their own extent that they touch, four at
+    most, so a box is four rows whatever its extent.  Each trace asks for its
+    one cell.  An index of checked size goes to the scan of the traces and only
+    hits go on from there; a larger one meets the traces on (volume, cell),
+    and each trace still moves only once.
+    """
+    p = PatchShape.of(size)
+    ends = {a: F.col(f"b{a}") + (n - 1) for a, n in (("x", p.x), ("y", p.y))}
+    index = boxes
+    for a, n in (("x", p.x), ("y", p.y)):
+        cells = F.array_distinct(F.array(F.floor(F.col(f"b{a}") / n), F.floor(ends[a] / n)))
+        index = index.withColumn(f"_c{a}", F.explode(cells))
+    index = index.withColumnRenamed("volume_id", "_of")
+    if few_rows(boxes, LOOKUP_ROWS // 4):
+        index = F.broadcast(index)
+    held = (F.col("volume_id") == F.col("_of")) & (F.floor(F.col("x") / p.x) == F.col("_cx"))
+    held = held & (F.floor(F.col("y") / p.y) == F.col("_cy"))
+    for a in ("x", "y"):
+        held = held & F.col(a).between(F.col(f"b{a}"), ends[a])
+    return traces.join(index, held).drop("_of", "_cx", "_cy")
+
+
 def cut_boxes(traces: DataFrame, boxes: DataFrame, size, ids: Sequence[str]) -> DataFrame:
     """Cubes at box starts ``bx, by, bz``; whatever lies outside reads 0.
 
-    Boxes become one key per covered trace position.  When those keys are few
-    they are broadcast, so a handful of boxes never shuffles the volume;
-    otherwise both sides shuffle on (volume, x, y).  The per-box list has at
-    most x*y traces.
+    Only the parts of traces inside a box move (see ``in_boxes``).  The list of
+    a box has at most x*y of them.
     """
     p = PatchShape.of(size)
     ids = list(ids)
-    keyed = (
-        boxes.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(p.x - 1))))
-        .withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(p.y - 1))))
-        .withColumn("x", F.col("bx") + F.col("dx"))
-        .withColumn("y", F.col("by") + F.col("dy"))
-    )
-    if few_rows(boxes, max(1, LOOKUP_ROWS // (p.x * p.y))):
-        keyed = F.broadcast(keyed)
-    hits = traces.join(keyed, ["volume_id", "x", "y"]).select(
-        *ids, "dx", "dy", zslice("bz", p.z).alias("part")
-    )
-    packed = hits.groupBy(*ids).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("dx") * p.y + F.col("dy"), "part"))).alias("at")
+    hits = in_boxes(traces.select("volume_id", "x", "y", "amps"), boxes.select(*dict.fromkeys(["volume_id", *ids]), "bx", "by", "bz"), p)
+    parts = hits.select(
+        *ids, ((F.col("x") - F.col("bx")) * p.y + F.col("y") - F.col("by")).alias("i"), zslice("bz", p.z).alias("part")
     )
+    packed = parts.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("i", "part"))).alias("at"))
     nothing = F.expr(zeros_sql(p.samples))
     cubes = packed.select(*ids, join_parts("at", p.x * p.y, p.z).alias("cube"))
     return boxes.join(cubes, ids, "left").withColumn("cube", F.coalesce("cube", nothing))

@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 LOOKUP_ROWS = 200_000
+# What is broadcast has fewer bytes than this, counted as text.
+LOOKUP_BYTES = 32 << 20
 SALTS = 64
 
 
-def few_rows(df: DataFrame, most: int = LOOKUP_ROWS) -> bool:
-    """Whether ``df`` has at most ``most`` rows; reads no more than that plus one."""
-    return len(df.select(F.lit(1)).take(most + 1)) <= most
+def few_rows(df: DataFrame, most: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and ``most_bytes``; reads no more rows than that plus one.
+
+    Rows are counted where they are, none comes to the driver.
+    """
+    size = F.octet_length(F.to_json(F.struct("*")))
+    n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= most and held <= most_bytes
 
 
 def lookup_join(

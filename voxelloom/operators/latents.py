@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import from_map_sql, let_sql, total_sql
@@ -40,32 +41,43 @@ def pooled_latent(patches: DataFrame, size=POOL_CUBE) -> DataFrame:
     return patches.withColumn("latent", latent).drop("cube")
 
 
+# Every sample with the neighbours above and below it; padding reads 0.
+WITH_NEIGHBOURS = (
+    "inline(arrays_zip(sequence({base}, size(amps) + {base} - 1), amps, "
+    "slice(concat(array(float(0)), amps), 1, size(amps)), "
+    "concat(slice(amps, 2, size(amps)), array(float(0))))) as (z, v, above, below)"
+)
+PEAK = (
+    "if(not isnan(v) and not isnan(above) and not isnan(below) "
+    "and ((v > above and v > below) or (v < above and v < below)), double(v), 0D)"
+)
+
+
 def windows_pooled(
     traces: DataFrame, dims: DataFrame, stride: int = 16, base: int = 16, floor: float = 1e-6
 ) -> DataFrame:
     """Pooled latents of all padded 32-cube windows, without building a window.
 
-    Samples are summed once into 4x4x16 cells; cells into 16-cubes, and each
-    16-cube goes to the at most 8 windows that contain it.  Window-local
-    extrema differ from volume extrema only on the first and last z plane of a
-    window, so each cell keeps one sum without its first and one without its
-    last plane.  Padding zeros add nothing to any sum and are never stored.
+    Samples are summed once into cells, the largest blocks that all windows and
+    all their pooled blocks are made of.  Window-local extrema differ from
+    volume extrema only on the first and last z plane of a window, so cells
+    also keep their sums without such a plane.  Padding zeros add nothing to
+    any sum and are never stored.  A window with a NaN sample has no
+    deviation, and a zero latent.
     """
     if stride % 16 or base % 16:
-        raise ValueError("the pooled path needs stride and padding in multiples of 16")
+        return _pooled_by_tile(traces, dims, stride, base, floor)
+    return _pooled_by_cube(traces, dims, stride, base, floor)
+
+
+def _pooled_by_cube(traces: DataFrame, dims: DataFrame, stride: int, base: int, floor: float) -> DataFrame:
+    """Windows on 16-cube borders: 4x4x16 cells go into 16-cubes, and each of these to its at most 8 windows."""
     cells_in = traces.selectExpr(
-        "volume_id",
-        f"shiftright(x + {base}, 2) as cx",
-        f"shiftright(y + {base}, 2) as cy",
-        f"inline(arrays_zip(sequence({base}, size(amps) + {base - 1}), amps, "
-        "slice(concat(array(float(0)), amps), 1, size(amps)), "
-        "concat(slice(amps, 2, size(amps)), array(float(0))))) as (z, v, above, below)",
+        "volume_id", f"shiftright(x + {base}, 2) as cx", f"shiftright(y + {base}, 2) as cy", WITH_NEIGHBOURS.format(base=base)
     )
-    strict = "(v > above and v > below) or (v < above and v < below)"
-    peak = f"if(not isnan(v) and not isnan(above) and not isnan(below) and ({strict}), double(v), 0D)"
     cells = cells_in.groupBy("volume_id", "cx", "cy", F.expr("shiftright(z, 4) as bz")).agg(
-        F.expr(f"sum(if(z % 16 <> 0, {peak}, 0D)) as lower"),
-        F.expr(f"sum(if(z % 16 <> 15, {peak}, 0D)) as upper"),
+        F.expr(f"sum(if(z % 16 <> 0, {PEAK}, 0D)) as lower"),
+        F.expr(f"sum(if(z % 16 <> 15, {PEAK}, 0D)) as upper"),
         F.expr("sum(double(v)) as s1"),
         F.expr("sum(double(v) * double(v)) as s2"),
     )
@@ -94,11 +106,116 @@ def windows_pooled(
     count = float(POOL_CUBE**3)
     dev = f"greatest(sqrt(greatest(s2 / {count}D - (s1 / {count}D) * (s1 / {count}D), 0D)), {floor!r}D)"
     sums = from_map_sql(f"map_from_entries({entries})", POOL_SIZE, "0D")
-    # A window with a NaN sample has no deviation, and a zero latent.
     latent = let_sql(f"256D * {dev}", "dv", f"transform({sums}, s -> if(isnan(dv), 0D, s / dv))")
     return packed.selectExpr("volume_id", "wx", "wy", "wz", f"{latent} as latent")
 
 
+def tile_starts(lo: Column, hi: Column, limit: Column, size: int, stride: int, tile: int) -> Column:
+    """Starts on one axis of the tiles of ``tile`` windows whose extent touches samples lo..hi."""
+    reach, step = (tile - 1) * stride + size, stride * tile
+    first = F.greatest(F.lit(0), F.ceil((lo - (reach - 1)) / step))
+    last = F.least(F.floor(hi / step), F.floor((limit - size) / step))
+    steps = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+    return F.transform(steps, lambda i: (i * step).cast("int"))
+
+
+def run_sums(values: np.ndarray, axis: int, width: int) -> np.ndarray:
+    """Sums of all runs of ``width`` along an axis, by adding only: an empty run is exactly 0 whatever is beside it."""
+    values = np.moveaxis(values, axis, 0)
+    out, have = None, 0
+    power, span = values, 1
+    while width:
+        if width & 1:
+            n = len(values) - have - span + 1
+            out = power if out is None else out[:n] + power[have : have + n]
+            have += span
+        width >>= 1
+        if width:
+            power, span = power[:-span] + power[span:], 2 * span
+    return np.moveaxis(out, 0, axis)
+
+
+def _pooled_by_tile(traces: DataFrame, dims: DataFrame, stride: int, base: int, floor: float) -> DataFrame:
+    """Windows at any stride that divides the cube.
+
+    Cells of gcd(stride, 4) x gcd(stride, 4) x gcd(stride, 16) samples go to the
+    tiles of windows that they touch.  In a tile, sums of runs of cells along
+    each axis give every possible pooled block, and a window picks its 128.
+    The work of a tile is bounded.
+    """
+    unit = [math.gcd(stride, n) for n in POOL_BLOCK]
+    tile = max(1, min(64 // stride, 16))
+    reach = (tile - 1) * stride + POOL_CUBE
+    deep = unit[2]
+    cells_in = traces.selectExpr(
+        "volume_id", f"(x + {base}) div {unit[0]} as cx", f"(y + {base}) div {unit[1]} as cy", WITH_NEIGHBOURS.format(base=base)
+    )
+    sums = cells_in.groupBy("volume_id", "cx", "cy", F.expr(f"z div {deep} as cz")).agg(
+        F.expr(f"sum({PEAK}) as whole"),
+        F.expr(f"sum(if(z % {deep} <> 0, {PEAK}, 0D)) as lower"),
+        F.expr(f"sum(if(z % {deep} <> {deep - 1}, {PEAK}, 0D)) as upper"),
+        F.expr("sum(double(v)) as s1"),
+        F.expr("sum(double(v) * double(v)) as s2"),
+    )
+    values = ["whole", "lower", "upper", "s1", "s2"]
+    grid = padded_dims(dims, POOL_CUBE, base).select("volume_id", "px", "py", "pz")
+    placed = with_dims(sums, grid, ["cx", "cy", "cz"])
+    tiles = window_grid(grid, POOL_CUBE, stride, ("px", "py", "pz"))
+    for a, u in zip(AXES, unit):
+        at = F.col(f"c{a}") * u
+        placed = placed.withColumn(f"t{a}", F.explode(tile_starts(at, at, F.col(f"p{a}"), POOL_CUBE, stride, tile)))
+        tiles = tiles.filter(F.col(f"w{a}") % (stride * tile) == 0).withColumnRenamed(f"w{a}", f"t{a}")
+    keys = ["volume_id", "tx", "ty", "tz", "px", "py", "pz"]
+    # Tiles of nothing but padding have windows too.
+    empty = with_dims(tiles, grid, ["tx", "ty", "tz"]).select(
+        *keys, *[F.lit(None).cast("bigint").alias(f"c{a}") for a in AXES], *[F.lit(None).cast("double").alias(v) for v in values]
+    )
+
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        corner, span = key[1:4], [min(reach, lim - t) for t, lim in zip(key[1:4], key[4:7])]
+        frame = frame.dropna(subset=["cx"])
+        at = tuple(frame[f"c{a}"].to_numpy(np.int64) - t // u for a, t, u in zip(AXES, corner, unit))
+        held = {v: np.zeros([n // u for n, u in zip(span, unit)]) for v in (*values, "bad")}
+        for v in values:
+            held[v][at] = frame[v].to_numpy(np.float64)
+        held["bad"][at] = ~(np.isfinite(held["s1"][at]) & np.isfinite(held["s2"][at]))
+        for v in values:
+            held[v][held["bad"] > 0] = 0
+        starts = [np.arange(0, n - POOL_CUBE + 1, stride) // u for n, u in zip(span, unit)]
+
+        def window_sums(v: str) -> np.ndarray:
+            out = held[v]
+            for axis, u in enumerate(unit):
+                out = run_sums(out, axis, POOL_CUBE // u)
+            return out[np.ix_(*starts)]
+
+        def column_sums(v: str) -> np.ndarray:
+            """Sums over the pooled blocks' x and y extents, at each window's 8 by 8 of them."""
+            out = run_sums(run_sums(held[v], 0, POOL_BLOCK[0] // unit[0]), 1, POOL_BLOCK[1] // unit[1])
+            every = [(s[:, None] + np.arange(8) * (POOL_BLOCK[0] // u)).ravel() for s, u in zip(starts[:2], unit)]
+            return out[np.ix_(every[0], every[1])]
+
+        whole, half, z = column_sums("whole"), POOL_BLOCK[2] // deep, starts[2]
+        # The lower half without the window's first plane, the upper one without its last.
+        low, high = column_sums("lower")[:, :, z], column_sums("upper")[:, :, z + 2 * half - 1]
+        if half > 1:
+            between = run_sums(whole, 2, half - 1)
+            low, high = low + between[:, :, z + 1], high + between[:, :, z + half]
+        nx, ny, nz = map(len, starts)
+        pooled = np.stack([low, high], axis=3).reshape(nx, 8, ny, 8, nz, 2).transpose(0, 2, 4, 1, 3, 5).reshape(-1, POOL_SIZE)
+        count = float(POOL_CUBE**3)
+        mean = window_sums("s1") / count
+        deviation = np.maximum(np.sqrt(np.maximum(window_sums("s2") / count - mean * mean, 0)), floor).reshape(-1, 1)
+        latent = np.where(window_sums("bad").reshape(-1, 1) > 0, 0.0, pooled / (256.0 * deviation))
+        where = np.meshgrid(*[s * u + t for s, u, t in zip(starts, unit, corner)], indexing="ij")
+        return pd.DataFrame(
+            {"volume_id": key[0], **{f"w{a}": w.ravel() for a, w in zip(AXES, where)}, "latent": list(latent)}
+        )
+
+    both = placed.select(*keys, *[F.col(f"c{a}").cast("bigint").alias(f"c{a}") for a in AXES], *values).unionByName(empty)
+    return both.groupBy(*keys).applyInPandas(run, "volume_id string, wx int, wy int, wz int, latent array<double>")
+
+
 # ---- user-supplied encoders -----------------------------------------------
 
 # Message parts that mark an error as worth a smaller batch.
@@ -212,16 +329,14 @@ def windows_encoded(
     rows = with_dims(traces, limits, ["x", "y"])
     rows = rows.withColumn("x", (F.col("x") + base).cast("int")).withColumn("y", (F.col("y") + base).cast("int"))
 
-    def tile_starts(lo, hi, a):
-        """Tile starts on one axis whose extent touches samples lo..hi."""
-        first = F.greatest(F.lit(0), F.ceil((lo - (reach[a] - 1)) / (stride * tile)))
-        last = F.least(F.floor(hi / (stride * tile)), F.floor((F.col(f"p{a}") - dict(zip(AXES, p.axes))[a]) / (stride * tile)))
-        steps = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
-        return F.transform(steps, lambda i: (i * (stride * tile)).cast("int"))
+    size_of = dict(zip(AXES, p.axes))
+
+    def starts(lo: Column, hi: Column, a: str) -> Column:
+        return F.explode(tile_starts(lo, hi, F.col(f"p{a}"), size_of[a], stride, tile))
 
     for a in ("x", "y"):
-        rows = rows.withColumn(f"t{a}", F.explode(tile_starts(F.col(a), F.col(a), a)))
-    rows = rows.withColumn("tz", F.explode(tile_starts(F.lit(base), F.lit(base - 1) + F.size("amps"), "z")))
+        rows = rows.withColumn(f"t{a}", starts(F.col(a), F.col(a), a))
+    rows = rows.withColumn("tz", starts(F.lit(base), F.lit(base - 1) + F.size("amps"), "z"))
     z = F.greatest(F.col("tz"), F.lit(base))
     stop = F.least(F.col("tz") + reach["z"], F.lit(base) + F.size("amps"))
     rows = rows.select(
@@ -237,13 +352,13 @@ def windows_encoded(
             lo = int(at) - corner[2]
             room = part[: max(span[2] - lo, 0)]
             box[int(x) - corner[0], int(y) - corner[1], lo:lo + len(room)] = room
-        starts = np.array(
+        corners = np.array(
             [s for s in np.ndindex(tile, tile, tile) if all(i * stride + n <= m for i, n, m in zip(s, p.axes, span))]
         ) * stride
-        cubes = [box[i:i + p.x, j:j + p.y, k:k + p.z] for i, j, k in starts]
+        cubes = [box[i:i + p.x, j:j + p.y, k:k + p.z] for i, j, k in corners]
         ready = np.stack([prepared(c, floor) if prepare else c for c in cubes])
         latents = encode_batches(ready, encoder_of_worker(plan, make_encoder), batch_size)
-        at = starts + np.array(corner)
+        at = corners + np.array(corner)
         return pd.DataFrame(
             {"volume_id": volume, "wx": at[:, 0], "wy": at[:, 1], "wz": at[:, 2],
              "latent": list(latents.astype(np.float64))}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import array_total
 from ..functions.portable import between, open_uniform, uniform
 from ..schema import PatchShape
-from .grid import AXES
-from .joins import few_rows, last_before, running_sum
+from .grid import AXES, in_boxes
+from .joins import last_before, running_sum
 from ..session import materialize
 
 
@@ -40,17 +40,12 @@ def box_scores(scores: DataFrame, boxes: DataFrame, size, broadcast_z: bool = Fa
     clean = scores.withColumn(
         "amps", F.expr("transform(amps, v -> greatest(nanvl(cast(v as double), 0D), 0D))")
     )
-    keyed = (
-        boxes.withColumn("x", F.explode(F.sequence(F.col("bx"), F.col("bx") + (p.x - 1))))
-        .withColumn("y", F.explode(F.sequence(F.col("by"), F.col("by") + (p.y - 1))))
-    )
-    # Bounded by samples, not rows: a score trace may be long.
-    if few_rows(clean.select(F.explode("amps"))):
-        clean = F.broadcast(clean)
     value = array_total(f"slice(amps, greatest(bz, 0) + 1, {p.z})")
     if broadcast_z:
         value = F.when(F.size("amps") == 1, F.get("amps", F.lit(0)) * p.z).otherwise(value)
-    sums = keyed.join(clean, ["volume_id", "x", "y"]).groupBy("volume_id", "cand").agg(F.sum(value).alias("score"))
+    # Each score trace adds to the boxes that contain it where it is read; sums move, traces do not.
+    hits = in_boxes(clean.select("volume_id", "x", "y", "amps"), boxes.select("volume_id", "cand", "bx", "by", "bz"), p)
+    sums = hits.groupBy("volume_id", "cand").agg(F.sum(value).alias("score"))
     return boxes.join(sums, ["volume_id", "cand"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import hann, similarity
 from ..schema import PatchShape
-from .grid import AXES, assign_windows
+from .grid import AXES
 from .joins import with_dims
 
-MAX_PIECES = 64
+# Windows over one block that are summed in columns of their own.
+COLUMNS = 64
 
 
 def score_latents(latents: DataFrame, token: DataFrame, mode: str = "cosine", eps: float = 1e-8) -> DataFrame:
@@ -41,94 +42,162 @@ def _taper_sql(n: int) -> str:
     return f"array({', '.join(f'{v!r}D' for v in values)})"
 
 
-def _pieces(p: PatchShape, stride: int) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Block extents shared by all windows, and block offsets inside a window."""
-    unit = [math.gcd(stride, n) for n in p.axes]
-    return unit, list(product(*[range(n // u) for n, u in zip(p.axes, unit)]))
+def _units(p: PatchShape, stride: int) -> dict[str, int]:
+    """Block extents shared by all windows."""
+    return {a: math.gcd(stride, n) for a, n in zip(AXES, p.axes)}
 
 
-def block_sums(scores: DataFrame, size, stride: int) -> DataFrame:
-    """Window scores regrouped by grid block: ``s_k`` and ``n_k`` per offset k.
+def _steps(p: PatchShape, stride: int) -> list[tuple[str, ...]]:
+    """Axes that are summed out together: as many as leave few windows over a block."""
+    unit = _units(p, stride)
+    pieces = {a: n // unit[a] for a, n in zip(AXES, p.axes)}
+    steps: list[tuple[str, ...]] = []
+    for a in reversed(AXES):
+        if steps and pieces[a] * math.prod(pieces[b] for b in steps[-1]) <= COLUMNS:
+            steps[-1] = (a, *steps[-1])
+        else:
+            steps.append((a,))
+    return steps
 
-    All samples of a block are covered by the same windows, so the running
-    sums need one row per block, not per sample.  Works on streams too.
-    """
-    p = PatchShape.of(size)
-    unit, offsets = _pieces(p, stride)
+
+def _offsets(p: PatchShape, stride: int, axes: Sequence[str]) -> list[tuple[int, ...]]:
+    unit, size = _units(p, stride), dict(zip(AXES, p.axes))
+    return list(product(*[range(size[a] // unit[a]) for a in axes]))
+
+
+def _pieces(rows: DataFrame, p: PatchShape, stride: int, axes: Sequence[str]) -> DataFrame:
+    """Rows (num, den) of windows, once per grid block on ``axes`` that the window covers, with the block's offset ``k``."""
+    unit = _units(p, stride)
+    keys = [c for c in rows.columns if c not in ("num", "den", *(f"w{a}" for a in axes))]
     spots = ", ".join(
-        f"struct({k} as k, " + ", ".join(f"{o} as o{a}" for o, a in zip(off, AXES)) + ")"
-        for k, off in enumerate(offsets)
+        f"struct({k} as k, " + ", ".join(f"{o} as o{a}" for o, a in zip(off, axes)) + ")"
+        for k, off in enumerate(_offsets(p, stride, axes))
     )
-    placed = scores.selectExpr("volume_id", "wx", "wy", "wz", "sim", f"inline(array({spots}))")
-    keys = [F.expr(f"int(w{a} div {u} + o{a}) as b{a}") for a, u in zip(AXES, unit)]
-    every = range(len(offsets))
-    return placed.groupBy("volume_id", *keys).agg(
-        *[F.expr(f"sum(if(k = {k}, sim, null)) as s_{k}") for k in every],
-        *[F.expr(f"count(if(k = {k}, 1, null)) as n_{k}") for k in every],
+    return rows.selectExpr(*rows.columns, f"inline(array({spots}))").selectExpr(
+        *keys, *[f"int(w{a} div {unit[a]} + o{a}) as b{a}" for a in axes], "k", "num", "den"
     )
 
 
-def expand_blocks(
-    blocks: DataFrame, dims: DataFrame, size, stride: int, base: int = 0,
-    extent: Sequence[str] = ("nx", "ny", "nz"), eps: float = 1e-8,
+def _regroup(rows: DataFrame, p: PatchShape, stride: int, axes: Sequence[str], seeds: DataFrame | None = None) -> DataFrame:
+    """Rows (num, den) of windows as sums per grid block on ``axes``: ``s_k`` and ``n_k`` per offset k.
+
+    Columns that are neither ``num`` nor ``den`` nor starts on ``axes`` are keys.
+    ``seeds`` are keys that get a row in any case.
+    """
+    placed = _pieces(rows, p, stride, axes)
+    keys = [c for c in placed.columns if c not in ("k", "num", "den")]
+    if seeds is not None:
+        placed = placed.unionByName(seeds, allowMissingColumns=True)
+    every = range(len(_offsets(p, stride, axes)))
+    return placed.groupBy(*keys).agg(
+        *[F.expr(f"sum(if(k = {k}, num, null)) as s_{k}") for k in every],
+        *[F.expr(f"sum(if(k = {k}, den, null)) as n_{k}") for k in every],
+    )
+
+
+def _expand(
+    blocks: DataFrame, p: PatchShape, stride: int, axes: Sequence[str], base: int, keys: Sequence[str]
 ) -> DataFrame:
-    """Turn block sums into samples: sum(sim*taper) / max(sum(taper), eps).
+    """Block sums as rows (num, den) per coordinate on ``axes``, in the volume's own coordinates.
 
-    ``base`` shifts padded coordinates back; samples outside the extent are
-    never generated.
+    ``blocks`` have the extents ``e{a}`` and the columns ``keys``; samples
+    outside the extent are never generated.  The taper is a product over axes,
+    so each axis is summed out as soon as its coordinate is generated; few
+    terms are left per sample.
     """
-    p = PatchShape.of(size)
-    unit, offsets = _pieces(p, stride)
-    bounds = dims.select("volume_id", *[F.col(n).alias(f"e{a}") for n, a in zip(extent, AXES)])
-    out = with_dims(blocks, bounds, ["bx", "by", "bz"])
-    # The taper is a product over axes, so each axis is summed out as soon as
-    # its coordinate is generated; few terms are left per sample.
-    left = {off: (f"coalesce(s_{k}, 0D)", f"n_{k}") for k, off in enumerate(offsets)}
-    made = ["volume_id"]
-    for i, (a, n, u) in enumerate(zip(AXES, p.axes, unit)):
+    unit, size = _units(p, stride), dict(zip(AXES, p.axes))
+    left = {off: (f"coalesce(s_{k}, 0D)", f"coalesce(n_{k}, 0D)") for k, off in enumerate(_offsets(p, stride, axes))}
+    made, out = list(keys), blocks
+    for i, a in enumerate(axes):
+        u, n = unit[a], size[a]
         low, high = f"greatest(b{a} * {u}, {base})", f"least(b{a} * {u} + {u - 1}, e{a} + {base - 1})"
         out = out.selectExpr("*", f"explode(if({low} <= {high}, sequence({low}, {high}), null)) as g{a}")
         inside, pieces = f"g{a} - b{a} * {u}", range(n // u)
         h = [f"get({_taper_sql(n)}, {inside} + {o * u})" for o in pieces]
         rest = sorted({off[1:] for off in left})
         sums = {r: [" + ".join(f"{left[(o, *r)][t]} * {h[o]}" for o in pieces) for t in (0, 1)] for r in rest}
-        made.append(f"int(g{a} - {base}) as {a}")
-        keep = [f"{c}{b}" for b in AXES[i + 1:] for c in "be"]
+        keep = [f"{c}{b}" for b in axes[i + 1:] for c in "be"]
         names = {r: (f"s{i}_{k}", f"n{i}_{k}") for k, r in enumerate(rest)}
         terms = [f"{sums[r][t]} as {names[r][t]}" for r in rest for t in (0, 1)]
-        out = out.selectExpr(*made, *keep, *terms)
-        made[-1], left = a, names
+        out = out.selectExpr(*made, f"int(g{a} - {base}) as {a}", *keep, *terms)
+        made, left = [*made, a], names
     (top, weight), = left.values()
-    return out.selectExpr(*made, f"{top} / greatest({weight}, {eps!r}D) as sim")
+    return out.selectExpr(*made, f"{top} as num", f"{weight} as den")
+
+
+def _scored(scores: DataFrame) -> DataFrame:
+    return scores.selectExpr("volume_id", "wx", "wy", "wz", "double(sim) as num", "1D as den")
+
+
+def block_pieces(scores: DataFrame, size, stride: int) -> tuple[dict[str, int], int, DataFrame]:
+    """Block extents, offsets of a window's blocks, and the scores once per block (bx, by, bz, k, num, den)."""
+    p = PatchShape.of(size)
+    return _units(p, stride), len(_offsets(p, stride, AXES)), _pieces(_scored(scores), p, stride, AXES)
+
+
+def block_sums(scores: DataFrame, size, stride: int) -> DataFrame:
+    """Window scores regrouped by grid block: ``s_k`` and ``n_k`` per offset k.
+
+    All samples of a block are covered by the same windows, so the running
+    sums need one row per block, not per sample.
+    """
+    return _regroup(_scored(scores), PatchShape.of(size), stride, AXES)
+
+
+def _bounds(dims: DataFrame, extent: Sequence[str]) -> DataFrame:
+    return dims.select("volume_id", *[F.col(n).alias(f"e{a}") for n, a in zip(extent, AXES)])
+
+
+def _block_grid(dims: DataFrame, p: PatchShape, stride: int, axes: Sequence[str], base: int, extent: Sequence[str]) -> DataFrame:
+    """All blocks of each volume on ``axes``, and all its coordinates on the axes summed out before."""
+    unit, out = _units(p, stride), _bounds(dims, extent)
+    for a in AXES:
+        if a in axes:
+            every = f"sequence(int({base} div {unit[a]}), int((e{a} + {base - 1}) div {unit[a]})) "
+            out = out.selectExpr("*", f"explode({every}) as b{a}")
+        else:
+            out = out.selectExpr("*", f"explode(sequence(0, int(e{a} - 1))) as {a}")
+    return out.drop(*[f"e{a}" for a in AXES])
+
+
+def expand_blocks(
+    blocks: DataFrame, dims: DataFrame, size, stride: int, base: int = 0,
+    extent: Sequence[str] = ("nx", "ny", "nz"), eps: float = 1e-8,
+) -> DataFrame:
+    """Turn block sums into samples: sum(sim*taper) / max(sum(taper), eps), 0 where there are no windows.
+
+    ``base`` shifts padded coordinates back; every sample of the extent has a row.
+    """
+    p = PatchShape.of(size)
+    at = ["volume_id", "bx", "by", "bz"]
+    whole = blocks.unionByName(_block_grid(dims, p, stride, AXES, base, extent), allowMissingColumns=True)
+    sums = [c for c in blocks.columns if c not in at]
+    held = whole.groupBy(*at).agg(*[F.sum(c).cast("double").alias(c) for c in sums])
+    rows = _expand(with_dims(held, _bounds(dims, extent), at[1:]), p, stride, AXES, base, ["volume_id"])
+    return rows.selectExpr("volume_id", *AXES, f"num / greatest(den, {eps!r}D) as sim")
 
 
 def overlap_add(
     scores: DataFrame, dims: DataFrame, size, stride: int, base: int = 0,
     extent: Sequence[str] = ("nx", "ny", "nz"), eps: float = 1e-8,
 ) -> DataFrame:
-    """Taper-weighted blend of window scores; one value per covered sample."""
+    """Taper-weighted blend of window scores over the full extent; 0 where no window is.
+
+    The taper is a product over axes, so axes are blended one after the other,
+    or several at once where only few windows lie over a block.  A sample thus
+    meets the windows over it on one axis at a time, not all of them.
+    """
     p = PatchShape.of(size)
-    if len(_pieces(p, stride)[1]) <= MAX_PIECES:
-        return expand_blocks(block_sums(scores, p, stride), dims, p, stride, base, extent, eps)
-    return _overlap_add_by_sample(scores, dims, p, stride, base, extent, eps)
-
-
-def _overlap_add_by_sample(scores, dims, p, stride, base, extent, eps) -> DataFrame:
-    """The same for grids whose windows share no sizeable block."""
-    grid = dims
-    for a, n in zip(AXES, extent):
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(base), F.col(n) + (base - 1))))
-    points = grid.select("volume_id", *AXES, F.lit(0.0).alias("amp"))
-    wide = dims.select("volume_id", *[(F.col(n) + 2 * base + m).alias(n) for n, m in zip(extent, p.axes)])
-    covered = assign_windows(points, wide, p, stride, extent).drop("amp").join(
-        scores, ["volume_id", "wx", "wy", "wz"]
-    )
-    h = F.expr(" * ".join(f"get({_taper_sql(n)}, {a} - w{a})" for a, n in zip(AXES, p.axes)))
-    sums = covered.groupBy("volume_id", *AXES).agg(F.sum(F.col("sim") * h).alias("s"), F.sum(h).alias("w"))
-    return sums.select(
-        "volume_id", *[(F.col(a) - base).cast("int").alias(a) for a in AXES],
-        (F.col("s") / F.greatest("w", F.lit(eps))).alias("sim"),
-    )
+    rows = _scored(scores)
+    bounds, steps = _bounds(dims, extent), _steps(p, stride)
+    for i, axes in enumerate(steps):
+        seeds = _block_grid(dims, p, stride, axes, base, extent) if i == len(steps) - 1 else None
+        blocks = _regroup(rows, p, stride, axes, seeds)
+        keys = [c for c in rows.columns if c not in ("num", "den", *(f"w{a}" for a in axes))]
+        spread = [*keys[1:], *[f"b{a}" for a in axes]]
+        near = with_dims(blocks, bounds.select("volume_id", *[f"e{a}" for a in axes]), spread)
+        rows = _expand(near, p, stride, axes, base, keys)
+    return rows.selectExpr("volume_id", *AXES, f"num / greatest(den, {eps!r}D) as sim")
 
 
 def shape_guard(similarity_map: DataFrame, dims: DataFrame) -> DataFrame:

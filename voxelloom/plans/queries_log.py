@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import volumes as src
 from ..streaming import jobs, search, sinks
-from .queries_search import OWN_MAP, own_scores, ramp_encoder
+from .queries_search import SEARCHED, ramp_encoder, search_scores
 from .queries_volume import EXT, PREP
 from .registry import q6, query, r6, sql
 
@@ -131,27 +131,32 @@ def _event_stream(spark, d):
 
 @query("valid_events", sql(f"select job_id, kind, ({VALID}) valid, count(*) events from job_events group by 1, 2, 3", "job_events"))
 def _(spark, d):
-    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
-    sinks.run_available(jobs.route_events(_event_stream(spark, d), good, bad, scratch_path(spark, "ckpt")))
-    both = spark.read.parquet(good).withColumn("valid", F.lit(True)).unionByName(
-        spark.read.parquet(bad).withColumn("valid", F.lit(False)))
+    path, ckpt = sinks.scratch(spark, "events")
+    sinks.run_available(jobs.route_events(_event_stream(spark, d), path, ckpt))
+    parts = [jobs.routed(spark, path, JOB_EVENTS, v).withColumn("valid", F.lit(v)) for v in (True, False)]
+    both = parts[0].unionByName(parts[1])
     return both.groupBy("job_id", "kind", "valid").agg(F.count("*").alias("events"))
 
 
-LAST = (
-    "select job_id, max(completed_windows) filter (where kind = 'progress') c, arg_max(total_windows, completed_windows) filter (where kind = 'progress') t, "
-    "epoch_us(max(ts) filter (where kind = 'progress')) / 1e6 - epoch_us(min(ts)) / 1e6 e, "
-    "arg_max(message, (ts, message)) filter (where kind = 'status') last_status, arg_max(artifact_path, (ts, artifact_path)) filter (where kind = 'artifact') artifact_path, "
-    f"max('error') filter (where kind = 'error') as terminal from job_events where {VALID} group by 1"
+# Of each kind the newest valid event counts.
+LAST = dict(
+    e=f"select * from job_events where {VALID}",
+    p="select job_id, ts pts, completed_windows c, total_windows t, eta_seconds own from e where kind = 'progress' "
+      "qualify row_number() over (partition by job_id order by ts desc, completed_windows desc, total_windows desc, eta_seconds desc nulls last) = 1",
+    o="select job_id, min(ts) started, arg_max(message, (ts, message)) filter (where kind = 'status') last_status, "
+      "arg_max(artifact_path, (ts, artifact_path)) filter (where kind = 'artifact') artifact_path, "
+      "arg_max(kind, (ts, kind)) filter (where kind in ('done', 'error')) terminal from e group by 1",
+    l="select *, greatest(epoch_us(pts) / 1e6 - epoch_us(started) / 1e6, 1e-6) el from o left join p using (job_id)",
 )
 
 
 @query("job_progress", sql(
     f"select job_id, c completed_windows, t total_windows, {q6('greatest(0, least(100, 100.0 * c / greatest(t, 1)))')} percent, "
-    f"{q3('(t - c) / greatest(c / greatest(e, 1e-6), 1e-6)')} eta_seconds, last_status, artifact_path, terminal from l", "job_events", l=LAST))
+    f"coalesce({q3('own')}, {q3('(t - c) / greatest(c / el, 1e-6)')}) eta_seconds, last_status, artifact_path, terminal from l", "job_events", **LAST))
 def _(spark, d):
     path, ckpt = sinks.scratch(spark, "progress")
-    stream = jobs.job_progress(jobs.valid_events(_event_stream(spark, d)), "1 hour")
+    # Files hold events of all days, so none may be called late.
+    stream = jobs.stream_job_progress(jobs.valid_events(_event_stream(spark, d)), "60 days")
     sinks.run_available(sinks.keep_latest(stream, path, ckpt))
     out = sinks.read_latest(spark, path, ["job_id"])
     return out.withColumn("percent", r6("percent")).withColumn("eta_seconds", F.round("eta_seconds", 3))
@@ -170,15 +175,16 @@ def _(spark, d):
     return spark.read.parquet(out).select("example_id", F.round("sim", 6).alias("sim"))
 
 
-@query("stream_overlap_add", OWN_MAP)
+@query("stream_overlap_add", SEARCHED)
 def _(spark, d):
-    path, (state, ckpt) = scratch_path(spark, "scores"), sinks.scratch(spark, "blocks")
-    scores = own_scores(spark, d)
+    """The scores of the real search, a few files at a time; every block ends complete."""
+    path, (blocks, ckpt) = scratch_path(spark, "scores"), sinks.scratch(spark, "blocks")
+    scores, dims = search_scores(spark, d)
     scores.write.parquet(path)
     stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    sinks.run_available(sinks.keep_latest(search.stream_overlap_add(stream, (10, 10, 20), 5), state, ckpt))
-    sums = sinks.read_latest(spark, state, ["volume_id", "bx", "by", "bz"])
-    return search.partial_map(sums, fx.volume_dims(spark, d), (10, 10, 20), 5).withColumn("sim", r6("sim"))
+    sinks.run_available(sinks.keep_latest(search.stream_overlap_add(stream, dims, 32, 16, 16), blocks, ckpt))
+    sums = sinks.read_latest(spark, blocks, ["volume_id", "bx", "by", "bz"]).filter("complete")
+    return search.partial_map(sums, dims, 32, 16, 16).withColumn("sim", r6("sim"))
 
 
 @query("stream_stats", sql(

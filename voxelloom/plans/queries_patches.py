@@ -187,11 +187,16 @@ def _(spark, d):
     return fx.patches(spark, d).select("example_id", ag.transform_choice(0.4, 0.3, 0.3, SEED).alias("choice"))
 
 
+def _thinned(amp: str) -> str:
+    return f"case when case when {u(SEED, 'sparse_method', 'c.example_id')} < 0.5 then far else {u(SEED, 'keep', 'c.example_id', 'c.i')} <= f end then {amp} else 0 end"
+
+
 @query("one_of_three", sql(
-    f"select e.example_id, e.x, e.y, e.z, case when {u(SEED, 'transform', 'e.example_id')} < 0.5 then {q6('e.amp')} else {q6('dec.amp')} end amp from ext e "
-    "join dec on dec.example_id = e.example_id and dec.x = e.x and dec.y = e.y and dec.z = e.z", P, **EXT, **DEC))
+    f"select c.example_id, c.x, c.y, c.z, case {CHOICE.replace('example_id', 'c.example_id')} when 0 then {q6('e.amp')} when 1 then {_thinned(q6('c.amp'))} else {q6('dec.amp')} end amp "
+    "from chosen c join ext e on e.example_id = c.example_id and e.x = c.x and e.y = c.y and e.z = c.z "
+    "join dec on dec.example_id = c.example_id and dec.x = c.x and dec.y = c.y and dec.z = c.z", P, **SPREAD, **EXT, **DEC))
 def _(spark, d):
-    return _rows(ag.one_of_three(fx.patches(spark, d), fx.PATCH, 0.5, 0.0, 0.5, seed=SEED))
+    return _rows(ag.one_of_three(fx.patches(spark, d), fx.PATCH, 0.4, 0.3, 0.3, seed=SEED))
 
 
 @query("augment")

@@ -18,9 +18,10 @@ ALL = "volume_samples volume_dims volume_samples_mirror"
 
 # The search by definition: cut every padded window, prepare it, pool it,
 # score it, blend it.  ``pv`` names the searched volume.
-def _windows(table: str) -> dict[str, str]:
+def _windows(table: str, stride: int = 16) -> dict[str, str]:
+    grid_steps = {k: v.replace("-31, 16)", f"-31, {stride})") for k, v in GRID.items()}
     return dict(
-        GRID,
+        grid_steps,
         gx="select *, unnest([w.wx]) wx0 from g w",
         ws=f"select wx, wy, wz, x+16-wx ox, y+16-wy oy, z+16-wz oz, s.x, s.y, amp from g join {table} s "
            "on x+16 >= wx and x+16 < wx+32 and y+16 >= wy and y+16 < wy+32 and z+16 >= wz and z+16 < wz+32",
@@ -172,35 +173,14 @@ def _(spark, d):
     return near.select("x", "y", "z", r6(weight).alias("weight"))
 
 
-OWN = dict(
-    wa="select *, unnest(range(0, nx-9, 5)) wx from volume_dims", wb="select *, unnest(range(0, ny-9, 5)) wy from wa",
-    w="select volume_id, cast(wx as int) wx, cast(wy as int) wy, cast(unnest(range(0, nz-19, 5)) as int) wz from wb",
-    own="select w.*, avg(amp::double) sim from w join volume_samples s on x = wx and y = wy and z >= wz and z < wz+20 group by all",
-)
-
-
-def _own_h(o, n):
-    return f"(0.5-0.5*cos(2*pi()*({o})/{n}))"
-
-
-OWN_H = f"{_own_h('x-wx', 10)}*{_own_h('y-wy', 10)}*{_own_h('z-wz', 20)}"
-
-
-def own_scores(spark, d):
-    """A score per window from its first trace; blended by the checks of overlap-add."""
-    dims = fx.volume_dims(spark, d)
-    at = dims.withColumn("wx", F.explode(F.expr("sequence(0, nx - 10, 5)")))
-    at = at.withColumn("wy", F.explode(F.expr("sequence(0, ny - 10, 5)")))
-    traces = fx.volume_traces(spark, d)
-    same = (traces.volume_id == at.volume_id) & (F.col("x") == F.col("wx")) & (F.col("y") == F.col("wy"))
-    own = traces.join(at, same).select(
-        at.volume_id, "wx", "wy", F.explode(F.expr("sequence(0, nz - 20, 5)")).alias("wz"), "amps")
-    return own.select("volume_id", "wx", "wy", "wz", F.expr("aggregate(slice(amps, wz + 1, 20), 0D, (s, v) -> s + double(v)) / 20").alias("sim"))
+def search_scores(spark, d):
+    """The scores of the search, and the searched volume's catalog row."""
+    src_t, src_d, to_t, to_d = _pair(spark, d)
+    token = latents.build_token(src_t, "v0", middle(src_d, "v0"))
+    return similarity.score_latents(window_latents(to_t, to_d), token, "cosine"), to_d
 
 
-OWN_MAP = sql(
-    f"select s.volume_id, x, y, z, {q6(f'sum(sim*{OWN_H}) / greatest(sum({OWN_H}), 1e-8)')} sim from volume_samples s join own "
-    "on x >= wx and x < wx+10 and y >= wy and y < wy+10 and z >= wz and z < wz+20 group by 1,2,3,4", "volume_samples volume_dims", **OWN)
+SEARCHED = sql(_blend("volume_samples_mirror", "c"), ALL, **SCORED)
 
 
 @query("overlap_add", sql(_blend("volume_samples_mirror", "d"), ALL, **SCORED))
@@ -216,12 +196,67 @@ def _search(spark, d, **kw):
     return search_volume(src_t, src_d, to_t, to_d, "v0", **kw)
 
 
-@query("search_volume", sql(_blend("volume_samples_mirror", "c"), ALL, **SCORED))
+@query("search_volume", SEARCHED)
 def _(spark, d):
     return _search(spark, d).withColumn("sim", r6("sim"))
 
 
-@query("search_volume_encoder")
+def _strided(stride: int) -> str:
+    return sql(_blend("volume_samples_mirror", "c"), ALL, **dict(_windows("volume_samples_mirror", stride), **TOKEN, **SIMS))
+
+
+@query("search_volume_stride8", _strided(8))
+def _(spark, d):
+    return _search(spark, d, stride=8).withColumn("sim", r6("sim"))
+
+
+@query("search_volume_stride4", _strided(4))
+def _(spark, d):
+    return _search(spark, d, stride=4).withColumn("sim", r6("sim"))
+
+
+# The search with windows of 8x8x16 at stride 8 and four cosine ramps as encoder, by definition.
+RAMPS = "(select unnest([1,2,3,4]) j)"
+
+
+def _ramped(table: str, keys: str) -> str:
+    """Ramp sums of prepared cubes; values are in single precision, as an encoder gets them."""
+    return (
+        f"select {keys}, j, sum(((case when (amp > up and amp > down) or (amp < up and amp < down) then amp::double else 0 end) / sd)::float::double "
+        f"* cos((ox*128 + oy*16 + oz + 1) * j)) v from {table}, {RAMPS} group by all"
+    )
+
+
+def _edges(table: str, keys: str) -> str:
+    w = f"partition by {keys} ox, oy order by oz"
+    return (
+        f"select *, coalesce(lag(amp) over (w), case when oz > 0 then 0 end) up, coalesce(lead(amp) over (w), case when oz < 15 then 0 end) down "
+        f"from {table} window w as ({w})"
+    )
+
+
+SD8 = "greatest(sqrt(greatest(sum(amp::double*amp)/1024 - (sum(amp::double)/1024)**2, 0)), 1e-6)"
+H8 = " * ".join(f"(0.5 - 0.5 * cos(2 * pi() * ({a}+16-w{a}) / {n}))" for a, n in (("x", 8), ("y", 8), ("z", 16)))
+INSIDE8 = " and ".join(f"{a}+16 >= w{a} and {a}+16 < w{a}+{n}" for a, n in (("x", 8), ("y", 8), ("z", 16)))
+ENCODED = dict(
+    p="select volume_id, nx+32+(8-(nx+32)%8)%8 px, ny+32+(8-(ny+32)%8)%8 py, nz+32+(16-(nz+32)%16)%16 pz from volume_dims",
+    ga="select *, unnest(range(0, px-7, 8)) wx from p", gb="select *, unnest(range(0, py-7, 8)) wy from ga",
+    g="select wx, wy, unnest(range(0, pz-15, 8)) wz from gb",
+    ws=f"select wx, wy, wz, x+16-wx ox, y+16-wy oy, z+16-wz oz, amp from g join volume_samples_mirror on {INSIDE8}",
+    sd=f"select wx, wy, wz, {SD8} sd from ws group by all",
+    we=_edges("ws", "wx, wy, wz,"),
+    latent=_ramped("(select * from we join sd using (wx, wy, wz))", "wx, wy, wz"),
+    ts="select x - nx//2 + 4 ox, y - ny//2 + 4 oy, z - nz//2 + 8 oz, amp from volume_samples join volume_dims using (volume_id) "
+       "where x >= nx//2-4 and x < nx//2+4 and y >= ny//2-4 and y < ny//2+4 and z >= nz//2-8 and z < nz//2+8",
+    te=_edges("ts", ""),
+    tok=_ramped(f"(select te.*, sd from te, (select {SD8} sd from ts))", "1 one").replace("v from", "t from"),
+    sims="select wx, wy, wz, coalesce(sum(v * t), 0) d from g left join latent using (wx, wy, wz) left join tok using (j) group by all",
+)
+
+
+@query("search_volume_encoder", sql(
+    f"select s.volume_id, x, y, z, (round(sum(d * {H8}) / greatest(sum({H8}), 1e-8), 3) + 0.0::double) sim from volume_samples_mirror s "
+    f"join sims on {INSIDE8} group by all", ALL, **ENCODED))
 def _(spark, d):
     """The search through a user encoder with flat windows."""
     found = _search(spark, d, size=(8, 8, 16), stride=8, make_encoder=ramp_encoder, mode="dot")

@@ -181,12 +181,13 @@ def job_events(spark, sf_dir) -> DataFrame:
     placed = running_sum(ev, ["user_id"], ["ts", "event_id"], "one", "place")
     both = lookup_join(placed, materialize(totals), ["user_id"], ["event_id"])
     over = F.when(F.col("event_id") % 97 == 0, F.col("total_windows")).otherwise(F.lit(0))
-    # Which event type stands for which kind of job event.
+    # Which event type stands for which kind of job event; few of the others end a job.
     kind = (
         F.when(F.col("event_type").isin("view", "click"), "progress")
         .when(F.col("event_type") == "purchase", "artifact")
-        .when(F.col("event_type") == "signup", "status")
-        .otherwise("error")
+        .when((F.col("event_type") == "signup") | (F.col("event_id") % 20 != 0), "status")
+        .when(F.col("event_id") % 40 == 0, "error")
+        .otherwise("done")
     )
     return both.select(
         F.col("user_id").alias("job_id"),
@@ -195,6 +196,6 @@ def job_events(spark, sf_dir) -> DataFrame:
         F.col("props").alias("message"),
         "total_windows",
         F.when(F.col("event_id") % 89 == 0, F.lit(None)).otherwise(F.col("place") + over).alias("completed_windows"),
-        F.lit(None).cast("double").alias("eta_seconds"),
+        F.when((kind == "progress") & (F.col("event_id") % 3 == 0), F.col("value")).alias("eta_seconds"),
         F.when(kind == "artifact", F.concat(F.lit("out/"), F.col("event_id"))).alias("artifact_path"),
     )

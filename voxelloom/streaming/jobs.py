@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The kinds of job event, and those that end a job.
 KINDS = ("progress", "status", "artifact", "done", "error")
@@ -26,48 +32,130 @@ def quarantined_events(events: DataFrame) -> DataFrame:
     return events.filter(~is_valid())
 
 
-def route_events(stream: DataFrame, good_path: str, bad_path: str, checkpoint: str):
-    """Write valid and invalid events to two tables; a batch replayed after a
-    failure replaces its own folder."""
+def route_events(stream: DataFrame, path: str, checkpoint: str):
+    """Write all events to one table in two parts, ``valid`` and not, in one pass over each batch.
+
+    A batch replayed after a failure replaces its own folder; see ``routed``.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.filter(is_valid()).write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        batch.filter(~is_valid()).write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        marked = batch.withColumn("valid", is_valid())
+        marked.write.mode("overwrite").partitionBy("valid").parquet(f"{path}/batch_id={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
 
 
-def job_progress(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Latest state per job; the order in which events arrive does not matter.
+def routed(spark: SparkSession, path: str, schema: T.StructType, valid: bool) -> DataFrame:
+    """One part of what ``route_events`` wrote; only its files are read."""
+    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("valid", T.BooleanType())])
+    return spark.read.schema(whole).parquet(path).where(F.col("valid") == valid).drop("batch_id", "valid")
 
-    Events at the same time are ordered by their counts and texts.
-    """
-    rows = events.withWatermark("ts", watermark) if watermark else events
-    on = lambda kind: F.col("kind") == kind
-    latest = F.max(
-        F.when(on("progress"), F.struct("ts", "completed_windows", "total_windows", "eta_seconds"))
-    )
-    end = F.max(F.when(F.col("kind").isin(*TERMINAL), F.struct("ts", "kind")))
-    agg = rows.groupBy("job_id").agg(
-        latest.alias("p"),
-        F.max(F.when(on("status"), F.struct("ts", "message"))).alias("s"),
-        F.max(F.when(on("artifact"), F.struct("ts", "artifact_path"))).alias("a"),
-        end.alias("e"),
-        F.min("ts").alias("started"),
-    )
-    done, total = F.col("p.completed_windows"), F.col("p.total_windows")
+
+def _described(found: DataFrame) -> DataFrame:
+    """Percent and remaining time from each job's newest events."""
+    done, total = F.col("done"), F.col("total")
     percent = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * done / F.greatest(total, F.lit(1))))
-    elapsed = F.greatest(
-        F.unix_micros("p.ts") / F.lit(1e6) - F.unix_micros("started") / F.lit(1e6), F.lit(1e-6)
-    )
+    elapsed = F.greatest((F.col("at") - F.col("started")) / F.lit(1e6), F.lit(1e-6))
     eta = (total - done) / F.greatest(done / elapsed, F.lit(1e-6))
-    return agg.select(
+    return found.select(
         "job_id",
         done.alias("completed_windows"),
         total.alias("total_windows"),
         percent.alias("percent"),
-        F.coalesce(F.col("p.eta_seconds"), eta).alias("eta_seconds"),
-        F.col("s.message").alias("last_status"),
-        F.col("a.artifact_path").alias("artifact_path"),
-        F.col("e.kind").alias("terminal"),
+        F.coalesce(F.col("eta"), eta).alias("eta_seconds"),
+        F.col("status").alias("last_status"),
+        F.col("artifact").alias("artifact_path"),
+        "terminal",
+    )
+
+
+def job_progress(events: DataFrame) -> DataFrame:
+    """Latest state per job; the order in which events arrive does not matter.
+
+    Events at the same time are ordered by their counts and texts.
+    """
+    at = F.unix_micros("ts")
+    on = lambda kind: F.col("kind") == kind
+    agg = events.groupBy("job_id").agg(
+        F.max(F.when(on("progress"), F.struct(at.alias("at"), "completed_windows", "total_windows", "eta_seconds"))).alias("p"),
+        F.max(F.when(on("status"), F.struct(at.alias("at"), "message"))).alias("s"),
+        F.max(F.when(on("artifact"), F.struct(at.alias("at"), "artifact_path"))).alias("a"),
+        F.max(F.when(F.col("kind").isin(*TERMINAL), F.struct(at.alias("at"), "kind"))).alias("e"),
+        F.min(at).alias("started"),
+    )
+    return _described(agg.select(
+        "job_id", F.col("p.at").alias("at"), F.col("p.completed_windows").alias("done"), F.col("p.total_windows").alias("total"),
+        F.col("p.eta_seconds").alias("eta"), F.col("s.message").alias("status"), F.col("a.artifact_path").alias("artifact"),
+        F.col("e.kind").alias("terminal"), "started",
+    ))
+
+
+class Newest:
+    """One job's newest event of each kind, of bounded size."""
+
+    def __init__(self, text: str | None) -> None:
+        held = json.loads(text) if text else {}
+        self.closed, self.started, self.last = held.get("closed", False), held.get("started"), held.get("last", 0)
+        self.events: dict[str, list] = held.get("events", {})
+
+    def add(self, frame: pd.DataFrame) -> None:
+        columns = ("at", "kind", "completed_windows", "total_windows", "eta_seconds", "message", "artifact_path")
+        for ts, kind, done, total, eta, message, path in zip(*(frame[c].tolist() for c in columns)):
+            body = {"progress": [done, total, eta], "status": [message], "artifact": [path]}.get(kind, [kind])
+            # NULL sorts below any value, as in the batch form.
+            event = [ts, *[[not pd.isna(v), 0 if pd.isna(v) else v] for v in body]]
+            name = "end" if kind in TERMINAL else kind
+            if name not in self.events or event > self.events[name]:
+                self.events[name] = event
+            self.started = ts if self.started is None else min(self.started, ts)
+            self.last = max(self.last, ts)
+
+    def get(self, name: str, n: int) -> list:
+        at, *body = self.events.get(name, [None, *[[False, None]] * n])
+        return [at, *[v if known else None for known, v in body]]
+
+    def row(self) -> tuple:
+        return (*self.get("progress", 3), self.get("status", 1)[1], self.get("artifact", 1)[1], self.get("end", 1)[1], self.started)
+
+    def text(self) -> str:
+        return json.dumps({"closed": self.closed, "started": self.started, "last": self.last, "events": self.events})
+
+
+def stream_job_progress(events: DataFrame, watermark: str = "1 hour", forget_ms: int = 86_400_000) -> DataFrame:
+    """``job_progress`` of a stream, with state only for jobs that run, of bounded size for each.
+
+    A changed job is sent out after each batch.  When the watermark has passed
+    the event that ended a job, the job is closed: its events are dropped, and
+    until ``forget_ms`` after the last of them a mark is left, so that what
+    comes late opens nothing.  A job without an end is forgotten then too.
+    """
+    names = ["job_id", "at", "done", "total", "eta", "status", "artifact", "terminal", "started"]
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job = Newest(state.get[0] if state.exists else None)
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            forgotten = job.last // 1000 + forget_ms
+            if job.closed or "end" not in job.events or forgotten <= now:
+                state.remove()
+                return
+            job.closed, job.events = True, {}
+            state.update((job.text(),))
+            state.setTimeoutTimestamp(forgotten)
+            return
+        if job.closed:
+            return
+        for frame in frames:
+            job.add(frame)
+        due = job.events["end"][0] // 1000 + 1 if "end" in job.events else job.last // 1000 + forget_ms
+        state.update((job.text(),))
+        state.setTimeoutTimestamp(max(due, now + 1))
+        types = {"at": "Int64", "done": "Int64", "total": "Int64", "eta": "Float64", "started": "Int64"}
+        yield pd.DataFrame([(key[0], *job.row())], columns=names).astype(types)
+
+    timed = events.withWatermark("ts", watermark).withColumn("at", F.unix_micros("ts"))
+    found = timed.groupBy("job_id").applyInPandasWithState(
+        follow, "job_id bigint, at bigint, done bigint, total bigint, eta double, status string, artifact string, "
+        "terminal string, started bigint", "job string", "update", GroupStateTimeout.EventTimeTimeout,
     )
+    return _described(found)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import scratch_path
 
@@ -31,9 +32,16 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     )
 
 
-def run_available(writer) -> None:
-    """Process what is there now, then stop."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+def run_available(writer) -> StreamingQuery:
+    """Process what is there now, then stop; the ended query tells what was done."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state that a query holds after its last batch."""
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
 
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
