@@ -132,6 +132,41 @@ def test_repeated_strings(spark, monkeypatch, group):
     assert got == removed(rows, 100)
 
 
+@pytest.mark.parametrize("depth", [5, 32, 160, 300])
+def test_repeated_strings_of_any_depth(spark, depth):
+    rng = random.Random(depth)
+    rows = near_copies(rng, 25)
+    shared = prose(77, 120)
+    rows += [(800, prose(5, 30) + shared, "a"), (801, shared[:700] + prose(6, 20), "a"), (802, "b" * 900, "a")]
+    rows += [(803, shared[100:399], "a"), (804, shared[100:400], "a")]
+    got = sorted((tuple(r) for r in suffixes.digests(documents(spark, rows), depth).collect()), key=str)
+    assert got == removed(rows, depth)
+
+
+def test_depths_that_do_not_fit_raise(spark):
+    df = documents(spark, [(1, "x", "a")])
+    for depth in (0, 70_000):
+        with pytest.raises(ValueError):
+            suffixes.digests(df, depth)
+
+
+def test_windows_are_told_apart_by_their_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for depth in (1, 3, 8, 9, 16, 100):
+        data = rng.integers(0, 2, 400 + depth).astype(np.uint8)
+        data[50 : 50 + depth] = data[200 : 200 + depth]
+        at = np.sort(rng.integers(0, 400, 150))
+        group = rng.integers(0, 3, 150)
+        seen, want = set(), []
+        for g, a in zip(group.tolist(), at.tolist()):
+            key = (g, bytes(data[a : a + depth]))
+            want.append(key in seen)
+            seen.add(key)
+        assert suffixes.later_equal(group, at, data, depth).tolist() == want
+
+
 def test_repeated_rows_of_one_id(spark):
     text = prose(1, 60)
     rows = [(1, text, "a"), (1, text, "a"), (1, prose(2, 60), "a"), (2, text, "a")]
@@ -167,9 +202,9 @@ def test_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK", 1000)
     parts = suffixes.places(data, 100, 32)
     for found in (whole, parts):
-        _, _, lo, _, hi = found
+        _, _, _, lo, _, hi = found
         assert lo[0] == 0 and hi[-1] == len(data) - 100 and (lo[1:] == hi[:-1] + 1).all()
-    assert set(parts[3]) == set(whole[3])
+    assert set(parts[4]) == set(whole[4])
 
 
 def test_license_scan(spark):

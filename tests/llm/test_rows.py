@@ -33,12 +33,84 @@ def test_token_ids_are_the_tokenizers_own():
     path = tokenizer_path()
     own = Tokenizer.from_file(path)
     rng = random.Random(2)
-    parts = ["a", "B", "'s", "'", "é", "É", "İ", "ß", "…", ".", "!", " ", "\n", "\x1c", "1", "Σ", "K", "<|endoftext|>", "<|", "日", "́", "’", "don't"]
+    parts = ["a", "B", "'s", "'", "é", "É", "İ", "ß", "…", ".", "!", " ", "\n", "\x1c", "1", "Σ", "K", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "日", "́", "’", "don't"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert packing.token_bytes(path, text) == array("I", own.encode(text, add_special_tokens=False).ids).tobytes(), text
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    own = Tokenizer.from_file(path)
+    assert packing.loaded(tokenizer_path()).by_word and not packing.loaded(path).by_word
+    for text in ("", "A b  C\n d", "Ü <|endoftext|> x", prose(1, 50)):
+        assert packing.token_bytes(path, text) == array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def naive_two_fit(lengths, capacity):
+    """Best-two-fit one document at a time, as bins of lengths."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        while True:
+            while fits := [x for x in left if x <= gap]:
+                left.remove(fits[0])
+                held.append(fits[0])
+                gap -= fits[0]
+            if not gap or not left:
+                break
+            least = min(held)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= gap + least]
+            if not pairs:
+                break
+            _, a, b = max(pairs)
+            held.remove(least)
+            held += [a, b]
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, least], reverse=True)
+            gap += least - a - b
+        bins.append(sorted(held))
+    return bins
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying all ways."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k, room in enumerate(rooms):
+            if lengths[i] <= room:
+                place(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_best_two_fit_equals_the_plain_form_and_is_near_the_optimum():
+    rng = random.Random(6)
+    more = 0
+    for _ in range(150):
+        cap = rng.choice([7, 20, 100])
+        lengths = [rng.randint(1, cap) for _ in range(rng.randint(1, 9))]
+        bins = packing.best_two_fit(lengths, cap)
+        assert sorted(sorted(lengths[i] for i in b) for b in bins) == sorted(naive_two_fit(lengths, cap))
+        over = len(bins) - fewest_bins(lengths, cap)
+        assert 0 <= over <= 1
+        more += over
+    assert more <= 10
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 

@@ -19,7 +19,7 @@ from .common import lean, slices
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 # Bytes of text that are put together at once.
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 4 << 20
 
 # A control string gets one more backslash behind its bracket than it has.
 CONTROL = r"(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])"
@@ -50,10 +50,12 @@ def unescape_role(text: str) -> str:
 
 
 def place(out: np.ndarray, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy ``data[start : start + length]`` to ``out[at:]`` for every segment at once."""
+    """Copy ``data[start : start + length]`` to ``out[at:]`` for every segment at once; a slice's places fit in 32 bits."""
     ends = np.cumsum(length)
-    steps = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-    out[np.repeat(at, length) + steps] = data[np.repeat(start, length) + steps]
+    steps = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    begins = ends - length
+    taken = data[np.repeat((start - begins).astype(np.int32), length) + steps]
+    out[np.repeat((at - begins).astype(np.int32), length) + steps] = taken
 
 
 def assemble(batch: pa.RecordBatch, first_part: int) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -43,19 +43,8 @@ def shingles(word_list: Column, size: int) -> Column:
     )
 
 
-# Texts of one Arrow batch: whole texts are long, so Spark's own 10,000 would take much memory.
-BATCH_TEXTS = "2000"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session have ``BATCH_TEXTS`` rows at most; results do not depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= int(BATCH_TEXTS):
-        spark.conf.set(key, BATCH_TEXTS)
-
-
-def kept_in_worker(key: tuple, make: Callable[[], object]):
-    """An object that a Python worker makes once and keeps over its tasks.
+def kept_in_worker(owner: str, key: tuple, make: Callable[[], object]):
+    """An object that a Python worker makes once and keeps over its tasks, until another owner keeps one.
 
     Task functions reach workers by value, with module variables of their own;
     what shall outlive a task is therefore kept on the installed pyspark module.
@@ -63,6 +52,9 @@ def kept_in_worker(key: tuple, make: Callable[[], object]):
     import pyspark
 
     store = pyspark.__dict__.setdefault("_kept_by_voxelloom", {})
+    if store.get("owner") != owner:
+        store.clear()
+        store["owner"] = owner
     if key not in store:
         store[key] = make()
     return store[key]

@@ -6,17 +6,19 @@ from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean
+from .common import lean, slices
 from .license_texts import TEMPLATES
 from .wordhash import grouped, runs, word_hashes
 
 FINGERPRINT_WORDS = 3
 WINNOW = 4
 COVERAGE = 0.8
+# Bytes of text that a worker has as strings at once.
+SLICE_BYTES = 4 << 20
 
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 0x20 for c in range(128)) + bytes(range(128, 256))
 _PLAIN = _PLAIN.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -155,14 +157,18 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     without rows, give no rows.  Repeated rows are found as often as they
     occur, rows without id keep a null id.  Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     index = build_index(templates)
 
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_spans", pa.int32()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))),
+    ])
+
     @lean
-    def found(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64").array
-            texts = [plain(t) for t in batch["body"]]
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, SLICE_BYTES)):
+            ids = batch["doc_id"].to_pylist()
+            texts = [plain(t) for t in batch["body"].to_pylist()]
             out = []
             for first, held in grouped(texts):
                 hashed, of, at, size = word_hashes(held)
@@ -192,8 +198,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
                     for t, spans in rows.items():
                         best = max(s["coverage"] for s in spans)
                         out.append((ids[first + text], index.names[t], best, len(spans), spans))
-            yield pd.DataFrame(out, columns=["doc_id", "license", "coverage", "n_spans", "spans"]).astype({"doc_id": "Int64"})
+            columns = zip(*out) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).mapInPandas(
-        found, FOUND
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    return rows.mapInArrow(found, FOUND)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bound_batches, kept_in_worker, lean
+from .common import kept_in_worker, lean, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -22,15 +24,52 @@ GROUP_PIECES = 20_000
 # Words whose ids a task keeps (about 200 bytes each).
 CACHE_WORDS = 500_000
 MARKS = b"!$%&*#.,|?:;"
+# Bytes of text that a worker has as strings at once.
+SLICE_BYTES = 4 << 20
+
+# The steps of a tokenizer whose words can be looked up one by one.
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ],
+}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def load_tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class Loaded:
+    """A tokenizer, whether its words can be looked up one by one, and its added tokens in lower case."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        added = said.get("added_tokens") or []
+        plain = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        marks = [t["content"].encode() for t in added]
+        self.marks = [m.lower() for m in marks]
+        self.by_word = (
+            said["normalizer"] == WORD_NORMALIZER and said["pre_tokenizer"] == WORD_SPLIT and said["model"]["type"] == "BPE"
+            and not said["model"].get("dropout") and plain and not any(m != b"".join(m.split()) for m in marks)
+            and not said.get("truncation")
+        )
+
+
+def loaded(path: str) -> Loaded:
+    return kept_in_worker("packing", ("tokenizer", path), lambda: Loaded(path))
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,7 +85,7 @@ def encode_words(tokenizer, new: list[bytes]) -> list[bytes]:
     Words of Latin letters pass the tokenizer's normalizer and word split as
     they are, so their bytes go to its model directly.
     """
-    letters = kept_in_worker(("byte letters",), byte_letters)
+    letters = kept_in_worker("packing", ("byte letters",), byte_letters)
     model, out, rest = tokenizer.model, [b""] * len(new), []
     for i, word in enumerate(new):
         text = word.decode()
@@ -65,26 +104,35 @@ def encode_words(tokenizer, new: list[bytes]) -> list[bytes]:
 def token_bytes(path: str, text: str, known: dict[bytes, bytes] | None = None) -> bytes:
     """A text's ids as little-endian unsigned 32-bit numbers; ``known`` holds the words met before.
 
-    The tokenizer drops white space, cuts words before it merges, and is blind
-    to the case of letters, so ids are looked up word by word and only new
-    words are encoded.  Punctuation behind an ASCII letter or digit is a word
-    of its own to it, and is looked up apart.
+    A tokenizer that drops white space, cuts words before it merges, and is
+    blind to the case of letters, is asked word by word, and only for new
+    words.  Added tokens are not blind to case, so a word that has one in lower
+    case is looked up as it is written.  Punctuation behind an ASCII letter or
+    digit is a word of its own, and is looked up apart.  Any other tokenizer
+    encodes whole texts.
     """
-    tokenizer = kept_in_worker(("tokenizer", path), lambda: load_tokenizer(path))
+    held = loaded(path)
+    if not held.by_word:
+        return array("I", held.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     known = {} if known is None else known
-    found = text.encode().lower().split()
+    data = text.encode()
+    low = data.lower()
+    found = low.split()
+    if any(m in low for m in held.marks):
+        found = [w if any(m in l for m in held.marks) else l for w, l in zip(data.split(), found)]
     ids = list(map(known.get, found))
     if None in ids:
         gaps = [i for i, x in enumerate(ids) if x is None]
         if len(known) > CACHE_WORDS:
             known.clear()
+            gaps = list(range(len(found)))
         new = list(dict.fromkeys([found[i] for i in gaps]))
         stems = [w.rstrip(MARKS) for w in new]
         parted = [bool(s) and s != w and s[-1:].isalnum() for s, w in zip(stems, new)]
         parts = dict.fromkeys(s if p else w for s, w, p in zip(stems, new, parted))
         parts |= dict.fromkeys(w[len(s) :] for s, w, p in zip(stems, new, parted) if p)
         missing = [w for w in parts if w not in known]
-        known.update(zip(missing, encode_words(tokenizer, missing)))
+        known.update(zip(missing, encode_words(held.tokenizer, missing)))
         for stem, word, apart in zip(stems, new, parted):
             if apart:
                 known[word] = known[stem] + known[word[len(stem) :]]
@@ -98,23 +146,25 @@ def token_pieces(
 ) -> DataFrame:
     """Tokenize each text, end it with ``END_ID``, and cut only what exceeds ``capacity``."""
     end = array("I", [END_ID]).tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     @lean
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["body"]):
-                ids = token_bytes(tokenizer, text, known) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+            for some in slices(batch, SLICE_BYTES):
+                out = []
+                for doc_id, text in zip(some["doc_id"].to_pylist(), some["body"].to_pylist()):
+                    ids = token_bytes(tokenizer, text, known) + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")
-    ).mapInPandas(cut, PIECES)
+    ).mapInArrow(cut, PIECES)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -202,7 +252,6 @@ def pack(
     often as they occur, equal lengths in order of id and piece.  An empty
     table gives an empty result; columns besides id and text are ignored.
     """
-    bound_batches(docs.sparkSession)
     pieces = materialize(token_pieces(docs, tokenizer, capacity, id_col, text_col))
     groups = max(1, -(-pieces.count() // group_pieces))
 

@@ -6,18 +6,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean
+from .common import lean, stored
 from .wordhash import grouped, word_hashes
 
 PASSAGE_WORDS = 64
-# Labelled texts that the model learns from, and evenly spaced passages of each.
+# Labelled texts that the model learns from, all their passages; fewer texts where they have more passages than this.
 TRAIN_TEXTS = 4_000
-TRAIN_PASSAGES = 200
+TRAIN_PASSAGES = 100_000
 HIDDEN = 32
 EPOCHS = 30
 BATCH_TEXTS = 64
@@ -175,29 +174,43 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit a model on at most ``TRAIN_TEXTS`` labelled texts that are not held out, chosen by a hash of their id."""
+    """Fit a model on labelled texts that are not held out, in the order of a hash of their id.
+
+    It learns from every passage of each of them.  Texts are taken up to
+    ``TRAIN_TEXTS`` and while they have no more than ``TRAIN_PASSAGES`` passages
+    together; the first one is taken in any case.  An id of several rows counts
+    once, by its least text.
+    """
+    order = F.xxhash64("of")
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("label"))
-        .orderBy(F.xxhash64("of"), "of").limit(TRAIN_TEXTS)
+        .orderBy(order, "of").limit(TRAIN_TEXTS)
+    )
+    rows = (
+        docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+        .join(F.broadcast(known), "of").groupBy("of", "label").agg(F.min("body").alias("body"))
     )
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(F.broadcast(known), "of")
 
     @lean
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(_texts(batch)):
-                x = passages([text])[0]
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(np.int64)]
-                bag = pa.array([x.astype(np.float16).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["of"][i : i + 1], batch["label"][i : i + 1], bag], ["of", "label", "bag"])
-
-    made = rows.select("of", F.col("label").cast("long").alias("label"), "body").mapInArrow(encoded, "of long, label long, bag binary")
-    found = sorted(made.collect(), key=lambda r: (r[0], r[2]))
-    bags = [np.frombuffer(r[2], np.float16).reshape(-1, WIDTH) for r in found]
-    return fit(bags, np.array([r[1] for r in found], np.float32))
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                x = passages(_texts(one))[0].astype(np.float16)
+                columns = [one["of"], one["label"], pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["of", "label", "n", "bag"])
+
+    made = rows.select("of", F.col("label").cast("long").alias("label"), "body")
+    made = stored(made.mapInArrow(encoded, "of long, label long, n long, bag binary"), "training-bags").withColumn("h", order)
+    # Sizes first, at most TRAIN_TEXTS of them, so that no more passages than wanted come to the driver.
+    sizes = sorted((r[0], r[1], r[2]) for r in made.select("h", "of", "n").collect())
+    held = np.cumsum([r[2] for r in sizes])
+    n = max(1, int(np.searchsorted(held, TRAIN_PASSAGES, side="right"))) if sizes else 0
+    found = made.where(F.col("h") <= sizes[n - 1][0]).collect() if n else []
+    found = sorted(found, key=lambda r: (r["h"], r["of"]))[:n]
+    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH) for r in found]
+    return fit(bags, np.array([r["label"] for r in found], np.float32))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -208,12 +221,10 @@ def held_out(id_col: str = "doc_id"):
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, score): each row whole, and the model's score of its whole text."""
 
-    bound_batches(docs.sparkSession)
-
-    @F.pandas_udf("double")
-    def score(body: pd.Series) -> pd.Series:
-        parts = [model.scores([t.encode() for t in body[i : i + SCORE_TEXTS]]) for i in range(0, len(body), SCORE_TEXTS)]
-        return pd.Series(np.concatenate([np.zeros(0), *parts]), dtype="float64")
+    @F.arrow_udf("double")
+    def score(body: pa.Array) -> pa.Array:
+        parts = [model.scores([t.encode() for t in body[i : i + SCORE_TEXTS].to_pylist()]) for i in range(0, len(body), SCORE_TEXTS)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
 
