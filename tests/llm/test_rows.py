@@ -385,3 +385,12 @@ def test_pipeline_on_empty_tables(spark, odd, tmp_path):
     odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_blocks_grow_with_the_documents(spark, monkeypatch):
+    df = documents(spark, [(i, prose(i, 3), "abc"[i % 3 if i % 7 else 0]) for i in range(400)])
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    plan = mixing.plan_mix(df, block_docs=1).collect()
+    assert max(r.place for r in plan) + 1 == 40
+    assert {r.doc_id for r in plan} == set(range(400))
+    assert len({r.slot for r in plan}) <= 20

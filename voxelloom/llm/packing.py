@@ -22,7 +22,7 @@ END_ID = 1
 # Pieces that one task packs; a group wastes less than one sequence or so.
 GROUP_PIECES = 20_000
 # Words whose ids a task keeps (about 200 bytes each).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 MARKS = b"!$%&*#.,|?:;"
 # Bytes of text that a worker has as strings at once.
 SLICE_BYTES = 4 << 20

@@ -21,8 +21,9 @@ HIDDEN = 32
 EPOCHS = 30
 BATCH_TEXTS = 64
 LEARNING_RATE = 0.01
-# Texts that a worker scores at once.
-SCORE_TEXTS = 500
+# Texts that a worker has as strings at once, and bytes of them whose passages it has.
+SCORE_TEXTS = 200
+SCORE_BYTES = 1 << 18
 DECAY = 1e-4
 
 # Counts by hashed word, by hashed word ending, and by shape; then shares.
@@ -130,7 +131,7 @@ class Model:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         out = [np.zeros(0)]
-        for _, held in grouped(texts):
+        for _, held in grouped(texts, SCORE_BYTES):
             x, owner = passages(held)
             out.append(self.forward(x, owner)["score"].astype(np.float64))
         return np.concatenate(out)
@@ -222,9 +223,12 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     """(row, score): each row whole, and the model's score of its whole text."""
 
     @F.arrow_udf("double")
-    def score(body: pa.Array) -> pa.Array:
-        parts = [model.scores([t.encode() for t in body[i : i + SCORE_TEXTS].to_pylist()]) for i in range(0, len(body), SCORE_TEXTS)]
-        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+    @lean
+    def score(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for body in bodies:
+            runs = (body[i : i + SCORE_TEXTS].to_pylist() for i in range(0, len(body), SCORE_TEXTS))
+            parts = [model.scores([t.encode() for t in some]) for some in runs]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
 

@@ -25,7 +25,7 @@ CHUNK = 1 << 20
 WIDTH_BITS = 16
 WIDEST = (1 << WIDTH_BITS) - 1
 # Bytes of text whose places a worker sorts at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 # First digits that so many places of one slice of texts share are dealt out by the second digit too.
 CROWDED = 32
 MOST_CROWDED = 65_536
@@ -36,7 +36,7 @@ GROUP_PLACES = 20_000
 CUT_PLACES = 20_000
 CONTEXT_BYTES = 2 << 20
 # Texts that are cut at once.
-CUT_TEXTS = 500
+CUT_TEXTS = 200
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 NO_ID = (1 << 63) - 1
@@ -523,13 +523,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, text_col: str = "text",
     """``docs`` with the repeated bytes cut from its texts; characters cut in two go whole."""
 
     @F.arrow_udf("string")
-    def cut(body: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(body), CUT_TEXTS):
-            for t, held in zip(body[at : at + CUT_TEXTS].to_pylist(), spans[at : at + CUT_TEXTS].to_pylist()):
-                data = t.encode()
-                out.append(without(data, merged(held, len(data))).decode(errors="ignore"))
-        return pa.array(out, pa.string())
+    @lean
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for body, spans in batches:
+            out = []
+            for at in range(0, len(body), CUT_TEXTS):
+                for t, held in zip(body[at : at + CUT_TEXTS].to_pylist(), spans[at : at + CUT_TEXTS].to_pylist()):
+                    data = t.encode()
+                    out.append(without(data, merged(held, len(data))).decode(errors="ignore"))
+            yield pa.array(out, pa.string())
 
     text = F.col("row")[text_col]
     kept = F.when(F.col("repeat_spans").isNull(), text).otherwise(
