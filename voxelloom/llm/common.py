@@ -43,21 +43,23 @@ def shingles(word_list: Column, size: int) -> Column:
     )
 
 
-def kept_in_worker(owner: str, key: tuple, make: Callable[[], object]):
-    """An object that a Python worker makes once and keeps over its tasks, until another owner keeps one.
+def _kept() -> dict:
+    """What this worker keeps over its tasks.
 
     Task functions reach workers by value, with module variables of their own;
     what shall outlive a task is therefore kept on the installed pyspark module.
     """
     import pyspark
 
-    store = pyspark.__dict__.setdefault("_kept_by_voxelloom", {})
-    if store.get("owner") != owner:
-        store.clear()
-        store["owner"] = owner
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    return pyspark.__dict__.setdefault("_kept_by_voxelloom", {})
+
+
+def kept_in_worker(owner: str, key: tuple, make: Callable[[], object]):
+    """An object that a Python worker makes once for the tasks of one owner; a task of another one drops it (``lean``)."""
+    store = _kept()
+    if (owner, key) not in store:
+        store[owner, key] = make()
+    return store[owner, key]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -67,11 +69,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lean(task: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
-    """A task function that gives freed memory back to the system at its end, since its worker lives on."""
+def lean(task: Callable[[Iterable], Iterator], owner: str | None = None) -> Callable[[Iterable], Iterator]:
+    """A task function that drops what other tasks have kept in its worker, and gives freed memory back at its end.
+
+    Workers live on, idle ones too, so what they hold adds up.
+    """
 
     @wraps(task)
     def run(batches: Iterable) -> Iterator:
+        store = _kept()
+        for key in [k for k in store if k[0] != owner]:
+            del store[key]
         yield from task(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

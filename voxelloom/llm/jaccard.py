@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ COMMON_SHINGLES = 131_072
 # Members of a component that one tile holds.
 TILE_NODES = 2048
 # Bytes of text that a worker turns into sets at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -261,12 +262,18 @@ def linked(left: DataFrame, docs: DataFrame, percent: int, size: int, lower: boo
     """The pairs (a, b) whose sets link, by intersection of sorted arrays."""
 
     @lean
-    def exact(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p["found_a"], p["found_b"])]
-            n = np.array([len(x) + len(y) for x, y in zip(p["found_a"], p["found_b"])], np.int64)
-            both = np.array(both, np.int64)
-            yield p.loc[100 * both >= percent * (n - both), ["a", "b"]]
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The arrays are read where they lie in the batch.
+            flat = [batch[c].flatten().to_numpy() for c in ("found_a", "found_b")]
+            size = np.stack([pc.list_value_length(batch[c]).to_numpy() for c in ("found_a", "found_b")]).astype(np.int64)
+            end = np.cumsum(size, axis=1)
+            both = np.array([
+                len(np.intersect1d(flat[0][i:j], flat[1][k:m], assume_unique=True))
+                for i, j, k, m in zip(*(x.tolist() for x in (end[0] - size[0], end[0], end[1] - size[1], end[1])))
+            ], np.int64)
+            held = pa.array(100 * both >= percent * (size.sum(axis=0) - both))
+            yield batch.select(["a", "b"]).filter(held)
 
     left = materialize(left.distinct())
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -275,7 +282,9 @@ def linked(left: DataFrame, docs: DataFrame, percent: int, size: int, lower: boo
     def side(name: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("found").alias(f"found_{name}"))
 
-    return left.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long").distinct()
+    return left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "found_a", "found_b").mapInArrow(
+        exact, "a long, b long"
+    ).distinct()
 
 
 def jaccard_components(

@@ -7,6 +7,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -149,7 +150,7 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    @lean
+    @partial(lean, owner="packing")
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,12 @@ DEPTH = 100
 # The first digit: bytes of the string that is least by hash among those of a window.
 DIGIT = 32
 # Windows that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 # Bits of a place for each of its two widths; a window may be that much longer than the first digit.
 WIDTH_BITS = 16
 WIDEST = (1 << WIDTH_BITS) - 1
 # Bytes of text whose places a worker sorts at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # First digits that so many places of one slice of texts share are dealt out by the second digit too.
 CROWDED = 32
 MOST_CROWDED = 65_536
@@ -38,6 +39,8 @@ CONTEXT_BYTES = 2 << 20
 # Texts that are cut at once.
 CUT_TEXTS = 200
 
+own = partial(lean, owner="suffixes")
+
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 NO_ID = (1 << 63) - 1
 SPAN = "array<struct<a:long,b:long>>"
@@ -143,7 +146,7 @@ def _rows(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 def crowded_digits(rows: DataFrame, depth: int, digit: int) -> np.ndarray:
     """First digits with very many places, ascending; only how rows are dealt out depends on them."""
 
-    @lean
+    @own
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             g, n = np.unique(_batch_places(batch, depth, digit)[0], return_counts=True)
@@ -159,7 +162,7 @@ def crowded_digits(rows: DataFrame, depth: int, digit: int) -> np.ndarray:
 def dealt(rows: DataFrame, crowded: np.ndarray, depth: int, digit: int) -> DataFrame:
     """(deal, done, g, c, c2, d, tie, place) of every place; a batch's later copies are done already."""
 
-    @lean
+    @own
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             g, c, c2, d, tie, place = _batch_places(batch, depth, digit)
@@ -186,7 +189,7 @@ def second_pass(sorted_rows: DataFrame, crowded: np.ndarray) -> DataFrame:
     hand.
     """
 
-    @lean
+    @own
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "open g d tie place"
         last = None  # digits of the row before
@@ -241,7 +244,7 @@ def contexts(rows: DataFrame, opened: DataFrame, depth: int) -> DataFrame:
     names = ["g", "large", "d", "tie", "place", "bytes"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    @lean
+    @own
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             for i in range(batch.num_rows):
@@ -342,7 +345,7 @@ def repeated_windows(held: DataFrame, depth: int) -> DataFrame:
             repeat = later_equal((run[row] << WIDTH_BITS) + offset, at, data, depth)
             yield ranges(some, row[repeat], start[repeat])
 
-    @lean
+    @own
     def small(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sort whole groups; the last group of a batch waits for its rest."""
         rest = None
@@ -358,7 +361,7 @@ def repeated_windows(held: DataFrame, depth: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from resolved(rest)
 
-    @lean
+    @own
     def exploded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, _, _, down = _powers()
         for batch in batches:
@@ -500,7 +503,7 @@ def digests(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_co
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
-    @lean
+    @own
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             out = []
@@ -523,7 +526,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, text_col: str = "text",
     """``docs`` with the repeated bytes cut from its texts; characters cut in two go whole."""
 
     @F.arrow_udf("string")
-    @lean
+    @own
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for body, spans in batches:
             out = []

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Texts are taken together up to so many bytes, at least one at a time.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
