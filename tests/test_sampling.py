@@ -43,6 +43,34 @@ def test_percentiles_narrow_full_bins(spark, monkeypatch):
     })
 
 
+def test_percentiles_when_sketches_miss(spark, monkeypatch):
+    """Brackets that miss their ranks are found out by the count, and the whole group is searched."""
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    monkeypatch.setattr(quantiles, "REACH", 0.0)
+    monkeypatch.setattr(quantiles, "SMALL_BIN", 50)
+    rng = np.random.default_rng(3)
+    check(spark, {"a": rng.normal(size=4000), "b": np.exp(30 * rng.normal(size=3000)), "c": rng.normal(size=900) * 1e300},
+          (1, 2, 3, 40, 88, 88.5, 99))
+
+
+def test_percentiles_keep_few_rows(spark, monkeypatch):
+    kept = []
+    plain = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df: kept.append(plain(df)) or kept[-1])
+    n = 200_000
+    df = spark.range(n).select(F.lit("g").alias("g"), F.rand(1).alias("v"))
+    df = plain(df)
+    exact_percentiles(df, ["g"], "v", [2, 88]).collect()
+    assert max(k.count() for k in kept) < 0.05 * n
+
+
+def test_dense_ids_have_no_gaps(spark):
+    rows = [("a" if i % 3 else "b", i) for i in range(2500)]
+    got = joins.dense_ids(spark.createDataFrame(rows, "k string, i int"), ["k", "i"], "id").collect()
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r.id)] == sorted(rows)
+    assert sorted(r.id for r in got) == list(range(2500))
+
+
 def test_percentiles_ignore_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "v double")
     assert [r.v for r in exact_percentiles(df, [], "v", [50]).collect()] == [2.0]

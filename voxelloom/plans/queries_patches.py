@@ -102,8 +102,14 @@ def _(spark, d):
 FLAT = "(x * 80 + y * 16 + z)"
 
 
+def uq(purpose: str, i: str, example: str = "example_id") -> str:
+    """The draw of sample ``i``: an md5 makes four."""
+    key = f"'{SEED}|{purpose}|' || {example} || '|' || ({i} // 4)"
+    return f"(('0x' || substr(md5({key}), cast(1 + 8 * ({i} % 4) as int), 8))::bigint / 4294967296.0::double)"
+
+
 @query("sparse_keep_uniform", sql(
-    f"select example_id, x, y, z, case when {uu('keep', FLAT)} <= {FRAC} then {q6('amp')} else 0 end amp from patch_samples", P))
+    f"select example_id, x, y, z, case when {uq('keep', FLAT)} <= {FRAC} then {q6('amp')} else 0 end amp from patch_samples", P))
 def _(spark, d):
     return _rows(ag.sparse_keep_uniform(fx.patches(spark, d), ag.sparse_fraction(seed=SEED), SEED))
 
@@ -111,7 +117,7 @@ def _(spark, d):
 # The distance rule one sample at a time, in the order of the draws.
 TARGET = f"cast(greatest(1, least(400, round_even({FRAC} * 400, 0))) as int)"
 SPREAD = dict(
-    rk=f"select example_id, x, y, z, amp, {FLAT} i, {TARGET} target, {FRAC} f, row_number() over (partition by example_id order by {uu('visit', FLAT)}, {FLAT}) r from patch_samples",
+    rk=f"select example_id, x, y, z, amp, {FLAT} i, {TARGET} target, {FRAC} f, row_number() over (partition by example_id order by {uq('visit', FLAT)}, {FLAT}) r from patch_samples",
     greedy="select distinct example_id, 0::bigint r, []::int[] kept from rk union all select g.example_id, g.r + 1, "
            "case when len(list_filter(g.kept, lambda j: (j//80 - k.x)*(j//80 - k.x) + (j%80//16 - k.y)*(j%80//16 - k.y) + (j%16 - k.z)*(j%16 - k.z) "
            "< pow(0.85::double * cbrt(400.0::double / k.target), 2))) = 0 then list_append(g.kept, cast(k.i as int)) else g.kept end "
@@ -129,7 +135,7 @@ def _(spark, d):
 
 
 @query("sparse_keep", sql(
-    f"select example_id, x, y, z, case when case when {uu('sparse_method')} < 0.5 then far else {uu('keep', FLAT)} <= f end then {q6('amp')} else 0 end amp from chosen",
+    f"select example_id, x, y, z, case when case when {uu('sparse_method')} < 0.5 then far else {uq('keep', FLAT)} <= f end then {q6('amp')} else 0 end amp from chosen",
     P, **SPREAD))
 def _(spark, d):
     return _rows(ag.sparse_keep(fx.patches(spark, d), fx.PATCH, "random", seed=SEED))
@@ -188,7 +194,7 @@ def _(spark, d):
 
 
 def _thinned(amp: str) -> str:
-    return f"case when case when {u(SEED, 'sparse_method', 'c.example_id')} < 0.5 then far else {u(SEED, 'keep', 'c.example_id', 'c.i')} <= f end then {amp} else 0 end"
+    return f"case when case when {u(SEED, 'sparse_method', 'c.example_id')} < 0.5 then far else {uq('keep', 'c.i', 'c.example_id')} <= f end then {amp} else 0 end"
 
 
 @query("one_of_three", sql(
@@ -199,7 +205,39 @@ def _(spark, d):
     return _rows(ag.one_of_three(fx.patches(spark, d), fx.PATCH, 0.4, 0.3, 0.3, seed=SEED))
 
 
-@query("augment")
+def _moved_axis(flip: str, axis: str) -> str:
+    return f"case when {uu(flip)} < 0.5 then 4 - {axis} else {axis} end"
+
+
+# The whole composition by definition, step by step on the sample table.
+AUGMENTED = dict(
+    WARP,
+    sc="select example_id, x, y, z, (amp::double - 0.01::double) / 0.125::double amp from patch_samples",
+    mv=f"select example_id, cast({_moved_axis('flip_x', 'sx')} as int) x, cast({_moved_axis('flip_y', 'sy')} as int) y, z, amp from "
+       f"(select *, case when {uu('swap')} < 0.5 then y else x end sx, case when {uu('swap')} < 0.5 then x else y end sy from sc)",
+    wp=f"select o.example_id, o.x, o.y, o.z, case when {u(SEED, 'warp', 'o.example_id')} < 0.5 then a.amp * (1 - s + a.z) + b.amp * (s - a.z) else o.amp end amp "
+       "from mv o join moved w on w.example_id = o.example_id and w.z = o.z "
+       "join mv a on a.example_id = o.example_id and a.x = o.x and a.y = o.y and a.z = least(floor(s), 15) "
+       "join mv b on b.example_id = o.example_id and b.x = o.x and b.y = o.y and b.z = least(floor(s) + 1, 15)",
+    **{k: v.replace("2 + floor", "1 + floor") for k, v in DROP.items()},
+    dr="select wp.example_id, wp.x, wp.y, wp.z, case when g.x is null then wp.amp else 0 end amp, wp.amp as label from wp left join gone g "
+       "on g.example_id = wp.example_id and g.x = wp.x and g.y = wp.y",
+    **{k: v.replace("from patch_samples window", "from dr window") for k, v in EXT.items()},
+    **{k: v.replace("amp::double amp, ", "amp, ").replace("from patch_samples", "from dr") for k, v in DEC.items()},
+    **SPREAD,
+    picked=f"select d.example_id, d.x, d.y, d.z, label, case {CHOICE.replace('example_id', 'd.example_id')} when 0 then e.amp "
+           f"when 1 then {_thinned('d.amp')} else dec.amp end amp from dr d join chosen c on c.example_id = d.example_id and c.x = d.x and c.y = d.y and c.z = d.z "
+           "join ext e on e.example_id = d.example_id and e.x = d.x and e.y = d.y and e.z = d.z "
+           "join dec on dec.example_id = d.example_id and dec.x = d.x and dec.y = d.y and dec.z = d.z",
+    nb0="select *, lag(amp) over w up, lead(amp) over w dn from sc window w as (partition by example_id, x, y order by z)",
+    ext0="select example_id, x, y, z, case when (amp > up and amp > dn) or (amp < up and amp < dn) then amp else 0 end amp from nb0",
+    part=MIXED["part"],
+)
+
+
+@query("augment", sql(
+    f"select p.example_id, p.x, p.y, p.z, case when {u(SEED, 'mixup', 'p.example_id')} < 0.5 then {q6('p.amp + w * e.amp')} else {q6('p.amp')} end amp, {q6('p.label')} as label "
+    "from picked p join part using (example_id) join ext0 e on e.example_id = pid and e.x = p.x and e.y = p.y and e.z = p.z", P, **AUGMENTED))
 def _(spark, d):
     """The whole training pipeline, with all three input transforms."""
     out = ag.augment(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling, volumes
 from ..sources import fixtures as fx
-from .patches import sample_patches
+from .patches import sample_patches, sample_stores
 from .registry import q6, query, r6, sql, u
 
 SEED, N, PICKS = 5, 400, 150
@@ -99,6 +99,37 @@ def _(spark, d):
         F.lit("v0").alias("volume_id"), F.col("example_id").cast("int").alias("draw"), "x", "y", "z", r6("amp").alias("amp"))
 
 
+def _survey(steps: dict[str, str]) -> dict[str, str]:
+    return {k: v.replace("volume_dims", "survey_dims") for k, v in steps.items()}
+
+
+# Boxes of the first volume meet a flat map at any depth, those of the second a deep one, those of the third none.
+BOX3 = " and ".join(f"{a} >= b{a}_ and {a} < b{a}_+{n}" for a, n in (("x", 5), ("y", 5), ("z", 16)))
+SURVEY = dict(
+    _survey(CAND),
+    box="select c.*, coalesce(f.s, d.s, 0) deep from cand c "
+        f"left join (select c.volume_id, cand, sum(amp) * 16 s from cand c join survey_flat s on s.volume_id = c.volume_id and {BOX3.rsplit(' and z', 1)[0].rsplit(' and z', 1)[0]} group by all) f using (volume_id, cand) "
+        f"left join (select c.volume_id, cand, sum(abs(amp)::double) s from cand c join survey_samples s on s.volume_id = c.volume_id and c.volume_id = 'b' and {BOX3} group by all) d using (volume_id, cand)",
+    **{k: v for k, v in CUM.items() if k not in BOX},
+    capped="select *, row_number() over (order by volume_id, draw) - 1 example_id from pick",
+)
+
+
+@query("sample_stores", sql(
+    f"select example_id, volume_id, cast(draw as int) draw, cast(x-bx_ as int) x, cast(y-by_ as int) y, cast(z-bz_ as int) z, {q6('amp::double / sd')} amp from "
+    f"(select * from capped where example_id < 400) join survey_samples using (volume_id), sdv where {BOX3}",
+    "volume_samples survey_samples survey_dims survey_flat", **SURVEY,
+    sdv="select greatest(abs(stddev_pop(amp::double)), 1e-8) sd from survey_samples"))
+def _(spark, d):
+    """Three volumes of unequal extent, each with its own kind of score map, in one call."""
+    traces = fx.survey_traces(spark, d).unionByName(fx.survey_scores(spark, d))
+    got = sample_stores(
+        fx.survey_catalog(spark, d), traces, fx.PATCH, n_patches=400, n_per_volume=PICKS, n_candidates=N, seed=SEED)
+    flat = volumes.patch_samples(got.select("example_id", "cube"), fx.PATCH)
+    near = flat.join(got.select("example_id", "volume_id", "draw"), "example_id")
+    return near.select("example_id", "volume_id", "draw", "x", "y", "z", r6("amp").alias("amp"))
+
+
 RES = dict(
     w="select vec_id example_id, avg(v) weight from (select vec_id, abs(unnest(embedding)::double) v from embeddings) group by 1",
     c="select *, sum(weight) over (order by example_id) hi, sum(weight) over () total, count(*) over () n from w",

@@ -29,6 +29,9 @@ TABLES = {
     "run_metrics": "select event_type run_id, cast(day(ts) as int) epoch, avg(case when user_id%2=0 then value end) train_loss, avg(value) val_loss, avg(case when value<50 then 1.0::double else 0.0::double end) d_gan_acc, count(*) examples from events group by 1,2",
     "snapshots": "select 'r0' run_id, cast((day(ts)-1)//10+1 as int) epoch, user_id example_id, avg(value) recon_loss from events group by 1,2,3",
     "job_events": "select user_id job_id, ts, case event_type when 'view' then 'progress' when 'click' then 'progress' when 'purchase' then 'artifact' when 'signup' then 'status' else case when event_id%20<>0 then 'status' when event_id%40=0 then 'error' else 'done' end end kind, props message, case when event_type in ('view','click') and event_id%3=0 then value end eta_seconds, case when event_type='purchase' then 'out/'||event_id end artifact_path, count(*) over (partition by user_id) total_windows, case when event_id%89=0 then null else row_number() over (partition by user_id order by ts, event_id)+case when event_id%97=0 then count(*) over (partition by user_id) else 0 end end completed_windows from events",
+    "survey_samples": "select case when x < 9 then 'a' when x < 17 then 'b' else 'c' end volume_id, cast(case when x < 9 then x when x < 17 then x - 9 else y end as int) x, cast(case when x < 17 then y else x - 17 end as int) y, z, amp from volume_samples where not (x >= 9 and x < 17 and z >= 48)",
+    "survey_dims": "select volume_id, max(x)+1 nx, max(y)+1 ny, max(z)+1 nz from survey_samples group by 1",
+    "survey_flat": "select 'a' volume_id, cast(l_suppkey%9 as int) x, cast(l_partkey%20 as int) y, sum(l_quantity)::float::double amp from lineitem group by 1,2,3",
     "latent_params": "select vec_id example_id, embedding mu, list_transform(embedding, lambda v: -v) logvar from embeddings",
 }
 NEEDS = {
@@ -36,6 +39,8 @@ NEEDS = {
     "volume_samples_mirror": ["volume_samples", "volume_dims"],
     "score_samples": ["volume_samples", "volume_dims"],
     "patch_samples": ["volume_samples"],
+    "survey_samples": ["volume_samples"],
+    "survey_dims": ["volume_samples", "survey_samples"],
 }
 
 

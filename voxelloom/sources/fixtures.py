@@ -102,6 +102,51 @@ def catalog(spark, sf_dir) -> DataFrame:
     )
 
 
+def survey_traces(spark, sf_dir) -> DataFrame:
+    """Three volumes of unequal extent cut from the one: a block, a shallow block, and a block with its axes swapped."""
+    plain, x = volume_traces(spark, sf_dir), F.col("x")
+    which = F.when(x < 9, "a").when(x < 17, "b").otherwise("c")
+    return plain.select(
+        which.alias("volume_id"),
+        F.when(x < 9, x).when(x < 17, x - 9).otherwise(F.col("y")).cast("int").alias("x"),
+        F.when(x < 17, F.col("y")).otherwise(x - 17).cast("int").alias("y"),
+        F.when((x >= 9) & (x < 17), F.slice("amps", 1, 48)).otherwise(F.col("amps")).alias("amps"),
+    )
+
+
+def survey_scores(spark, sf_dir) -> DataFrame:
+    """A flat score map for the first of the three volumes, a deep one for the second, and one of no use for the third."""
+    flat = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy((F.col("l_suppkey") % 9).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("y"))
+        .agg(F.sum("l_quantity").cast("float").alias("amp"))
+        .select(_named("a_score", "x").alias("volume_id"), "x", "y", F.array(F.col("amp")).alias("amps"))
+    )
+    rest = survey_traces(spark, sf_dir).filter("volume_id <> 'a'")
+    deep = rest.select(F.concat("volume_id", F.lit("_score")).alias("volume_id"), "x", "y", F.transform("amps", F.abs).alias("amps"))
+    return flat.unionByName(deep)
+
+
+def survey_catalog(spark, sf_dir) -> DataFrame:
+    """The catalog of the three volumes and their score maps, and of a store that a sibling shadows."""
+    dims = materialize(traces_dims(survey_traces(spark, sf_dir)))
+    flat = F.col("volume_id") == "a"
+    arrays = F.array(
+        F.struct(F.lit("seismic").alias("array_key"), F.lit(3).alias("ndim"), F.col("nz").alias("depth"), F.col("volume_id").alias("array_id")),
+        F.struct(
+            F.lit("geologic_score").alias("array_key"), F.when(flat, 2).when(F.col("volume_id") == "b", 3).otherwise(4).alias("ndim"),
+            F.when(flat, 1).otherwise(F.col("nz")).alias("depth"), F.concat("volume_id", F.lit("_score")).alias("array_id"),
+        ),
+    )
+    rows = dims.select(F.col("volume_id").alias("store_id"), "nx", "ny", F.inline(arrays)).select(
+        "store_id", F.lit("root").alias("parent_dir"),
+        F.when(F.col("store_id") == "b", "temp_folder__b").otherwise(F.concat(F.lit("seismic__"), F.col("store_id"))).alias("dir_name"),
+        "array_key", "ndim", "nx", "ny", F.col("depth").alias("nz"), F.col("array_id").alias("volume_id"),
+    )
+    shadowed = rows.filter("store_id = 'b'").withColumns({"store_id": F.lit("old b"), "dir_name": F.lit("seismic__b")})
+    return rows.unionByName(shadowed)
+
+
 def patches(spark, sf_dir) -> DataFrame:
     """5x5x16 cubes cut from the volume without overlap, in C order."""
     parts = F.transform(
