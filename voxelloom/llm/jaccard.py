@@ -25,6 +25,8 @@ COMMON_TEXTS = 16
 COMMON_SHINGLES = 131_072
 # Members of a component that one tile holds.
 TILE_NODES = 2048
+# Pairs that a task hands on at once.
+TILE_PAIRS = 1 << 16
 # Bytes of text that a worker turns into sets at once.
 SLICE_BYTES = 4 << 20
 
@@ -213,6 +215,11 @@ def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sized.select("bits_a", "n_a", "bits_b", "n_b", "a", "b").mapInPandas(bounded, "a long, b long")
 
 
+def _pairs(found: list[np.ndarray]) -> pd.DataFrame:
+    a, b = np.concatenate(found, axis=1)
+    return pd.DataFrame({"a": a, "b": b}).astype("int64").drop_duplicates()
+
+
 def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that sizes and bitmaps do not rule out.
 
@@ -239,7 +246,7 @@ def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, pe
     def held(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tile = None, Tile(percent)
         for p in batches:
-            a, b = [], []
+            found, n_found = [], 0
             for cluster, number, kind, node, root, n, bits in p.itertuples(index=False):
                 if (cluster, number) != key:
                     key, tile = (cluster, number), Tile(percent)
@@ -247,10 +254,14 @@ def possible_in_tiles(strays: DataFrame, inside: DataFrame, texts: DataFrame, pe
                     tile.add(node, root, n, bits)
                     continue
                 near = tile.near(root, n, bits)
-                a.append(np.minimum(near, node))
-                b.append(np.maximum(near, node))
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64").drop_duplicates()
+                found.append(np.stack([np.minimum(near, node), np.maximum(near, node)]))
+                n_found += len(near)
+                # In a hot cluster nearly all members may be possible, so pairs are handed on as they come.
+                if n_found >= TILE_PAIRS:
+                    yield _pairs(found)
+                    found, n_found = [], 0
+            if found:
+                yield _pairs(found)
 
     return (
         both.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "kind", "node")
