@@ -8,7 +8,8 @@ from voxelloom.functions.arrays import cosine, dot
 from voxelloom.operators import grid, latents, similarity, volumes
 from voxelloom.plans.search import search_volume
 from voxelloom.schema import PatchShape
-from voxelloom.sources.volumes import read_volume, read_volume_chunked, search_report, write_volume_chunked
+from voxelloom.sources.chunks import read_volume_chunked, write_volume_chunked
+from voxelloom.sources.volumes import read_volume, search_report
 
 
 def trace_table(spark, arr, name="v"):

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import percentile_of
+from ..functions.arrays import let_sql, percentile_of, total_sql
+from .joins import lookup_join
 from .quantiles import exact_percentiles
 from .volumes import clip_scaled, ortho_slices
 
@@ -37,6 +38,55 @@ def dataset_stats(samples: DataFrame) -> DataFrame:
     )
 
 
+def with_moments(rows: DataFrame, column: str) -> DataFrame:
+    """Moments of each row's array beside it: n, mean, square, least and most.
+
+    ``square`` is the sum of squared deviations from the mean.  Nulls do not
+    count; a row without values has n 0 and no other moments.
+    """
+    known = f"filter({column}, v -> v is not null)"
+    mean = f"if(size(mo) > 0, {total_sql('mo')} / size(mo), null)"
+    around = let_sql(mean, "mo_m", "struct(mo_m as mean, aggregate(mo, 0D, (s, e) -> s + (double(e) - mo_m) * (double(e) - mo_m)) as square)")
+    rest = "bigint(size(mo)) as n, double(array_min(mo)) as least, double(array_max(mo)) as most"
+    found = rows.withColumn("_mo", F.expr(let_sql(known, "mo", f"struct({rest}, {around} as around)")))
+    return found.select(
+        *rows.columns, F.coalesce("_mo.n", F.lit(0)).alias("n"), "_mo.around.mean",
+        F.when(F.col("_mo.n") > 0, F.col("_mo.around.square")).alias("square"), "_mo.least", "_mo.most",
+    )
+
+
+def merge_moments(rows: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
+    """Moments of whole groups from moments of their parts (n, mean, square, least, most).
+
+    Squares are moved to the mean of the group, which is found first, so a
+    mean far above the deviation costs no digits.  ``spread`` names columns that
+    split a group with many parts over tasks.
+    """
+    keys = list(keys)
+    n = F.col("n")
+    ends = rows.groupBy(*keys).agg(F.try_divide(F.sum(n * F.col("mean")), F.sum(n)).alias("_mean"))
+    if not keys:
+        near = rows.withColumn("_mean", ends.scalar())
+    elif spread:
+        near = lookup_join(rows, ends, keys, spread)
+    else:
+        near = rows.join(ends, keys)
+    off = F.col("mean") - F.col("_mean")
+    return near.groupBy(*keys).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.first("_mean").alias("mean"),
+        F.sum(F.col("square") + n * off * off).alias("square"), F.min("least").alias("least"), F.max("most").alias("most"),
+    )
+
+
+def whole_stats(moments: DataFrame) -> DataFrame:
+    """The columns of ``volume_stats`` from moments."""
+    other = [c for c in moments.columns if c not in ("n", "mean", "square", "least", "most")]
+    return moments.select(
+        *other, F.col("n").alias("count"), "mean", F.sqrt(F.try_divide("square", "n")).alias("std"),
+        F.col("least").alias("min"), F.col("most").alias("max"),
+    )
+
+
 def merge_stats(stats: DataFrame) -> DataFrame:
     """The same from rows of ``volume_stats``, without another pass over samples."""
     n, m = F.col("count"), F.col("mean")

@@ -163,11 +163,18 @@ def mask_below(df: DataFrame, threshold: float, low, high, column: str = "amp")
 
 
 def clip_scaled(
-    df: DataFrame, fraction: float, keys: Sequence[str], spread: Sequence[str], column: str = "amp"
+    df: DataFrame, fraction: float, keys: Sequence[str], spread: Sequence[str], column: str = "amp",
+    peaks: DataFrame | None = None,
 ) -> DataFrame:
-    """Clip each group to a fraction of its largest magnitude and divide by that limit."""
+    """Clip each group to a fraction of its largest magnitude and divide by that limit.
+
+    ``peaks`` has the keys and ``peak`` where magnitudes are stored already.
+    """
     v = F.col(column).cast("double")
-    peaks = materialize(df.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak")))
+    if peaks is None:
+        peaks = materialize(df.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak")))
+    else:
+        peaks = peaks.select(*keys, F.col("peak").alias("_peak"))
     lim = F.greatest(F.col("_peak") * max(1e-6, float(fraction)), F.lit(1e-6))
     near = lookup_join(df, peaks, keys, spread)
     return near.withColumn(column, F.greatest(-lim, F.least(lim, v)) / lim).drop("_peak")

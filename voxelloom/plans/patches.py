@@ -32,13 +32,14 @@ def sample_patches(
     traces: DataFrame, scores: DataFrame, dims: DataFrame, size, n_patches: int = 5000,
     n_per_volume: int = 100, n_candidates: int = 1000, scaling: str = "divide_by_std",
     mean: float | None = None, std: float | None = None, allow_overlap: bool = True,
-    broadcast_z: bool = False, seed: int = 0,
+    broadcast_z: bool = False, seed: int = 0, stats: DataFrame | None = None,
 ) -> DataFrame:
     """Patches (example_id, volume_id, draw, bx, by, bz, cube), at most ``n_patches`` in draw order.
 
     Example ids run from 0 without gaps over all volumes.  ``dims`` lists the volumes to sample (see ``discover_volumes`` and
     ``eligible_pairs``).  Scaling statistics come from all samples unless
-    ``std`` is given.
+    ``std`` or ``stats`` is given, one row of ``mean`` and ``std`` such as
+    ``stored_dataset_stats``, which reads no samples.
     """
     p = PatchShape.of(size)
     # Narrow rows that several steps below read.
@@ -49,7 +50,7 @@ def sample_patches(
     if scaling == "none":
         return cubes
     if std is None:
-        stats = dataset_stats(samples_of(traces))
+        stats = dataset_stats(samples_of(traces)) if stats is None else stats
         found = cubes.withColumn("_s", stats.select(F.struct("mean", "std")).scalar())
         cubes = scale_cubes(found, scaling, F.col("_s.mean"), F.col("_s.std")).drop("_s")
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, stats, volumes
 from ..session import scratch_path
+from ..sources import chunks
 from ..sources import fixtures as fx
 from ..sources import volumes as src
 from .registry import q6, query, r6, sql
@@ -99,7 +100,7 @@ def _(spark, d):
     "from volume_samples group by 1,2,3", S))
 def _(spark, d):
     path = scratch_path(spark, "volume")
-    src.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path)
+    chunks.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path)
     rows = spark.read.parquet(path).select("volume_id", "cx", "cy", F.explode("amps").alias("v"))
     return rows.groupBy("volume_id", "cx", "cy").agg(
         F.count("*").alias("samples"), r6(F.sum(F.col("v").cast("double"))).alias("total"))
@@ -109,8 +110,58 @@ def _(spark, d):
 def _(spark, d):
     """Traces cut into depth chunks and put together again."""
     path = scratch_path(spark, "volume")
-    src.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path, (16, 16, 24))
-    return volumes.samples_of(src.read_volume_chunked(spark, path)).withColumn("amp", r6("amp"))
+    chunks.write_volume_chunked(fx.volume_traces(spark, d), fx.volume_dims(spark, d), path, (16, 16, 24))
+    return volumes.samples_of(chunks.read_volume_chunked(spark, path)).withColumn("amp", r6("amp"))
+
+
+def _survey_table(spark, d):
+    """Three volumes of unequal extent, written in two steps."""
+    path = scratch_path(spark, "survey")
+    traces = fx.survey_traces(spark, d)
+    dims = fx.traces_dims(traces)
+    chunks.write_volume_chunked(traces.filter("volume_id <> 'b'"), dims, path, (4, 4, 24))
+    chunks.write_volume_chunked(traces.filter("volume_id = 'b'"), dims, path, (4, 4, 24), append=True)
+    return path
+
+
+@query("read_box", sql(
+    f"select volume_id, x, y, z, {q6('amp')} amp from survey_samples where volume_id = 'b' and x < 5 and y >= 3 and y < 11 and z >= 10 and z < 90",
+    "volume_samples survey_samples"))
+def _(spark, d):
+    """A box over chunks and depth parts that reaches over two edges of its volume."""
+    found = chunks.read_box(spark, _survey_table(spark, d), "b", (-2, 3, 10), (5, 11, 90))
+    parts = found.select("volume_id", "x", "y", "z0", F.posexplode("amps").alias("i", "amp"))
+    return parts.select("volume_id", "x", "y", (F.col("z0") + F.col("i")).alias("z"), r6("amp").alias("amp"))
+
+
+MOMENTS = (f"count(*) count, {q6('avg(amp::double)')} mean, {q6('stddev_pop(amp::double)')} std, "
+           f"{q6('min(amp)')} min, {q6('max(amp)')} max")
+
+
+@query("chunk_stats", sql(
+    f"select volume_id, cast(x//4 as int) cx, cast(y//4 as int) cy, cast(z//24 as int) cz, {MOMENTS} from survey_samples group by all",
+    "volume_samples survey_samples"))
+def _(spark, d):
+    out = chunks.chunk_stats(spark, _survey_table(spark, d))
+    return out.select(*chunks.KEYS, "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query("stored_volume_stats", sql(f"select volume_id, {MOMENTS} from survey_samples group by 1", "volume_samples survey_samples"))
+def _(spark, d):
+    out = chunks.stored_volume_stats(spark, _survey_table(spark, d))
+    return out.select("volume_id", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query("clip_scaled_stored", sql(
+    f"select {OUT}, {q6('greatest(-lim, least(lim, amp::double)) / lim')} amp from survey_samples join p using (volume_id)",
+    "volume_samples survey_samples",
+    p="select volume_id, greatest(max(abs(amp::double)) * 0.3, 1e-6) lim from survey_samples group by 1"))
+def _(spark, d):
+    """Limits from the stored moments, samples read once."""
+    path = _survey_table(spark, d)
+    rows = volumes.samples_of(chunks.read_volume_chunked(spark, path))
+    out = volumes.clip_scaled(rows, 0.3, ["volume_id"], ["x", "y", "z"], peaks=chunks.stored_peaks(spark, path))
+    return out.select("volume_id", "x", "y", "z", r6("amp").alias("amp"))
 
 
 # ---- projections and slices ---------------------------------------------------

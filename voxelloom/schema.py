@@ -24,6 +24,10 @@ DIMS = table("volume_id string", "nx int", "ny int", "nz int")
 PATCHES = table("example_id bigint", "cube array<float>")
 WINDOWS = table("volume_id string", "wx int", "wy int", "wz int")
 SCORES = table("volume_id string", "wx int", "wy int", "wz int", "sim double")
+CHUNK_MAP = table(
+    "file string", "volume_id string", "cx int", "cy int", "cz int", "x0 int", "x1 int", "y0 int", "y1 int", "z0 int", "z1 int",
+    "parts bigint", "n bigint", "mean double", "square double", "least double", "most double",
+)
 SNAPSHOTS = table("run_id string", "epoch int", "example_id bigint", "recon_loss double")
 JOB_EVENTS = table(
     "job_id bigint", "ts timestamp", "kind string", "message string", "total_windows bigint",

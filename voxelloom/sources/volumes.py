@@ -1,4 +1,4 @@
-"""Catalog lookups and Parquet tables for volumes, patches, logs and snapshots."""
+"""Catalog lookups and Parquet tables for patches, logs and snapshots; see ``chunks`` for volumes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import chunk_extent
-from ..operators.joins import first_rows, with_dims
+from ..operators.joins import first_rows
 from ..schema import RUN_METRICS, PatchShape
 
 # Array keys tried in this order when none is given.
@@ -102,42 +101,6 @@ def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, PatchShape]
     return check_patches(spark.read.parquet(f"{path}/patches"), p), p
 
 
-# ---- volumes ---------------------------------------------------------------
-
-
-def write_volume_chunked(traces: DataFrame, dims: DataFrame, path: str, chunk=(16, 16, -1)) -> None:
-    """Write traces clustered by chunk, so neighbouring traces share files and row groups.
-
-    Depth chunks split each trace into parts (column ``cz`` and ``z0``).
-    """
-    sx, sy, sz = chunk_extent(chunk)
-    tagged = with_dims(traces, dims.select("volume_id", "nx", "ny"), ["x", "y"])
-    tagged = tagged.withColumn("cx", F.floor(F.col("x") / (sx or F.col("nx"))).cast("int")).withColumn(
-        "cy", F.floor(F.col("y") / (sy or F.col("ny"))).cast("int")
-    )
-    if sz is None:
-        parts = F.array(F.struct(F.lit(0).alias("cz"), F.lit(0).alias("z0"), F.col("amps").alias("part")))
-    else:
-        parts = F.expr(
-            f"transform(sequence(0, (size(amps) - 1) div {sz}), k -> "
-            f"struct(int(k) as cz, int(k * {sz}) as z0, slice(amps, int(k * {sz} + 1), {sz}) as part))"
-        )
-    rows = tagged.select("volume_id", "cx", "cy", "x", "y", F.inline(parts)).withColumnRenamed("part", "amps")
-    keys = ["volume_id", "cx", "cy", "cz"]
-    n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, *keys, "x", "y").sortWithinPartitions(*keys, "x", "y").write.mode("overwrite").parquet(path)
-
-
-def read_volume_chunked(spark: SparkSession, path: str) -> DataFrame:
-    """The traces of a chunked volume (volume_id, x, y, amps), depth parts put together in order."""
-    rows = spark.read.parquet(path)
-    # Without depth chunks every trace is one part, and stays where it was written.
-    if rows.where("cz > 0").isEmpty():
-        return rows.select("volume_id", "x", "y", "amps")
-    parts = F.array_sort(F.collect_list(F.struct("z0", "amps")))
-    return rows.groupBy("volume_id", "x", "y").agg(F.flatten(F.transform(parts, lambda p: p["amps"])).alias("amps"))
-
-
 # ---- logs and snapshots ----------------------------------------------------
 
 
