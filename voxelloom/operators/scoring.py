@@ -18,6 +18,7 @@ from ..session import materialize
 from .joins import LOOKUP_ROWS, lookup_join
 from .latents import encode_batches
 from .quantiles import exact_percentiles
+from .volumes import filled
 
 # Percentiles at which representative examples are chosen.
 PERCENTILES = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95)
@@ -100,7 +101,9 @@ def resize_cube(cube: str, size, to) -> Column:
                 for k, a, n in ((kx, "x", p.x), (ky, "y", p.y), (kz, "z", p.z)):
                     at.append(hi(a, n) if k else lo(a))
                     part.append(f"(s.{a} - {lo(a)})" if k else f"(1 - s.{a} + {lo(a)})")
-                terms.append(f"double(get(c, ({at[0]} * {p.y} + {at[1]}) * {p.z} + {at[2]})) * {' * '.join(part)}")
+                v, w = f"get(c, ({at[0]} * {p.y} + {at[1]}) * {p.z} + {at[2]})", " * ".join(part)
+                # A sample that the cube lacks counts only where it has a part in the result.
+                terms.append(f"if({v} is null and {w} = 0, 0D, double({v}) * {w})")
     spot = (
         f"named_struct('x', {axis(f'(i div {q.y * q.z})', p.x, q.x)}, "
         f"'y', {axis(f'((i div {q.z}) % {q.y})', p.y, q.y)}, 'z', {axis(f'(i % {q.z})', p.z, q.z)})"
@@ -145,7 +148,10 @@ def snapshot_scores(
     examples: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size,
     mse_weight: float = 0.6, batch_size: int = 32,
 ) -> DataFrame:
-    """Score every example (example_id, cube, target) with a batch model in one pass."""
+    """Score every example (example_id, cube, target) with a batch model in one pass.
+
+    The model reads samples that a cube lacks as 0; scores are over the samples that the target has.
+    """
     p = PatchShape.of(size)
 
     def run(frames):
@@ -155,14 +161,15 @@ def snapshot_scores(
                 continue
             cubes = np.stack(frame["cube"].to_numpy()).reshape(-1, *p.axes)
             flat = lambda b: np.asarray(model(b)).reshape(len(b), -1)
-            out = encode_batches(cubes, flat, batch_size)
-            yield pd.DataFrame(
-                {"example_id": frame["example_id"], "target": frame["target"], "pred": list(out.astype(np.float64))}
-            )
-
-    predicted = examples.select("example_id", "cube", "target").mapInPandas(
-        run, "example_id bigint, target array<double>, pred array<double>"
-    )
+            out = encode_batches(cubes, flat, batch_size).astype(np.float64)
+            pred = [row if held is None else row[np.asarray(held, np.int64)] for row, held in zip(out, frame["held"])]
+            yield pd.DataFrame({"example_id": frame["example_id"], "target": frame["target"], "pred": pred})
+
+    # Places of the samples at hand; NULL stands for all.
+    held = "if(exists(target, v -> v is null), filter(sequence(0, size(target) - 1), i -> get(target, i) is not null), null)"
+    predicted = examples.select(
+        "example_id", filled().alias("cube"), F.filter("target", F.isnotnull).alias("target"), F.expr(held).alias("held")
+    ).mapInPandas(run, "example_id bigint, target array<double>, pred array<double>")
     return predicted.select("example_id", example_combined(mse_weight).alias("recon_loss"))
 
 

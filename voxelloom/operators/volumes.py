@@ -28,10 +28,13 @@ def traces_of(samples: DataFrame) -> DataFrame:
 
 
 def patch_samples(patches: DataFrame, size, value: str = "cube") -> DataFrame:
-    """One row per patch sample: example_id, x, y, z, amp."""
+    """One row per patch sample: example_id, x, y, z, amp.
+
+    Samples that a patch lacks are NULL in its cube and have no row.
+    """
     p = PatchShape.of(size)
     at = F.col("i")
-    return patches.select("example_id", F.posexplode(value).alias("i", "amp")).select(
+    return patches.select("example_id", F.posexplode(value).alias("i", "amp")).where("amp is not null").select(
         "example_id",
         F.expr(f"cast(i div {p.y * p.z} as int)").alias("x"),
         F.expr(f"cast((i div {p.z}) % {p.y} as int)").alias("y"),
@@ -78,6 +81,16 @@ def normalize_by_std(df: DataFrame, keys: Sequence[str], floor: float = 1e-6, co
     return df.withColumn(column, F.col(column).cast("double") / F.greatest(dev, F.lit(floor)))
 
 
+def whole(column: str = "cube") -> Column:
+    """Whether a cube has all its samples."""
+    return ~F.exists(column, F.isnull)
+
+
+def filled(column: str = "cube") -> Column:
+    """A cube as models read it: samples that it lacks are 0."""
+    return F.expr(f"if(exists({column}, v -> v is null), transform({column}, v -> coalesce(v, float(0))), {column})")
+
+
 def normalize_cubes(df: DataFrame, floor: float = 1e-6, column: str = "cube") -> DataFrame:
     """The same for one cube per row, without a shuffle."""
     return df.withColumn(column, _by_std(column, floor))
@@ -89,8 +102,8 @@ def trace_extrema(traces: DataFrame, column: str = "amps") -> DataFrame:
 
 
 def _by_std(cube: str, floor: float, kept: str = "cb", value: str = "double(v) / dv") -> Column:
-    """Divide (an expression of) a cube ``cb`` by the cube's own deviation."""
-    dev = f"greatest({std_sql('cb')}, {floor!r}D)"
+    """Divide (an expression of) a cube ``cb`` by the deviation of the samples it has."""
+    dev = f"greatest({std_sql('filter(cb, v -> v is not null)')}, {floor!r}D)"
     return F.expr(let_sql(cube, "cb", let_sql(dev, "dv", f"transform({kept}, v -> {value})")))
 
 
@@ -135,7 +148,7 @@ def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "p
     """Middle inline and crossline of several cubes side by side.
 
     Result rows (example_id, section, depth, across, value) put the parts
-    next to each other along ``across``.
+    next to each other along ``across``; samples that a part lacks have none.
     """
     p = PatchShape.of(size)
 
@@ -151,7 +164,7 @@ def composite_slices(cubes: DataFrame, size, parts: Sequence[str] = ("input", "p
     for n, part in enumerate(parts):
         planes.append(section("inline", part, n * p.x, p.x, f"(i div {p.z}) * {p.y} + {p.y // 2}"))
         planes.append(section("crossline", part, n * p.y, p.y, f"i div {p.z} + {(p.x // 2) * p.y}"))
-    return cubes.select("example_id", F.inline(F.expr(f"concat({', '.join(planes)})")))
+    return cubes.select("example_id", F.inline(F.expr(f"concat({', '.join(planes)})"))).where("value is not null")
 
 
 def mask_below(df: DataFrame, threshold: float, low, high, column: str = "amp") -> DataFrame:

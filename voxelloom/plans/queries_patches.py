@@ -33,7 +33,7 @@ def _rows(df, column="cube", name="amp"):
 def _both(df):
     """Input and label side by side, exploded in step."""
     flat = df.withColumn("cube", F.arrays_zip(F.col("cube").alias("c"), F.col("label").alias("l")))
-    return volumes.patch_samples(flat, fx.PATCH).select(
+    return volumes.patch_samples(flat, fx.PATCH).where("amp.c is not null").select(
         "example_id", "x", "y", "z", r6(F.col("amp.c")).alias("amp"), r6(F.col("amp.l")).alias("label"))
 
 
@@ -131,7 +131,8 @@ SPREAD = dict(
     f"select example_id, x, y, z, case when far then {q6('amp')} else 0 end amp from chosen", P, **SPREAD))
 def _(spark, d):
     f = ag.sparse_fraction(seed=SEED)
-    return _rows(ag.sparse_keep_poisson(fx.patches(spark, d), fx.PATCH, f, seed=SEED))
+    # Patches with all their samples, as in the definition.
+    return _rows(ag.sparse_keep_poisson(fx.patches(spark, d).where(volumes.whole()), fx.PATCH, f, seed=SEED))
 
 
 @query("sparse_keep", sql(
@@ -202,7 +203,8 @@ def _thinned(amp: str) -> str:
     "from chosen c join ext e on e.example_id = c.example_id and e.x = c.x and e.y = c.y and e.z = c.z "
     "join dec on dec.example_id = c.example_id and dec.x = c.x and dec.y = c.y and dec.z = c.z", P, **SPREAD, **EXT, **DEC))
 def _(spark, d):
-    return _rows(ag.one_of_three(fx.patches(spark, d), fx.PATCH, 0.4, 0.3, 0.3, seed=SEED))
+    # Patches with all their samples, as in the definition.
+    return _rows(ag.one_of_three(fx.patches(spark, d).where(volumes.whole()), fx.PATCH, 0.4, 0.3, 0.3, seed=SEED))
 
 
 def _moved_axis(flip: str, axis: str) -> str:
@@ -243,4 +245,5 @@ def _(spark, d):
     out = ag.augment(
         fx.patches(spark, d), fx.PATCH, scaling="zscore", mean=0.01, std=0.125, cluster_min=1, cluster_max=3,
         p_extrema=0.4, p_sparse=0.3, p_decimate=0.3, p_mixup=0.5, seed=SEED)
-    return _both(out)
+    # Patches with all their samples, as in the definition; partners come from all.
+    return _both(out.where(volumes.whole("label")))
