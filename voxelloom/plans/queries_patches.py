@@ -135,11 +135,20 @@ def _(spark, d):
     return _rows(ag.sparse_keep_poisson(fx.patches(spark, d).where(volumes.whole()), fx.PATCH, f, seed=SEED))
 
 
+# The same over every patch, with those that the volume's edge cuts short, and an md5 for each sample.
+SPREAD_ALL = dict(
+    rk=f"select example_id, x, y, z, amp, {FLAT} i, n, cast(greatest(1, least(n, round_even({FRAC} * n, 0))) as int) target, {FRAC} f, "
+       f"row_number() over (partition by example_id order by {uu('visit', FLAT)}, {FLAT}) r from (select *, count(*) over (partition by example_id) n from patch_samples)",
+    greedy=SPREAD["greedy"].replace("400.0::double", "k.n::double"),
+    chosen=SPREAD["chosen"].replace("select example_id, kept from greedy where r = 400", "select example_id, arg_max(kept, r) kept from greedy group by 1"),
+)
+
+
 @query("sparse_keep", sql(
-    f"select example_id, x, y, z, case when case when {uu('sparse_method')} < 0.5 then far else {uq('keep', FLAT)} <= f end then {q6('amp')} else 0 end amp from chosen",
-    P, **SPREAD))
+    f"select example_id, x, y, z, case when case when {uu('sparse_method')} < 0.5 then far else {uu('keep', FLAT)} <= f end then {q6('amp')} else 0 end amp from chosen",
+    P, **SPREAD_ALL))
 def _(spark, d):
-    return _rows(ag.sparse_keep(fx.patches(spark, d), fx.PATCH, "random", seed=SEED))
+    return _rows(ag.sparse_keep(fx.patches(spark, d), fx.PATCH, "random", seed=SEED, per_digest=1))
 
 
 def _near(a: str, n: int, r: str) -> str:
