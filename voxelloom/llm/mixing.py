@@ -17,8 +17,9 @@ from ..session import materialize
 
 # Documents of one block, and slots that the schedule hands on at once.
 BLOCK_DOCS = 16
-# Blocks of a mix, about: of more documents each block has more, so the schedule is made in bounded time.
-MOST_BLOCKS = 500_000
+# None: blocks have the size asked for, whatever the table's size.  A number makes blocks grow so that a mix has
+# about that many, which bounds the time of its schedule and changes its order.
+MOST_BLOCKS: int | None = None
 PERIOD = 1024
 # Most sources a mix can have; more raise an error.
 MAX_SOURCES = 100_000
@@ -164,8 +165,8 @@ def plan_mix(
     over the whole mix.  Without ``weights`` a source weighs its number of
     documents to the power 0.9, so no source is started again often.  The last
     block of an epoch may have fewer documents; ``place`` is a document's
-    position in its block.  Blocks have ``block_docs`` documents, or as many more
-    as keep their number near ``MOST_BLOCKS``.  ``period`` only sets how many slots of the schedule
+    position in its block.  Blocks have ``block_docs`` documents
+    at any size of the table.  ``period`` only sets how many slots of the schedule
     are handed on at once.
 
     Documents of sources that ``weights`` leaves out or sets to 0 are not in
@@ -185,7 +186,8 @@ def plan_mix(
     if weights is None:
         weights = {s: Fraction(round(n**FLATTEN * 1000), 1000) for s, n in sizes.items()}
     weights = _whole({s: w for s, w in weights.items() if s in sizes})
-    block_docs = max(block_docs, -(-sum(sizes[s] for s in weights) // MOST_BLOCKS))
+    if MOST_BLOCKS is not None:
+        block_docs = max(block_docs, -(-sum(sizes[s] for s in weights) // MOST_BLOCKS))
     blocks = {s: -(-sizes[s] // block_docs) for s in weights}
     length, n_uses = fit(weights, blocks)
 
