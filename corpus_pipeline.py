@@ -6,7 +6,10 @@ before it kept.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm import jaccard, mixing, packing, quality, suffixes
@@ -17,6 +20,22 @@ from voxelloom.llm.queries import tokenizer_path
 # Near copies share four fifths of their distinct five-word shingles.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+# Bytes of rows that go to a Python worker at once.  An executor has each batch several times outside its heap, and
+# keeps much of that memory when large batches are freed.
+BATCH_BYTES = 1 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """A stage with Arrow batches of bounded size; they stay so, since its rows are made when they are written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +57,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut 100-byte strings that start earlier too; a document of which nothing is left goes."""
     cut = suffixes.remove_repeats(docs)
-    emptied = (F.length("text") == 0) & (F.coalesce(F.col("n_chars"), F.lit(0)) > 0)
-    return cut.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    def left(row: Column) -> Column:
+        return ~F.coalesce((F.length(row["text"]) == 0) & (F.coalesce(row["n_chars"], F.lit(0)) > 0), F.lit(False))
+
+    # A plain filter would go below the cutting and have every text cut twice, in two Python workers of a task.
+    rows = cut.select(F.explode(F.filter(F.array(F.struct("*")), left)).alias("row")).select("row.*")
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +77,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality", keep_good),
-    ("near_copies", keep_one_of_near_copies),
-    ("repeats", cut_repeated_strings),
-    ("mix", mix_sources),
-    ("pack", pack_sequences),
+    ("quality", in_small_batches(keep_good)),
+    ("near_copies", in_small_batches(keep_one_of_near_copies)),
+    ("repeats", in_small_batches(cut_repeated_strings)),
+    ("mix", in_small_batches(mix_sources)),
+    ("pack", in_small_batches(pack_sequences)),
 ]
 # Learned scores, components and packings have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
